@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import partitions, saved, tune
-from fathom.llm.substrings import BUCKETS, by_document, pack, pack_ids, runs, spans, unpack, unpack_ids
+from fathom.llm.substrings import BUCKETS, by_document, pack, pack_ids, runs, unpack, unpack_ids
 
 WIDTH = 50
 SEED_BYTES = 24
@@ -157,10 +158,11 @@ def recurring(table: pa.Table) -> pa.Table:
 
 def contexts(docs: DataFrame, wanted: DataFrame, width: int, bits: int) -> DataFrame:
     """(bucket, doc_id, starts, sizes, bytes): for wanted anchors (doc_id, at array<binary>), what lies under their windows."""
-    both = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "at")
+    # a left join, like the one in dedup: Spark then deals out the texts once for both
+    both = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i.as_py(), raw(t.as_py()), a.as_py()) for b in batches for i, t, a in zip(b.column(0), b.column(1), b.column(2)))
+        rows = ((i.as_py(), raw(t.as_py()), a.as_py()) for b in batches for i, t, a in zip(b.column(0), b.column(1), b.column(2)) if a.is_valid)
         for part in batched(rows, BLOCK_BYTES):
             part.sort(key=lambda r: r[0])
             data, ends, starts = laid([t for _, t, _ in part])
@@ -194,10 +196,11 @@ class Family:
 
     @staticmethod
     def array(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((ids, hashes))
+        """Sorted distinct hashes with their smallest ids. A stable sort merges runs that are sorted already."""
+        order = np.argsort(hashes, kind="stable")
         hashes, ids = hashes[order], ids[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
-        return hashes[new], ids[new]
+        cuts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        return hashes[cuts], np.minimum.reduceat(ids, cuts)
 
     def scan(self, hashes: np.ndarray) -> np.ndarray:
         """For sorted or unsorted hashes the smallest doc_id of an equal suffix in any level, or the largest integer."""
@@ -218,48 +221,100 @@ class Family:
             self.levels.append(self.array(np.concatenate([a, b]), np.concatenate([i, j])))
 
 
-def suffix_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows within the pieces of data at starts of sizes bytes, and the piece of each."""
-    n = len(data) - width + 1
+def suffix_hashes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows of data that start at the given places."""
     eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))
-    h = np.zeros(n, np.uint64)
-    for at in [*range(0, width - 8, 8), width - 8]:
-        h ^= eight[at : at + n]
+    h = np.zeros(len(at), np.uint64)
+    for k in [*range(0, width - 8, 8), width - 8]:
+        h ^= eight[at + k]
         h *= M1
         h ^= h >> np.uint64(29)
     h *= M2
     h ^= h >> np.uint64(32)
-    count = sizes - width + 1
-    piece = np.repeat(np.arange(len(sizes)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + starts[piece]
-    return h[at], piece
+    return h
+
+
+def ranges(counts: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each n of counts, end to end."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def run_table(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """One row a document: (doc_id, starts, counts) of its runs of windows, packed."""
+    order = np.lexsort((starts, ids))
+    ids, starts, counts = ids[order], starts[order], counts[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    packed = [pa.array([pack(x) for x in np.split(v, cuts[1:])] if len(ids) else [], pa.binary()) for v in (starts, counts)]
+    return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "starts": packed[0], "counts": packed[1]})
+
+
+BATCH = 1 << 16
 
 
 def matches(width: int):
-    """Of one shard: the windows that also start in a smaller doc_id, by document."""
+    """Of one shard: the runs of windows that also start in a smaller doc_id, by document.
+
+    Equal pieces meet first: of each, the smallest doc_id alone enters the family, and all others are matched whole.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        family, batches = Family(), []
+        digest = xxhash.xxh3_64_intdigest
+        keys, ids, starts, counts, texts = [], [], [], [], []
         for d, s, z, data in zip(*(table.column(c).to_pylist() for c in ("docs", "starts", "sizes", "bytes"))):
             sizes = unpack(z)
-            h, piece = suffix_hashes(np.frombuffer(data, np.uint8), np.cumsum(sizes) - sizes, sizes, width)
-            ids = unpack_ids(d)[piece]
-            offset = np.arange(len(piece)) - np.repeat(np.cumsum(sizes - width + 1) - (sizes - width + 1), sizes - width + 1)
-            batches.append((h, ids, unpack(s)[piece] + offset))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for n, (h, i, _) in enumerate(batches):  # batches of at least 64 Ki suffixes make the levels
-            held.append((h, i))
-            if sum(len(x[0]) for x in held) >= 1 << 16 or n == len(batches) - 1:
-                family.add(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-                held = []
-        out = [(i[late], s[late]) for h, i, s in batches for late in [family.scan(h) < i]]
-        return by_document(np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]))
+            ends = np.cumsum(sizes)
+            own = [data[x:y] for x, y in zip((ends - sizes).tolist(), ends.tolist())]
+            keys.append(np.fromiter(map(digest, own), np.uint64, len(own)))
+            ids.append(unpack_ids(d))
+            starts.append(unpack(s))
+            counts.append(sizes - width + 1)
+            texts += own
+        k, i, s, c = map(np.concatenate, (keys, ids, starts, counts))
+        order = np.lexsort((i, k))
+        new = np.concatenate([[True], k[order[1:]] != k[order[:-1]]])
+        head = order[np.flatnonzero(new)]  # of each piece the place with the smallest doc_id
+        of = np.empty(len(k), np.int64)
+        of[order] = np.cumsum(new) - 1
+        whole = i > i[head][of]
+        family, batches, at = Family(), [], 0
+        sizes = np.cumsum(c[head])
+        while at < len(head):
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH, "right")))
+            part = head[at:to]
+            data = np.frombuffer(b"".join([texts[x] for x in part.tolist()]), np.uint8)
+            begin = np.cumsum(c[part] + width - 1) - (c[part] + width - 1)
+            h = suffix_hashes(data, np.repeat(begin, c[part]) + ranges(c[part]), width)
+            owner = np.repeat(i[part], c[part])
+            family.add(h, owner)
+            batches.append((h, owner))
+            at = to
+        late = np.concatenate([family.scan(h) < owner for h, owner in batches])
+        # runs of matched windows within each piece
+        first = np.cumsum(c[head]) - c[head]
+        edge = np.zeros(len(late), bool)
+        edge[first] = True
+        begins = late & (edge | ~np.concatenate([[False], late[:-1]]))
+        ends = late & np.concatenate([edge[1:] | ~late[1:], [True]])
+        b, e = np.flatnonzero(begins), np.flatnonzero(ends)
+        piece = np.searchsorted(first, b, "right") - 1
+        per = np.bincount(piece, minlength=len(head))
+        base = np.cumsum(per) - per
+        rest = np.flatnonzero(~whole & (per[of] > 0))  # every place of those pieces in that smallest doc_id
+        n = per[of[rest]]
+        pick = np.repeat(base[of[rest]], n) + ranges(n)
+        x = np.flatnonzero(whole)
+        return run_table(
+            np.concatenate([i[x], np.repeat(i[rest], n)]),
+            np.concatenate([s[x], np.repeat(s[rest], n) + b[pick] - first[piece[pick]]]),
+            np.concatenate([c[x], e[pick] - b[pick] + 1]),
+        )
 
     return run
 
 
 def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, starts array<binary>): starts of the windows that also start in a smaller doc_id; 'whole' marks copies."""
+    """(doc_id, found array<struct<starts,counts>>, whole): runs of windows that also start in a smaller doc_id; whole marks
+    copies of a smaller doc_id's text."""
     spark = docs.sparkSession
     tune(spark)
     bits = max(BUCKETS, 4 * partitions(spark)).bit_length() - 1
@@ -269,26 +324,37 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     copies = digests.join(low, "digest").where("doc_id > low").select("doc_id").distinct()
     seeds = anchors(docs, width, bits).groupBy("bucket").applyInArrow(recurring, "doc_id long, starts binary")
     seeds = seeds.groupBy("doc_id").agg(F.collect_list("starts").alias("at")).join(copies, "doc_id", "left_anti")
-    found = contexts(docs, seeds, width, bits).groupBy("bucket").applyInArrow(matches(width), "doc_id long, starts binary")
-    found = found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.lit(False).alias("whole"))
-    return found.unionByName(copies.select("doc_id", F.array().cast("array<binary>").alias("starts"), F.lit(True).alias("whole")))
+    found = contexts(docs, seeds, width, bits).groupBy("bucket").applyInArrow(matches(width), "doc_id long, starts binary, counts binary")
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "counts")).alias("found"), F.lit(False).alias("whole"))
+    return found.unionByName(copies.select("doc_id", F.array().cast("array<struct<starts:binary,counts:binary>>").alias("found"), F.lit(True).alias("whole")))
+
+
+def covered(found: list[dict], width: int, n: int) -> np.ndarray:
+    """Boolean per byte: covered by a window of the runs found."""
+    edge = np.zeros(n + 1, np.int64)
+    for f in found:
+        at, more = unpack(f["starts"]), unpack(f["counts"])
+        ok = at + more + width - 1 <= n  # another row may share the doc_id
+        np.add.at(edge, at[ok], 1)
+        np.add.at(edge, (at + more + width - 1)[ok], -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_bytes, removed array<struct<start,end>>, kept binary) for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    both = docs.join(repeated(docs, width).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts", "whole")
+    both = docs.join(repeated(docs, width).hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "found", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for i, t, s, whole in zip(b.column(0), b.column(1), b.column(2), b.column(3)):
                 data = raw(t.as_py())
-                starts = s.as_py()
+                found = s.as_py()
                 if whole.as_py() and len(data) >= width:
                     cut = [(0, len(data))]
-                elif starts:
-                    cut = runs(spans(starts, width, len(data)))
+                elif found:
+                    cut = runs(covered(found, width, len(data)))
                 else:
                     cut = []
                 edges = [0, *(x for r in cut for x in r), len(data)]

@@ -157,7 +157,9 @@ def recurring(table: pa.Table) -> pa.Table:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, width: int, bits: int) -> DataFrame:
-    """(bucket, doc_id, starts, sizes, bytes): for wanted anchors (doc_id, at array<binary>), what lies under their windows."""
+    """(bucket, kind, docs, starts, sizes, bytes): for wanted anchors (doc_id, at array<binary>), the pieces of text under
+    their windows. Of equal pieces in a block of documents only the smallest doc_id's travels; the others are matched, and
+    go as rows of kind 1 without bytes."""
     # a left join, like the one in dedup: Spark then deals out the texts once for both
     both = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "at")
 
@@ -174,18 +176,25 @@ def contexts(docs: DataFrame, wanted: DataFrame, width: int, bits: int) -> DataF
             if not len(h):
                 continue
             ids, local, sizes = np.array([i for i, _, _ in part], np.int64)[doc], lo - starts[doc], hi - lo + width
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
             text = data.tobytes()
+            pieces = [text[x:y] for x, y in zip(lo.tolist(), (lo + sizes).tolist())]
+            low: dict[bytes, int] = {}
+            least = np.array([low.setdefault(p, i) for p, i in zip(pieces, ids.tolist())])  # ids ascend
             out = []
+            if len(late := np.flatnonzero(ids > least)):
+                late = late[np.argsort(ids[late], kind="stable")]
+                out.append((int(ids[late[0]]) & ((1 << bits) - 1), 1, pack_ids(ids[late]), pack(local[late]), pack(sizes[late]), b""))
+            stay = np.flatnonzero(ids == least)
+            bucket = (h[stay] >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
             for b in np.flatnonzero(np.diff(cuts)):
-                own = order[cuts[b] : cuts[b + 1]]
-                out.append((b, pack_ids(ids[own]), pack(local[own]), pack(sizes[own]), b"".join([text[x:y] for x, y in zip(lo[own].tolist(), (lo[own] + sizes[own]).tolist())])))
-            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "docs", "starts", "sizes", "bytes"])
+                own = stay[order[cuts[b] : cuts[b + 1]]]
+                out.append((b, 0, pack_ids(ids[own]), pack(local[own]), pack(sizes[own]), b"".join([pieces[x] for x in own.tolist()])))
+            types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "kind", "docs", "starts", "sizes", "bytes"])
 
-    return both.mapInArrow(run, "bucket int, docs binary, starts binary, sizes binary, bytes binary")
+    return both.mapInArrow(run, "bucket int, kind int, docs binary, starts binary, sizes binary, bytes binary")
 
 
 class Family:
@@ -260,8 +269,13 @@ def matches(width: int):
     def run(table: pa.Table) -> pa.Table:
         digest = xxhash.xxh3_64_intdigest
         keys, ids, starts, counts, texts = [], [], [], [], []
-        for d, s, z, data in zip(*(table.column(c).to_pylist() for c in ("docs", "starts", "sizes", "bytes"))):
+        done = [[], [], []]
+        for kind, d, s, z, data in zip(*(table.column(c).to_pylist() for c in ("kind", "docs", "starts", "sizes", "bytes"))):
             sizes = unpack(z)
+            if kind:
+                for known, more in zip(done, (unpack_ids(d), unpack(s), sizes - width + 1)):
+                    known.append(more)
+                continue
             ends = np.cumsum(sizes)
             own = [data[x:y] for x, y in zip((ends - sizes).tolist(), ends.tolist())]
             keys.append(np.fromiter(map(digest, own), np.uint64, len(own)))
@@ -269,6 +283,9 @@ def matches(width: int):
             starts.append(unpack(s))
             counts.append(sizes - width + 1)
             texts += own
+        done = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in done]
+        if not keys:
+            return run_table(*done)
         k, i, s, c = map(np.concatenate, (keys, ids, starts, counts))
         order = np.lexsort((i, k))
         new = np.concatenate([[True], k[order[1:]] != k[order[:-1]]])
@@ -304,9 +321,9 @@ def matches(width: int):
         pick = np.repeat(base[of[rest]], n) + ranges(n)
         x = np.flatnonzero(whole)
         return run_table(
-            np.concatenate([i[x], np.repeat(i[rest], n)]),
-            np.concatenate([s[x], np.repeat(s[rest], n) + b[pick] - first[piece[pick]]]),
-            np.concatenate([c[x], e[pick] - b[pick] + 1]),
+            np.concatenate([done[0], i[x], np.repeat(i[rest], n)]),
+            np.concatenate([done[1], s[x], np.repeat(s[rest], n) + b[pick] - first[piece[pick]]]),
+            np.concatenate([done[2], c[x], e[pick] - b[pick] + 1]),
         )
 
     return run

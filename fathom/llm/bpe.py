@@ -1,8 +1,9 @@
 """Operator 6, BPE encoding and decoding with forced boundaries.
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can't be merged over, so it marks a certain cut.
-Words are cut there, each fragment is encoded by itself (the last with the word-end mark), and the ids are concatenated;
-this gives exactly the ids of the whole word. Fragments and words are kept in a bounded cache of the worker.
+Words are cut there, each fragment is encoded by itself (the last with the word-end mark) with the library's merges, and
+the ids are concatenated; this gives exactly the ids of the whole word. Words are kept in a bounded cache of the worker;
+the words of a text that it lacks are encoded together.
 
 Texts are normalised as the vocabulary file says: NFC, runs of white space to one space, lower case, character by
 character; added tokens in the raw text stay whole. Null and empty texts have no tokens; a text without words likewise.
@@ -20,11 +21,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Regex, normalizers, pre_tokenizers
+from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 from fathom.llm.common import tune
 
-CACHE = 1 << 17
+CACHE = 1 << 18
 # Unicode white space, and the split pattern of the vocabulary file.
 SPACE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^" + SPACE + "{L}{N}]+"
@@ -63,7 +64,8 @@ class Codec:
         data = json.loads(spec)
         self.vocab: dict[str, int] = dict(data["model"]["vocab"])
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in data["model"]["merges"]]
-        self.ranks = {m: n for n, m in enumerate(merges)}
+        self.last = Tokenizer(models.BPE(self.vocab, merges, end_of_word_suffix=END))
+        self.inner = Tokenizer(models.BPE(self.vocab, merges))
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.names = {i: t for t, i in (self.vocab | self.added).items()}
         self.inside = {t[i : i + 2] for t in (x.removesuffix(END) for x in self.vocab) for i in range(len(t) - 1)}
@@ -71,50 +73,37 @@ class Codec:
         self.plain = splitter()
         self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.specials = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
         self.words: dict[str, tuple[int, str, str]] = {}
 
-    def fragment(self, letters: str, last: bool) -> list[int]:
-        """Ids of a fragment, by merging the pair of least rank until none is left."""
-        if (got := self.fragments.get((letters, last))) is not None:
-            return got
-        parts = list(letters)
-        if last:
-            parts[-1] += END
-        ranks, far = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            best = min((ranks.get(p, far), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if best[0] == far:
-                break
-            a, b = parts[best[1]], parts[best[1] + 1]
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        ids = [self.vocab[p] for p in parts if p in self.vocab]
-        if len(self.fragments) >= CACHE:
-            self.fragments.clear()
-        self.fragments[letters, last] = ids
-        return ids
-
     def pieces(self, letters: str) -> list[str]:
         """letters cut at every pair of neighbours that no token contains."""
         cuts = [i for i in range(1, len(letters)) if letters[i - 1 : i + 1] not in self.inside]
         return [letters[a:b] for a, b in zip([0, *cuts], [*cuts, len(letters)])]
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of tokens, their ids and their names, each joined by one space."""
-        parts = self.pieces(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table))
-        ids = [i for n, p in enumerate(parts) for i in self.fragment(p, n == len(parts) - 1)]
-        out = len(ids), " ".join(map(str, ids)), " ".join(self.names[i] for i in ids)
-        if len(self.words) >= CACHE:
+    def learn(self, words: list[str], room: bool = True) -> None:
+        """Puts words into the cache: number of tokens, their ids and their names, each joined by one space."""
+        if room and len(self.words) + len(words) > CACHE:
             self.words.clear()
-        self.words[word] = out
+        inner, last = [], []
+        for word in words:
+            parts = self.pieces(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table))
+            inner.append(parts[:-1])
+            last.append(parts[-1])
+        ends = self.grouped(self.last, last)
+        rest = iter(self.grouped(self.inner, [p for parts in inner for p in parts]))
+        names = self.names
+        for word, parts, end in zip(words, inner, ends):
+            ids = [i for _ in parts for i in next(rest)] + end if parts else end
+            self.words[word] = len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])
+
+    @staticmethod
+    def grouped(model: Tokenizer, fragments: list[str]) -> list[list[int]]:
+        """The ids of each fragment, encoded by itself."""
+        out: list[list[int]] = [[] for _ in fragments]
+        if fragments:
+            got = model.encode(fragments, is_pretokenized=True, add_special_tokens=False)
+            for n, i in zip(got.word_ids, got.ids):
+                out[n].append(i)
         return out
 
     def normal(self, text: str) -> str:
@@ -140,10 +129,15 @@ class Codec:
             if n % 2:
                 found = [(1, str(self.added[part]), part)]
             else:
-                found = [known.get(w) or self.word(w) for w in self.split(self.normal(part))]
+                words = self.split(self.normal(part))
+                if lacking := [w for w in dict.fromkeys(words) if w not in known]:
+                    self.learn(lacking)
+                    if any(w not in known for w in words):  # the cache was emptied
+                        self.learn([w for w in dict.fromkeys(words) if w not in known], room=False)
+                found = [known[w] for w in words]
             count += sum(f[0] for f in found)
-            ids += [f[1] for f in found if f[0]]
-            names += [f[2] for f in found if f[0]]
+            ids += [f[1] for f in found]
+            names += [f[2] for f in found]
         return count, " ".join(ids), " ".join(names)
 
     def decode(self, ids: list[int]) -> str:

@@ -257,7 +257,7 @@ def run_table(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Tab
     return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "starts": packed[0], "counts": packed[1]})
 
 
-BATCH = 1 << 16
+BATCH = 1 << 18
 
 
 def matches(width: int):
@@ -302,10 +302,16 @@ def matches(width: int):
             begin = np.cumsum(c[part] + width - 1) - (c[part] + width - 1)
             h = suffix_hashes(data, np.repeat(begin, c[part]) + ranges(c[part]), width)
             owner = np.repeat(i[part], c[part])
-            family.add(h, owner)
-            batches.append((h, owner))
+            by_hash = np.argsort(h)
+            family.add(h[by_hash], owner[by_hash])
+            batches.append((h, owner, by_hash))
             at = to
-        late = np.concatenate([family.scan(h) < owner for h, owner in batches])
+        late = []
+        for h, owner, by_hash in batches:  # a scan in order of the levels reads them once, from end to end
+            low = np.empty(len(h), np.int64)
+            low[by_hash] = family.scan(h[by_hash])
+            late.append(low < owner)
+        late = np.concatenate(late)
         # runs of matched windows within each piece
         first = np.cumsum(c[head]) - c[head]
         edge = np.zeros(len(late), bool)

@@ -6,7 +6,7 @@ have ``MIN_CHARS`` code points or more and their edit distance is at most 2; cla
 * Each distinct line of l code points is cut into three segments (l // 3 code points, the last ones longer by one). Two
   edits leave one segment intact, so the other line has it as a substring, near its place: of the substrings of the longer
   line only those that the multi-match-aware rule allows are probed, for each length l, l - 1 and l - 2.
-* A pair whose counts of eight frequent letters differ by more than two edits can make is no candidate; this is part of
+* A pair whose counts of six frequent letters differ by more than two edits can make is no candidate; this is part of
   the join's condition, so families of lines that share segments but differ elsewhere make no rows.
 * Candidates are verified by a bit-parallel edit distance over a band of five diagonals: one 5-bit word of reachable
   diagonals for 0, 1 and 2 errors, advanced a character at a time.
@@ -29,40 +29,35 @@ from fathom.llm.common import components, saved
 
 EDITS = 2
 MIN_CHARS = 24
-LETTERS = "etnoahri"
+LETTERS = "etnoai"
 FETCH_BUCKETS = 1 << 18
+TRIM = 16
 
 
-def segments(n: Column, edits: int = EDITS) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of each of edits + 1 segments of a line of n code points."""
+def segments(size: str, edits: int = EDITS) -> list[tuple[str, str]]:
+    """SQL for start (from 1) and length of each of edits + 1 segments of a line of size (SQL) code points."""
     parts = edits + 1
-    short = F.floor(n / parts).cast("int")
-    longer = n % parts
-    out, start = [], F.lit(1)
-    for i in range(parts):
-        size = short + F.when(longer >= parts - i, 1).otherwise(0)
-        out.append((start, size))
-        start = start + size
-    return out
+    sizes = [f"(({size}) + {i}) div {parts}" for i in range(parts)]
+    return [("cast(" + " + ".join(["1", *sizes[:i]]) + " as int)", f"cast({s} as int)") for i, s in enumerate(sizes)]
 
 
-def key(length: Column, segment: int, part: Column) -> Column:
-    return F.xxhash64(length, F.lit(segment), part)
+def key(length: str, segment: int, start: str, size: str) -> Column:
+    return F.expr(f"xxhash64({length}, {segment}, substring(wide, 4 * ({start}) - 3, 4 * ({size})))")
 
 
-def index_keys(line: Column, n: Column, edits: int = EDITS) -> list[Column]:
-    return [key(n, i, F.substring(line, p, s)) for i, (p, s) in enumerate(segments(n, edits))]
+def index_keys(edits: int = EDITS) -> list[Column]:
+    """Keys under which a line (columns n, and wide, four bytes a code point) is found."""
+    return [key("n", i, p, s) for i, (p, s) in enumerate(segments("n", edits))]
 
 
-def probe_keys(line: Column, n: Column, edits: int = EDITS) -> dict[int, list[Column]]:
-    """Keys to look up, by how much shorter the other line is."""
+def probe_keys(edits: int = EDITS) -> dict[int, list[Column]]:
+    """Keys that a line (columns n and wide) looks up, by how much shorter the other line is."""
     out: dict[int, list[Column]] = {}
     for short in range(edits + 1):
-        size = n - short
-        for i, (p, s) in enumerate(segments(size, edits)):
+        for i, (p, s) in enumerate(segments(f"n - {short}", edits)):
             low = max(-i, short - (edits - i))
             high = min(i, short + (edits - i))
-            out.setdefault(short, []).extend(key(size, i, F.substring(line, p + shift, s)) for shift in range(low, high + 1))
+            out.setdefault(short, []).extend(key(f"n - {short}", i, f"{p} + {shift}", s) for shift in range(low, high + 1))
     return out
 
 
@@ -105,6 +100,27 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return (F.abs(at - edits) <= edits) & (F.call_function("shiftright", reached, at).bitwiseAND(1) == 1)
 
 
+def unequal_part(x: Column, y: Column) -> tuple[Column, Column]:
+    """x and y without blocks of code points that both begin with and, then, that both end with.
+
+    That keeps their edit distance: a band that starts on the main diagonal is the same after equal letters.
+    """
+
+    def equal(a: Column, b: Column) -> Column:
+        n = F.least(F.char_length(a), F.char_length(b))
+        blocks = F.sequence(F.lit(0), F.floor(n / TRIM).cast("int"))
+        other = F.filter(blocks, lambda k: (k == F.floor(n / TRIM)) | (F.substring(a, k * TRIM + 1, TRIM) != F.substring(b, k * TRIM + 1, TRIM)))
+        return F.get(other, F.lit(0)) * TRIM
+
+    def cut(a: Column, b: Column) -> Column:
+        whole = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), equal(a, b).alias("n"))), lambda s: F.struct(F.reverse(F.substring(s["a"], s["n"] + 1, 1 << 30)).alias("a"), F.reverse(F.substring(s["b"], s["n"] + 1, 1 << 30)).alias("b")))
+        return whole[0]
+
+    once = cut(x, y)
+    twice = F.transform(F.array(once), lambda s: cut(s["a"], s["b"]))[0]
+    return twice["a"], twice["b"]
+
+
 def letter_counts(line: Column) -> Column:
     """Counts of LETTERS modulo 16, four bits each."""
     counts = ((F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 16 for c in LETTERS)
@@ -133,14 +149,16 @@ def named(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs (a, b) of places struct<doc_id,line_no> of distinct lines that share a segment as the join asks."""
-    n, line = F.col("n"), F.col("line")
-    probes = probe_keys(line, n, edits)
-    equal = len(probes[0])
-    marked = named(docs.where("doc_id is not null")).withColumn("n", F.char_length("line")).where(n >= min_chars)
-    marked = marked.select("ha", "hb", F.struct("doc_id", "line_no").alias("id"), letter_counts(line).alias("letters"), F.array(*index_keys(line, n, edits)).alias("index"), F.array(*(k for keys in probes.values() for k in keys)).alias("probe"))
-    distinct = marked.groupBy("ha", "hb").agg(F.min("id").alias("id"), F.first("letters").alias("letters"), F.first("index").alias("index"), F.first("probe").alias("probe"))
-    table = distinct.select(F.col("id").alias("a"), F.col("letters").alias("la"), F.explode("index").alias("key")).alias("t")
-    asked = distinct.select(F.col("id").alias("b"), F.col("letters").alias("lb"), F.posexplode("probe").alias("at", "key")).alias("p")
+    probes = probe_keys(edits)
+    equal, found = len(probes[0]), index_keys(edits)
+    marked = named(docs.where("doc_id is not null")).withColumns({"n": F.char_length("line"), "wide": F.encode("line", "UTF-32")}).where(F.col("n") >= min_chars)
+    # one array for both kinds of keys: so both sides of the join read the same aggregation, which runs once
+    keys = F.array(*found, *(k for ks in probes.values() for k in ks))
+    marked = marked.select("ha", "hb", F.struct("doc_id", "line_no").alias("id"), letter_counts(F.col("line")).alias("letters"), keys.alias("keys"))
+    distinct = marked.groupBy("ha", "hb").agg(F.min("id").alias("id"), F.first("letters").alias("letters"), F.first("keys").alias("keys"))
+    table = distinct.select(F.col("id").alias("a"), F.col("letters").alias("la"), F.explode(F.slice("keys", 1, len(found))).alias("key")).alias("t")
+    rest = F.slice("keys", len(found) + 1, sum(map(len, probes.values())))
+    asked = distinct.select(F.col("id").alias("b"), F.col("letters").alias("lb"), F.posexplode(rest).alias("at", "key")).alias("p")
     near = counts_differ(F.col("la"), F.col("lb")) <= 2 * edits
     order = (F.col("a") != F.col("b")) & ((F.col("at") >= equal) | (F.col("a") < F.col("b")))
     return table.join(asked, (F.col("t.key") == F.col("p.key")) & order & near).select("a", "b").distinct()
@@ -156,6 +174,9 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     texts = lines(texts).select(F.struct("doc_id", "line_no").alias("id"), "line").join(places, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
     texts = saved(texts, "line-texts")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "y"}), "b")
+    x, y = unequal_part(F.col("x"), F.col("y"))
+    # written first: Spark would else copy the trimming into the verification and both into the join's condition
+    both = saved(both.select("a", "b", x.alias("x"), y.alias("y")), "line-pairs")
     return both.where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 

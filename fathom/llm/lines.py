@@ -6,7 +6,7 @@ have ``MIN_CHARS`` code points or more and their edit distance is at most 2; cla
 * Each distinct line of l code points is cut into three segments (l // 3 code points, the last ones longer by one). Two
   edits leave one segment intact, so the other line has it as a substring, near its place: of the substrings of the longer
   line only those that the multi-match-aware rule allows are probed, for each length l, l - 1 and l - 2.
-* A pair whose counts of six frequent letters differ by more than two edits can make is no candidate; this is part of
+* A pair whose counts of eight frequent letters differ by more than two edits can make is no candidate; this is part of
   the join's condition, so families of lines that share segments but differ elsewhere make no rows.
 * Candidates are verified by a bit-parallel edit distance over a band of five diagonals: one 5-bit word of reachable
   diagonals for 0, 1 and 2 errors, advanced a character at a time.
@@ -29,9 +29,8 @@ from fathom.llm.common import components, saved
 
 EDITS = 2
 MIN_CHARS = 24
-LETTERS = "etnoai"
+LETTERS = "etnoahri"
 FETCH_BUCKETS = 1 << 18
-TRIM = 16
 
 
 def segments(size: str, edits: int = EDITS) -> list[tuple[str, str]]:
@@ -77,7 +76,9 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
         def step(state: Column, j: Column) -> Column:
             c = F.get(x["b"], j)
             same = reduce(lambda p, q: p + q, (F.when(F.get(x["a"], j + (d - edits)) == c, 1 << d).otherwise(0) for d in range(width)))
-            return advance(state, same)
+            # no diagonal left stays so; and while the main diagonal agrees, the first state reproduces itself
+            agree = (state == start) & (F.get(x["a"], j) == c)
+            return F.when(state == 0, state).when(agree, state).otherwise(advance(state, same))
 
         n = F.size(x["b"])
         return F.aggregate(F.filter(F.sequence(F.lit(0), n), lambda j: j < n), F.lit(start), step)
@@ -100,27 +101,6 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     return (F.abs(at - edits) <= edits) & (F.call_function("shiftright", reached, at).bitwiseAND(1) == 1)
 
 
-def unequal_part(x: Column, y: Column) -> tuple[Column, Column]:
-    """x and y without blocks of code points that both begin with and, then, that both end with.
-
-    That keeps their edit distance: a band that starts on the main diagonal is the same after equal letters.
-    """
-
-    def equal(a: Column, b: Column) -> Column:
-        n = F.least(F.char_length(a), F.char_length(b))
-        blocks = F.sequence(F.lit(0), F.floor(n / TRIM).cast("int"))
-        other = F.filter(blocks, lambda k: (k == F.floor(n / TRIM)) | (F.substring(a, k * TRIM + 1, TRIM) != F.substring(b, k * TRIM + 1, TRIM)))
-        return F.get(other, F.lit(0)) * TRIM
-
-    def cut(a: Column, b: Column) -> Column:
-        whole = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), equal(a, b).alias("n"))), lambda s: F.struct(F.reverse(F.substring(s["a"], s["n"] + 1, 1 << 30)).alias("a"), F.reverse(F.substring(s["b"], s["n"] + 1, 1 << 30)).alias("b")))
-        return whole[0]
-
-    once = cut(x, y)
-    twice = F.transform(F.array(once), lambda s: cut(s["a"], s["b"]))[0]
-    return twice["a"], twice["b"]
-
-
 def letter_counts(line: Column) -> Column:
     """Counts of LETTERS modulo 16, four bits each."""
     counts = ((F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 16 for c in LETTERS)
@@ -174,9 +154,6 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     texts = lines(texts).select(F.struct("doc_id", "line_no").alias("id"), "line").join(places, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
     texts = saved(texts, "line-texts")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "y"}), "b")
-    x, y = unequal_part(F.col("x"), F.col("y"))
-    # written first: Spark would else copy the trimming into the verification and both into the join's condition
-    both = saved(both.select("a", "b", x.alias("x"), y.alias("y")), "line-pairs")
     return both.where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 

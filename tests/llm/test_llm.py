@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from fathom.llm import bpe, lines, media, mixing, queries, secrets, simhash, substrings, suffixes, toxicity, vectors
 from fathom.llm.common import components
@@ -377,22 +376,6 @@ def test_op8(spark, empty):
     assert all(x.kept for x in lines.classes(nulls).collect())
 
 
-def test_op8_trim(spark):
-    r = random.Random(6)
-    rows = []
-    for _ in range(400):
-        x = "".join(r.choice("aé") for _ in range(r.choice([0, 5, 16, 32, 48, 70])))
-        y = x
-        for _ in range(r.randint(0, 3)):
-            k = r.randrange(len(y) + 1)
-            y = y[:k] + r.choice(["", "z", "zz"]) + y[k + r.randint(0, 1) :]
-        rows.append((x, y))
-    df = spark.createDataFrame(rows, "x string, y string")
-    x, y = lines.unequal_part(df.x, df.y)
-    for g in df.select("x", "y", x.alias("p"), y.alias("q")).withColumn("w", lines.within(F.col("p"), F.col("q"))).collect():
-        assert (lev(g.x, g.y) <= 2) == g.w == (lev(g.p, g.q) <= 2)
-
-
 def test_op8_distance(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("ab") for _ in range(r.randint(0, 7)))

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import saved, tune
@@ -175,18 +175,9 @@ def vectors(docs: DataFrame, words: list[str]) -> DataFrame:
         for b in batches:
             pos, cnt = [], []
             for t in b.column(1):
-                found: Counter = Counter()
-                for w, n in Counter(LETTERS((t.as_py() or "").lower())).items():
-                    if (got := known.get(w)) is None:
-                        got = tuple(where[x] for x in ([w, w[:4] + "-"] if len(w) > 4 else [w]) if x in where)
-                        if len(known) >= 1 << 18:
-                            known.clear()
-                        known[w] = got
-                    for p in got:
-                        found[p] += n
-                keys = sorted(found)
+                keys, n = counted(t.as_py(), where, known)
                 pos.append(keys)
-                cnt.append([found[p] for p in keys])
+                cnt.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pos, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32()))], ["doc_id", "positions", "counts"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, positions array<int>, counts array<int>")
@@ -196,16 +187,15 @@ def held_out(doc_id: int | str) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence array<long>, closeness array<double>) for every row of docs.
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[list[str], Model, DataFrame]:
+    """The vocabulary, the model, and the vectors (doc_id, positions, counts) of every row of docs.
 
     labels (doc_id, toxic): rows with a null or another value than 0 and 1, and rows whose crc32(doc_id) mod 5 is 0, teach
     nothing; a doc_id labelled more than once counts as toxic if any row says so.
     """
     spark = docs.sparkSession
     tune(spark)
-    out_of = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    given = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~out_of)
+    given = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~is_held_out())
     given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     given = saved(given.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(max_examples), "toxicity-examples")
     teach = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(given), "doc_id")  # max_examples rows of 12 bytes
@@ -227,7 +217,46 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
     probe = range(0, len(examples), max(1, len(examples) // 2000))
     votes = np.array([model.vote(examples[n][0], n)[0] for n in probe])
     model.steps = calibration(votes, np.array([examples[n][1] for n in probe]))
-    shared = spark.sparkContext.broadcast(model)
+    return words, model, found
+
+
+def is_held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def counted(text: str | None, where: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[list[int], list[int]]:
+    """Positions of the vocabulary's terms in a text, and their counts. known: what has been looked up."""
+    found: Counter = Counter()
+    for w, n in Counter(LETTERS((text or "").lower())).items():
+        if (got := known.get(w)) is None:
+            got = tuple(where[x] for x in ([w, w[:4] + "-"] if len(w) > 4 else [w]) if x in where)
+            if len(known) >= 1 << 18:
+                known.clear()
+            known[w] = got
+        for p in got:
+            found[p] += n
+    keys = sorted(found)
+    return keys, [found[p] for p in keys]
+
+
+def clean(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+    """The rows of docs that score below 0.5. Texts are scored where they lie, so that none is shuffled."""
+    words, model, _ = fit(docs.select("doc_id", "text"), labels, max_examples)
+    shared = docs.sparkSession.sparkContext.broadcast((model, {w: n for n, w in enumerate(words)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        own, where = shared.value
+        for b in batches:
+            yield b.filter(pa.array([own.score(*counted(t.as_py(), where, known))[0] < 0.5 for t in b.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+    """(doc_id, held_out, score, predicted, evidence array<long>, closeness array<double>) for every row of docs."""
+    _, model, found = fit(docs, labels, max_examples)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: dict[tuple, tuple] = {}
@@ -244,4 +273,4 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "evidence", "closeness"])
 
     out = found.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, closeness array<double>")
-    return out.select("doc_id", F.coalesce(out_of, F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "closeness")
+    return out.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "closeness")

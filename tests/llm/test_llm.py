@@ -145,6 +145,7 @@ def test_op2(spark, docs, empty):
     got = {x.doc_id: x for x in out}
     assert got[2002].predicted == 1 and got[None].predicted == 1 and got[2000].score == got[2001].score < 0.5
     assert toxicity.scores(empty, labels).count() == 0
+    assert {r.doc_id for r in toxicity.clean(df, labels).collect()} == {x.doc_id for x in out if not x.predicted}
     assert {x.score for x in toxicity.scores(df, labels.limit(0)).collect()} == {0.0}
 
 

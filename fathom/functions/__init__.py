@@ -1 +1,44 @@
-"""See the module docstrings."""
+"""Expressions that queries share, as SQL for Spark and for the oracle."""
+
+#: Placeholders of query texts: (Spark, DuckDB).
+DIALECT = {
+    "EX": ("explode", "unnest"),
+    "WORDS": ("regexp_extract_all(lower({}), r'[\\p{{L}}\\p{{N}}]+', 0)", "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+', 0)"),
+    "CODES": ("regexp_extract_all(text, r'[A-Z]{2,}-?[0-9]+', 0)", "regexp_extract_all(text, '[A-Z]{2,}-?[0-9]+', 0)"),
+    "LINES": ("split(text, '\\n')", "string_split(text, chr(10))"),
+    "SIZE": ("size", "len"),
+    "SHA": ("sha2(text, 256)", "sha256(text)"),
+    "EPOCH": ("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)", "epoch_us(ts)"),
+    "K": ("get_json_object(props, '$.k')", "json_extract_string(props, '$.k')"),
+    "PCT": ("percentile({}, {})", "quantile_cont({}, {})"),
+    "DOT": ("aggregate(zip_with(a.v, b.v, (x, y) -> x * y), cast(0 as double), (s, x) -> s + x)", "list_dot_product(a.v, b.v)"),
+    "VEC": ("cast(embedding as array<double>)", "cast(embedding as double[])"),
+    "HTMLTITLE": ("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)", "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"),
+    "HTMLWORDS": (
+        "regexp_extract_all(lower(regexp_replace(html, '(?s)<[^>]*>', ' ')), r'[\\p{L}\\p{N}]+', 0)",
+        "regexp_extract_all(lower(regexp_replace(html, '(?s)<[^>]*>', ' ', 'g')), '[\\p{L}\\p{N}]+', 0)",
+    ),
+    "JOINED": ("array_join(array_sort(collect_set({})), ',')", "coalesce(array_to_string(list_sort(list_distinct(list({}))), ','), '')"),
+}
+
+#: 95 % quantile of the normal distribution, two-sided.
+Z95 = 1.959963984540054
+
+
+def wilson(hits: str, n: str, sign: str) -> str:
+    """SQL for an end of the Wilson interval, clamped to [0, 1]; null for n = 0."""
+    z2 = Z95 * Z95
+    p = f"({hits}) / cast({n} as double)"
+    root = f"sqrt({p} * (1 - {p}) / {n} + {z2} / (4.0 * {n} * {n}))"
+    return f"case when {n} = 0 then null else round(least(1.0, greatest(0.0, ({p} + {z2} / (2.0 * {n}) {sign} {Z95} * {root}) / (1 + {z2} / {n}))), 6) end"
+
+
+def dialect(sql: str, which: int) -> str:
+    """sql with its placeholders <NAME> or <NAME:argument|argument> in the dialect: 0 Spark, 1 DuckDB."""
+    import re
+
+    def put(m: "re.Match[str]") -> str:
+        text = DIALECT[m[1]][which]
+        return text.format(*m[2].split("|")) if m[2] else text
+
+    return re.sub(r"<([A-Z]+)(?::([^<>]*))?>", put, sql)

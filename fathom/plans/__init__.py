@@ -1 +1,32 @@
-"""See the module docstrings."""
+"""The registry of queries: name -> (Spark function, oracle SQL)."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fathom.functions import dialect
+from fathom.operators import measures, retrieval, scope, text
+from fathom.sources import register
+
+TEXTS = scope.QUERIES | text.QUERIES | retrieval.QUERIES | measures.QUERIES
+
+
+def compile_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query text as a function of a session and a folder of tables."""
+    own = dialect(dialect(sql, 0), 0)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, own)
+        return spark.sql(own)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: compile_query(sql) for name, sql in TEXTS.items()}
+
+
+def oracles() -> dict[str, str]:
+    return {name: dialect(dialect(sql, 1), 1).replace("left anti join", "anti join").replace("left semi join", "semi join") for name, sql in TEXTS.items()}

@@ -1 +1,16 @@
-"""See the module docstrings."""
+"""Tables of a folder of Parquet files, as views of a session."""
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def register(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Makes views of the tables that sql names."""
+    for name in TABLES:
+        if name in sql:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -18,6 +18,8 @@ doc_id are one document for comparison: none of them loses bytes to another. An
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +33,18 @@ from fathom.llm.substrings import BUCKETS, by_document, pack, pack_ids, runs, un
 
 WIDTH = 50
 SEED_BYTES = 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 POSITION = np.uint64(0xFFFFFFFF)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives through several stages, beside a JVM that needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n, size, out = len(x) - width + 1, 1, x
     while 2 * size <= width:
@@ -193,6 +202,8 @@ def contexts(docs: DataFrame, wanted: DataFrame, width: int, bits: int) -> DataF
                 out.append((b, 0, pack_ids(ids[own]), pack(local[own]), pack(sizes[own]), b"".join([pieces[x] for x in own.tolist()])))
             types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "kind", "docs", "starts", "sizes", "bytes"])
+            del data, h, pos, text, pieces, low, out
+            give_back()
 
     return both.mapInArrow(run, "bucket int, kind int, docs binary, starts binary, sizes binary, bytes binary")
 
@@ -257,7 +268,7 @@ def run_table(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Tab
     return pa.table({"doc_id": pa.array(ids[cuts], pa.int64()), "starts": packed[0], "counts": packed[1]})
 
 
-BATCH = 1 << 18
+BATCH = 1 << 16
 
 
 def matches(width: int):
@@ -322,6 +333,8 @@ def matches(width: int):
         piece = np.searchsorted(first, b, "right") - 1
         per = np.bincount(piece, minlength=len(head))
         base = np.cumsum(per) - per
+        del texts, family, batches
+        give_back()
         rest = np.flatnonzero(~whole & (per[of] > 0))  # every place of those pieces in that smallest doc_id
         n = per[of[rest]]
         pick = np.repeat(base[of[rest]], n) + ranges(n)

@@ -85,7 +85,8 @@ def anchored(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, width: int)
     own = least[at]
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
     pos = own[new]
-    return h[pos], pos, at[new], at[np.concatenate([new[1:] - 1, [len(at) - 1]])]
+    # least hashes crowd at small values; a product with an odd number spreads them over the shards, one to one
+    return h[pos] * M1, pos, at[new], at[np.concatenate([new[1:] - 1, [len(at) - 1]])]
 
 
 def laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

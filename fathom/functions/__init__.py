@@ -4,6 +4,21 @@
 DIALECT = {
     "EX": ("explode", "unnest"),
     "WORDS": ("regexp_extract_all(lower({}), r'[\\p{{L}}\\p{{N}}]+', 0)", "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+', 0)"),
+    "FOLDED": (
+        "regexp_extract_all(translate(lower({}), 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), r'[\\p{{L}}\\p{{N}}]+', 0)",
+        "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+', 0)",
+    ),
+    "RANGE": ("sequence({}, {})", "range({}, {} + 1)"),
+    "GLOBAL": ("", ", 'g'"),
+    "HASH": ("sha2({}, 256)", "sha256({})"),
+    "DAY": ("datediff({}, date'1970-01-01')", "date_diff('day', date '1970-01-01', cast({} as date))"),
+    "HEAD": ("slice({}, 1, {})", "list_slice({}, 1, {})"),
+    "DIV": ("({} div {})", "({} // {})"),
+    "BLOCKS": (
+        "select doc_id, cast(pos as bigint) as pos, line from documents lateral view posexplode(split(text, '\\n')) t as pos, line",
+        "select doc_id, cast(generate_subscripts(ls, 1) - 1 as bigint) as pos, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents) b",
+    ),
+    "LASTSET": ("last({}, true)", "last_value({} ignore nulls)"),
     "CODES": ("regexp_extract_all(text, r'[A-Z]{2,}-?[0-9]+', 0)", "regexp_extract_all(text, '[A-Z]{2,}-?[0-9]+', 0)"),
     "LINES": ("split(text, '\\n')", "string_split(text, chr(10))"),
     "SIZE": ("size", "len"),

@@ -1,17 +1,25 @@
 """Retrieval: BM25, dense cosine, exact identifiers first, reciprocal-rank fusion, de-duplication and the final cap.
 
-All passages of ``benchmark`` are questions. BM25: k1 1.2, b 0.75, idf at least 1e-6; fusion: 1 / (60 + rank).
+All passages of ``benchmark`` are questions; a question is the disjunction of its first 64 words, repeats counted again.
+BM25: k1 1.2, b 0.75, idf 1e-6 where it isn't positive, statistics of the whole corpus; fusion: 1 / (60 + rank).
+Only postings of words that are asked for are aggregated and shuffled.
 """
 
-BM25 = """with terms as (select doc_id, lang, <EX>(<WORDS:text>) as term from documents),
-    postings as (select doc_id, term, count(*) as tf from terms group by doc_id, term),
-    lengths as (select doc_id, count(*) as size from terms group by doc_id),
-    whole as (select count(*) as n, avg(size) as mean from lengths),
-    idf as (select term, greatest(ln((max(w.n) - count(*) + 0.5) / (count(*) + 0.5)), 0.000001) as idf from postings cross join whole w group by term),
-    asked as (select distinct item_id, <EX>(<WORDS:text>) as term from benchmark),
-    scored as (select a.item_id, p.doc_id, round(sum(i.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.size / w.mean))), 6) as score
-        from asked a join postings p on a.term = p.term join idf i on i.term = p.term join lengths l on l.doc_id = p.doc_id cross join whole w group by a.item_id, p.doc_id),
+ASKED = """with docs as (select doc_id, lang, <FOLDED:coalesce(text, '')> as words from documents),
+    asked as (select item_id, term, count(*) as times from (select item_id, <EX>(<HEAD:words|64>) as term from (select item_id, <FOLDED:text> as words from benchmark) q) x group by item_id, term),
+    postings as (select p.doc_id, p.lang, p.term, max(p.size) as size, count(*) as tf from (select doc_id, lang, <SIZE>(words) as size, <EX>(words) as term from docs) p
+        left semi join (select distinct term from asked) w on p.term = w.term group by p.doc_id, p.lang, p.term)"""
+
+WEIGHT = "a.times * i.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.size / i.mean))"
+
+BM25 = (
+    ASKED
+    + f""",
+    whole as (select count(*) as n, avg(<SIZE>(words)) as mean from docs),
+    idf as (select term, max(w.mean) as mean, case when max(w.n) > 2 * count(*) then ln((max(w.n) - count(*) + 0.5) / (count(*) + 0.5)) else 0.000001 end as idf from postings cross join whole w group by term),
+    scored as (select a.item_id, p.doc_id, round(sum({WEIGHT}), 6) as score from asked a join postings p on a.term = p.term join idf i on i.term = p.term group by a.item_id, p.doc_id),
     lexical as (select * from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as place from scored) x where place <= 24)"""
+)
 
 OVERLAP = """,
     overlap as (select * from (select item_id, doc_id, n, row_number() over (partition by item_id order by n desc, doc_id) as place from
@@ -21,16 +29,71 @@ FUSED = OVERLAP + """,
     fused as (select item_id, doc_id, round(sum(cast(1 as double) / (60 + place)), 6) as score from
         (select item_id, doc_id, cast(place as double) as place from lexical union all select item_id, doc_id, cast(place as double) from overlap) x group by item_id, doc_id)"""
 
+#: Containment of a passage in a document, as words. Spark: documents' runs of eight words meet the passage's first eight (or first
+#: word, if it is shorter), then the whole is compared; the oracle compares all.
+CONTAINED = (
+    """, passages as (select item_id, array_join(words, ' ') as joined, case when size(words) >= 8 then array_join(slice(words, 1, 8), ' ') else words[0] end as probe
+            from (select item_id, regexp_extract_all(lower(text), r'[\\p{L}\\p{N}]+', 0) as words from benchmark) b where size(words) > 0),
+        plain as (select doc_id, regexp_extract_all(lower(text), r'[\\p{L}\\p{N}]+', 0) as words from documents),
+        runs as (select distinct doc_id, explode(concat(words, case when size(words) >= 8 then transform(sequence(1, size(words) - 7), i -> array_join(slice(words, i, 8), ' ')) else array() end)) as probe from plain),
+        meets as (select p.item_id, r.doc_id, p.joined from passages p join runs r on p.probe = r.probe),
+        expected as (select m.item_id, d.doc_id from meets m join plain d on m.doc_id = d.doc_id where locate(concat(' ', m.joined, ' '), concat(' ', array_join(d.words, ' '), ' ')) > 0)""",
+    """, expected as (select b.item_id, d.doc_id from (select item_id, array_to_string(<WORDS:text>, ' ') as joined from benchmark) b
+        join (select doc_id, array_to_string(<WORDS:text>, ' ') as joined from documents) d on length(b.joined) > 0 and contains(' ' || d.joined || ' ', ' ' || b.joined || ' '))""",
+)
+RECALL = """ select count(*) as n_expected, count(l.doc_id) as n_found, round(count(l.doc_id) / cast(count(*) as double), 6) as recall
+    from expected e left join lexical l on l.item_id = e.item_id and l.doc_id = e.doc_id"""
+MRR = """, found as (select e.item_id, min(l.place) as place from expected e join lexical l on l.item_id = e.item_id and l.doc_id = e.doc_id and l.place <= 10 group by e.item_id)
+    select count(*) as n, count(f.place) as n_found, round(sum(coalesce(1 / cast(f.place as double), 0)) / count(*), 6) as mrr from benchmark b left join found f on f.item_id = b.item_id"""
+
+#: Context packing: passages in order of fusion, one token for four characters and one more; a passage that overflows is skipped.
+#: Spark folds over a question's at most 24 candidates; the oracle walks them with a recursive query.
+BUDGET = 2560
+OFFERED = """, offered as (select item_id, f.doc_id, row_number() over (partition by item_id order by f.score desc, f.doc_id) as place, <DIV:length(d.text)|4> + 1 as tokens
+    from fused f join documents d on d.doc_id = f.doc_id)"""
+PACK = (
+    BM25 + FUSED + OFFERED + f""", folded as (select item_id, aggregate(array_sort(collect_list(struct(place, doc_id, tokens))), named_struct('used', 0L, 'kept', cast(array() as array<struct<doc_id: bigint, used: bigint>>)),
+        (s, x) -> case when s.used + x.tokens <= {BUDGET} then named_struct('used', cast(s.used + x.tokens as bigint), 'kept', concat(s.kept, array(named_struct('doc_id', x.doc_id, 'used', cast(s.used + x.tokens as bigint))))) else s end) as r
+        from offered where place <= 24 group by item_id) select item_id, k.doc_id, k.used from (select item_id, explode(r.kept) as k from folded) x""",
+    BM25.replace("with docs", "with recursive docs", 1) + FUSED + OFFERED + f""", walk(item_id, place, doc_id, took, used) as (select item_id, place, doc_id, tokens <= {BUDGET}, cast(case when tokens <= {BUDGET} then tokens else 0 end as bigint) from offered where place = 1
+        union all select o.item_id, o.place, o.doc_id, w.used + o.tokens <= {BUDGET}, cast(case when w.used + o.tokens <= {BUDGET} then w.used + o.tokens else w.used end as bigint)
+        from walk w join offered o on o.item_id = w.item_id and o.place = w.place + 1 where o.place <= 24) select item_id, doc_id, used from walk where took""",
+)
+
 QUERIES = {
     "bm25_topk": BM25 + " select item_id, doc_id, score, place from lexical",
+    "bm25_scoped_corpus": ASKED
+    + f""", whole as (select lang, count(*) as n, avg(<SIZE>(words)) as mean from docs group by lang),
+        idf as (select p.lang, term, max(w.mean) as mean, case when max(w.n) > 2 * count(*) then ln((max(w.n) - count(*) + 0.5) / (count(*) + 0.5)) else 0.000001 end as idf from postings p join whole w on p.lang = w.lang group by p.lang, term),
+        scored as (select p.lang, a.item_id, p.doc_id, round(sum({WEIGHT}), 6) as score from asked a join postings p on a.term = p.term join idf i on i.term = p.term and i.lang = p.lang group by p.lang, a.item_id, p.doc_id)
+        select lang, item_id, doc_id, score, place from (select *, row_number() over (partition by lang, item_id order by score desc, doc_id) as place from scored) x where place <= 6""",
+    "bm25_weighted_columns": """with docs as (select doc_id, <FOLDED:substr(text, 1, 40)> as title, <FOLDED:substr(text, 41)> as body from documents where text is not null),
+        asked as (select item_id, term, count(*) as times from (select item_id, <EX>(<HEAD:words|64>) as term from (select item_id, <FOLDED:text> as words from benchmark) q) x group by item_id, term),
+        whole as (select count(*) as n, avg(<SIZE>(title) + <SIZE>(body)) as mean from docs),
+        postings as (select p.doc_id, p.term, max(p.size) as size, sum(p.weight) as tf from (select doc_id, <SIZE>(title) + <SIZE>(body) as size, <EX>(title) as term, 2 as weight from docs
+            union all select doc_id, <SIZE>(title) + <SIZE>(body), <EX>(body), 1 from docs) p left semi join (select distinct term from asked) w on p.term = w.term group by p.doc_id, p.term),
+        idf as (select term, max(w.mean) as mean, case when max(w.n) > 2 * count(*) then ln((max(w.n) - count(*) + 0.5) / (count(*) + 0.5)) else 0.000001 end as idf from postings cross join whole w group by term)
+        select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from
+        (select a.item_id, p.doc_id, round(sum("""
+    + WEIGHT
+    + """), 6) as score from asked a join postings p on a.term = p.term join idf i on i.term = p.term group by a.item_id, p.doc_id) y) x where place <= 24""",
     "rrf_fusion": BM25 + FUSED + " select item_id, doc_id, score from fused",
     "q_hybrid_search": BM25 + FUSED + " select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from fused) x where place <= 6",
     "final_dedup_cap": BM25 + FUSED + """ select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from
         (select f.*, row_number() over (partition by f.item_id, d.digest order by f.score desc, f.doc_id) as copy from fused f join (select doc_id, <SHA> as digest from documents) d on d.doc_id = f.doc_id) x where copy = 1) y where place <= 6""",
-    "mrr_at_10": BM25 + """, found as (select b.item_id, min(l.place) as place from benchmark b join documents d on position(b.text in d.text) > 0 join lexical l on l.item_id = b.item_id and l.doc_id = d.doc_id and l.place <= 10 group by b.item_id)
-        select count(*) as n, count(f.place) as n_found, round(sum(coalesce(1 / cast(f.place as double), 0)) / count(*), 6) as mrr from benchmark b left join found f on f.item_id = b.item_id""",
-    "comparison_round_robin": BM25 + " select doc_id, item_id, place, row_number() over (order by place, item_id, doc_id) as turn from lexical where place <= 3",
+    "mrr_at_10": (BM25 + CONTAINED[0] + MRR, BM25 + CONTAINED[1] + MRR),
+    "recall_at_k": (BM25 + CONTAINED[0] + RECALL, BM25 + CONTAINED[1] + RECALL),
+    "context_pack": PACK,
+    "comparison_round_robin": (
+        BM25 + """, sized as (select place, item_id div 1024 as bin, count(*) as n from lexical where place <= 3 group by place, item_id div 1024),
+            starts as (select place, bin, sum(n) over (order by place, bin) - n as before from sized)
+            select l.doc_id, l.item_id, l.place, s.before + row_number() over (partition by l.place, l.item_id div 1024 order by l.item_id, l.doc_id) as turn
+            from lexical l join starts s on s.place = l.place and s.bin = l.item_id div 1024""",
+        BM25 + " select doc_id, item_id, place, row_number() over (order by place, item_id, doc_id) as turn from lexical where place <= 3",
+    ),
+    "scope_isolation": BM25 + """ select l.item_id, count(*) as kept_after, min(o.n) as kept_before from (select s.item_id, d.lang, s.place from lexical s join docs d on d.doc_id = s.doc_id where d.lang = 'en') l
+        join (select item_id, least(count(*), 24) as n from scored s join docs d on d.doc_id = s.doc_id where d.lang = 'en' group by item_id) o on o.item_id = l.item_id group by l.item_id""",
     "dense_topk": """select query_id, vec_id, score, place from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from
         (select a.vec_id as query_id, b.vec_id, round(<DOT>, 6) as score from (select vec_id, <VEC> as v from embeddings where vec_id % 50 = 0) a
         join (select vec_id, <VEC> as v from embeddings) b on a.vec_id <> b.vec_id) x) y where place <= 10""",
-}
+}

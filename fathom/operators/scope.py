@@ -16,7 +16,13 @@ QUERIES = {
     "scope_leak_audit": "select d.source, count(*) as n, cast(sum(case when l.doc_id is null then 1 else 0 end) as bigint) as n_outside from documents d left join labels l on d.doc_id = l.doc_id group by d.source",
     "snapshot_latest_revision": "select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) e where r = 1",
     "join_latest_job": "select c.c_custkey, o.o_orderkey, o.o_orderstatus from customer c left join (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) o on o.o_custkey = c.c_custkey and o.r = 1",
-    "join_left_nulls_last": "select d.doc_id, l.quality, row_number() over (order by l.quality desc nulls last, d.doc_id) as place from documents d left join labels l on d.doc_id = l.doc_id",
+    # Spark numbers rows within bins of the order and adds the rows of the bins before; only the bins' counts meet in one task.
+    "join_left_nulls_last": (
+        """with rated as (select d.doc_id, l.quality, coalesce(-l.quality, 9223372036854775807) as major, d.doc_id div 65536 as bin from documents d left join labels l on d.doc_id = l.doc_id),
+            starts as (select major, bin, sum(n) over (order by major, bin) - n as before from (select major, bin, count(*) as n from rated group by major, bin) c)
+            select r.doc_id, r.quality, s.before + row_number() over (partition by r.major, r.bin order by r.doc_id) as place from rated r join starts s on s.major = r.major and s.bin = r.bin""",
+        "select d.doc_id, l.quality, row_number() over (order by l.quality desc nulls last, d.doc_id) as place from documents d left join labels l on d.doc_id = l.doc_id",
+    ),
     "semi_scope": "select doc_id, lang from documents d left semi join (select doc_id from labels where quality = 1) l on d.doc_id = l.doc_id",
     "anti_missing": "select c_custkey from customer left anti join orders on c_custkey = o_custkey",
     "overlap_spans": """select a.o_custkey, a.o_orderkey as left_key, b.o_orderkey as right_key from orders a join orders b

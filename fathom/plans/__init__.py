@@ -1,4 +1,7 @@
-"""The registry of queries: name -> (Spark function, oracle SQL)."""
+"""The registry of queries: name -> (Spark function, oracle SQL).
+
+A family gives for each name one text for both dialects, or a pair: Spark text or function, and oracle text or None.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +10,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.functions import dialect
-from fathom.operators import measures, retrieval, scope, text
+from fathom.operators import answers, corpus, evaluation, measures, retrieval, scope, text
 from fathom.sources import register
 
-TEXTS = scope.QUERIES | text.QUERIES | retrieval.QUERIES | measures.QUERIES
+FAMILIES = (scope, text, retrieval, measures, corpus, answers, evaluation)
+PAIRS = {name: q if isinstance(q, tuple) else (q, q) for family in FAMILIES for name, q in family.QUERIES.items()}
 
 
 def compile_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,8 +29,8 @@ def compile_query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: compile_query(sql) for name, sql in TEXTS.items()}
+    return {name: own if callable(own) else compile_query(own) for name, (own, _) in PAIRS.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: dialect(dialect(sql, 1), 1).replace("left anti join", "anti join").replace("left semi join", "semi join") for name, sql in TEXTS.items()}
+    return {name: dialect(dialect(sql, 1), 1).replace("left anti join", "anti join").replace("left semi join", "semi join") for name, (_, sql) in PAIRS.items() if sql}

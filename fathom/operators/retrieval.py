@@ -17,17 +17,15 @@ BM25 = (
     + f""",
     whole as (select count(*) as n, avg(<SIZE>(words)) as mean from docs),
     idf as (select term, max(w.mean) as mean, case when max(w.n) > 2 * count(*) then ln((max(w.n) - count(*) + 0.5) / (count(*) + 0.5)) else 0.000001 end as idf from postings cross join whole w group by term),
-    scored as (select a.item_id, p.doc_id, round(sum({WEIGHT}), 6) as score from asked a join postings p on a.term = p.term join idf i on i.term = p.term group by a.item_id, p.doc_id),
+    scored as (select a.item_id, p.doc_id, round(sum({WEIGHT}), 6) as score, count(*) as n from asked a join postings p on a.term = p.term join idf i on i.term = p.term group by a.item_id, p.doc_id),
     lexical as (select * from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as place from scored) x where place <= 24)"""
 )
 
-OVERLAP = """,
-    overlap as (select * from (select item_id, doc_id, n, row_number() over (partition by item_id order by n desc, doc_id) as place from
-        (select a.item_id, p.doc_id, count(*) as n from asked a join postings p on a.term = p.term group by a.item_id, p.doc_id) y) x where place <= 24)"""
-
-FUSED = OVERLAP + """,
-    fused as (select item_id, doc_id, round(sum(cast(1 as double) / (60 + place)), 6) as score from
-        (select item_id, doc_id, cast(place as double) as place from lexical union all select item_id, doc_id, cast(place as double) from overlap) x group by item_id, doc_id)"""
+#: Both lanes, by score and by the number of shared words, from one pass over the scores.
+FUSED = """,
+    lanes as (select item_id, doc_id, place from (select *, row_number() over (partition by item_id, lane order by rate desc, doc_id) as place from
+        (select s.item_id, s.doc_id, l.lane, case when l.lane = 1 then s.score else cast(s.n as double) end as rate from scored s cross join (values (1), (2)) l(lane)) y) x where place <= 24),
+    fused as (select item_id, doc_id, round(sum(cast(1 as double) / (60 + cast(place as double))), 6) as score from lanes group by item_id, doc_id)"""
 
 #: Containment of a passage in a document, as words. Spark: documents' runs of eight words meet the passage's first eight (or first
 #: word, if it is shorter), then the whole is compared; the oracle compares all.

@@ -1,4 +1,4 @@
-"""Event counts as a stream: the twin of a batch aggregation, run to completion with availableNow."""
+"""Event counts and gaps as streams: twins of batch aggregations, run to completion with availableNow."""
 
 from __future__ import annotations
 
@@ -17,3 +17,14 @@ def event_counts(spark: SparkSession, folder: str, checkpoint: str, out: str, wi
     query = flat.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{uuid.uuid4().hex}").option("path", out).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+def sessions(spark: SparkSession, folder: str, checkpoint: str, out: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """Runs of a user's events with no gap of that length, as (user_id, start, end, n), written to out as they close."""
+    schema = spark.read.parquet(folder).schema
+    events = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
+    runs = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    flat = runs.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+    query = flat.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{uuid.uuid4().hex}").option("path", out).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(out)

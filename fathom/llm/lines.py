@@ -1,7 +1,9 @@
 """Operator 8, line dedup by a segment-partition edit join. DataFrame functions only.
 
-Lines are the parts of a text between newlines, unchanged. Two lines are near-duplicates if they are equal, or if both
-have ``MIN_CHARS`` code points or more and their edit distance is at most 2; classes are what such links connect.
+Lines are the parts of a text between newlines, unchanged. Two lines are near-duplicates if they are equal, if both
+have ``MIN_CHARS`` code points or more and their edit distance is at most 2, or if the shorter has ``WORDS`` words or more
+(parts between spaces) and their edit distance in whole words is at most one for each full ``WORDS`` words of it, so that
+the threshold grows with the length; classes are what such links connect.
 
 * Each distinct line of l code points is cut into three segments (l // 3 code points, the last ones longer by one). Two
   edits leave one segment intact, so the other line has it as a substring, near its place: of the substrings of the longer
@@ -10,6 +12,11 @@ have ``MIN_CHARS`` code points or more and their edit distance is at most 2; cla
   the join's condition, so families of lines that share segments but differ elsewhere make no rows.
 * Candidates are verified by a bit-parallel edit distance over a band of five diagonals: one 5-bit word of reachable
   diagonals for 0, 1 and 2 errors, advanced a character at a time.
+* For the distance in words: so many edits leave a long run of words intact (``TIERS``). In every window of words the word of
+  smallest hash is an anchor, so the same anchor lies in both lines' runs, and the GRAM words from each anchor are the keys;
+  lines that share a key, and whose numbers of words and counts of words in CLASSES classes allow it, are candidates. Long
+  lines need no segments, since two edits of letters leave such a run too. No pair is lost. Candidates are verified by the
+  edit distance of strings with one character a word.
 * Only distinct lines are indexed; copies, however many, meet as one by a 128-bit hash in an aggregation with map-side
   combine.
 
@@ -30,6 +37,15 @@ from fathom.llm.common import components, saved
 EDITS = 2
 MIN_CHARS = 24
 LETTERS = "etnoahri"
+WORDS = 24
+GRAM = 5
+CLASSES = 7
+COUNTED = 500
+# Fewest and most words of the lines of a tier, and its window. Of a pair's shorter line of n words, n // WORDS edits of words
+# leave a run of (n - n // WORDS) / (n // WORDS + 1) words or more, and two edits of letters, in two words each, one of
+# (n - 4) / 3: of 12, 16 and 19 words from 38, 50 and 96 words on. A tier takes in the longer lines of such pairs too.
+TIERS = ((WORDS, 51, 8), (50, 99, 12), (96, 1 << 30, 15))
+SHORT = 39  # lines of more words meet by word keys only
 FETCH_BUCKETS = 1 << 18
 
 
@@ -107,14 +123,56 @@ def letter_counts(line: Column) -> Column:
     return reduce(lambda p, q: p.bitwiseOR(q), (F.shiftleft(c, 4 * i) for i, c in enumerate(counts)))
 
 
-def counts_differ(a: Column, b: Column) -> Column:
-    """A lower bound of twice the edit distance, from letter_counts."""
+def word_marks(line: Column) -> Column:
+    """array<long> of a line of WORDS words or more: their counts in CLASSES classes (nine bits each; of use up to COUNTED
+    words), and for each of TIERS that the line belongs to the hashes of the GRAM words from each anchor."""
+
+    def keys(h: Column, window: int) -> Column:
+        def anchor(i: Column) -> Column:
+            return F.transform(F.array(F.slice(h, i, window)), lambda part: (F.array_position(part, F.array_min(part)) + i - 1).cast("int"))[0]
+
+        anchors = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (window + GRAM - 2)), anchor))
+        return F.array_distinct(F.transform(anchors, lambda p: F.xxhash64(F.lit(window), F.slice(h, p, GRAM))))
+
+    def marks(h: Column) -> Column:
+        one = lambda s, x: s + F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(x, F.lit(CLASSES)) * 9).cast("int"))
+        counts = F.when(F.size(h) <= COUNTED, F.aggregate(h, F.lit(0).cast("long"), one)).otherwise(F.lit(0).cast("long"))
+        none = F.array().cast("array<long>")
+        return F.concat(F.array(counts), *(F.when(F.size(h).between(low, high), keys(h, window)).otherwise(none) for low, high, window in TIERS))
+
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.transform(F.array(hashes), marks)[0]  # the lambda binds the hashes once
+
+
+def within_words(a: Column, b: Column) -> Column:
+    """True if the shorter of strings a and b has WORDS words or more and their edit distance in words is at most one for
+    each WORDS of them."""
+
+    def near(x: Column) -> Column:
+        edits = F.floor(F.least(F.size(x["a"]), F.size(x["b"])) / WORDS).cast("int")
+
+        def coded(words: Column, known: Column) -> Column:
+            codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0"))
+            return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+
+        def distance(known: Column) -> Column:
+            return F.call_function("levenshtein", coded(x["a"], known), coded(x["b"], known), edits)
+
+        found = F.transform(F.array(F.array_distinct(F.concat(x["a"], x["b"]))), distance)[0]
+        return F.when((edits > 0) & (F.abs(F.size(x["a"]) - F.size(x["b"])) <= edits), found >= 0).otherwise(False)
+
+    return F.transform(F.array(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b"))), near)[0]
+
+
+def counts_differ(a: Column, b: Column, fields: int = len(LETTERS), bits: int = 4) -> Column:
+    """How far counts of so many bits differ: from letter_counts, a lower bound of twice the edit distance."""
+    most = (1 << bits) - 1
 
     def one(i: int) -> Column:
-        d = F.abs(F.shiftright(a, 4 * i).bitwiseAND(15) - F.shiftright(b, 4 * i).bitwiseAND(15))
-        return F.least(d, F.lit(16) - d)
+        d = F.abs(F.shiftright(a, bits * i).bitwiseAND(most) - F.shiftright(b, bits * i).bitwiseAND(most))
+        return F.least(d, F.lit(most + 1) - d)
 
-    return reduce(lambda p, q: p + q, (one(i) for i in range(len(LETTERS))))
+    return reduce(lambda p, q: p + q, (one(i) for i in range(fields)))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -128,24 +186,41 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of places struct<doc_id,line_no> of distinct lines that share a segment as the join asks."""
+    """Pairs (a, b) of places struct<doc_id,line_no> of distinct lines that share a segment, or anchored words, as the joins ask."""
     probes = probe_keys(edits)
     equal, found = len(probes[0]), index_keys(edits)
+    asks = sum(map(len, probes.values()))
     marked = named(docs.where("doc_id is not null")).withColumns({"n": F.char_length("line"), "wide": F.encode("line", "UTF-32")}).where(F.col("n") >= min_chars)
-    # one array for both kinds of keys: so both sides of the join read the same aggregation, which runs once
-    keys = F.array(*found, *(k for ks in probes.values() for k in ks))
-    marked = marked.select("ha", "hb", F.struct("doc_id", "line_no").alias("id"), letter_counts(F.col("line")).alias("letters"), keys.alias("keys"))
-    distinct = marked.groupBy("ha", "hb").agg(F.min("id").alias("id"), F.first("letters").alias("letters"), F.first("keys").alias("keys"))
-    table = distinct.select(F.col("id").alias("a"), F.col("letters").alias("la"), F.explode(F.slice("keys", 1, len(found))).alias("key")).alias("t")
-    rest = F.slice("keys", len(found) + 1, sum(map(len, probes.values())))
-    asked = distinct.select(F.col("id").alias("b"), F.col("letters").alias("lb"), F.posexplode(rest).alias("at", "key")).alias("p")
+    # one array for all marks and keys: so every side of the joins reads the same aggregation, whose exchange runs once
+    count = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    short = SHORT if edits <= EDITS else 1 << 30
+    none = F.array().cast("array<long>")
+    parts = F.when(count <= short, F.array(*found, *(k for ks in probes.values() for k in ks))).otherwise(none)
+    keys = F.concat(F.array(letter_counts(F.col("line")).cast("long"), count.cast("long")), parts, F.when(count >= WORDS, word_marks(F.col("line"))).otherwise(none))
+    marked = marked.select("ha", "hb", F.struct("doc_id", "line_no").alias("id"), keys.alias("keys"))
+    distinct = marked.groupBy("ha", "hb").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    brief = distinct.where(F.get("keys", F.lit(1)) <= short)
+    table = brief.select(F.col("id").alias("a"), F.get("keys", F.lit(0)).alias("la"), F.explode(F.slice("keys", 3, len(found))).alias("key")).alias("t")
+    rest = F.slice("keys", len(found) + 3, asks)
+    asked = brief.select(F.col("id").alias("b"), F.get("keys", F.lit(0)).alias("lb"), F.posexplode(rest).alias("at", "key")).alias("p")
     near = counts_differ(F.col("la"), F.col("lb")) <= 2 * edits
     order = (F.col("a") != F.col("b")) & ((F.col("at") >= equal) | (F.col("a") < F.col("b")))
-    return table.join(asked, (F.col("t.key") == F.col("p.key")) & order & near).select("a", "b").distinct()
+    pairs = table.join(asked, (F.col("t.key") == F.col("p.key")) & order & near).select("a", "b")
+
+    n = F.get("keys", F.lit(1))
+    past = F.when(n <= short, 2 + len(found) + asks).otherwise(2)
+    grams = F.explode(F.slice("keys", past + 2, F.size("keys") - past - 1)).alias("key")
+    worded = distinct.where(n >= WORDS).select("id", n.cast("int").alias("n"), F.get("keys", past).alias("m"), grams).repartition("key")
+    left, right = (worded.withColumnsRenamed({"id": x, "n": f"n{x}", "m": f"m{x}"}) for x in "ab")
+    allowed = F.floor(F.least("na", "nb") / WORDS)
+    alike = (F.greatest("na", "nb") > COUNTED) | (counts_differ(F.col("ma"), F.col("mb"), CLASSES, 9) <= F.greatest(2 * allowed, F.lit(3 * edits)))
+    alike = (F.abs(F.col("na") - F.col("nb")) <= F.greatest(allowed, F.lit(edits))) & alike
+    long = left.alias("t").join(right.alias("p"), (F.col("t.key") == F.col("p.key")) & (F.col("a") < F.col("b")) & alike).select("a", "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(long).distinct()
 
 
 def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of places of distinct lines within edits of each other."""
+    """Pairs (a, b) of places of distinct lines within edits of each other, or within a word for each WORDS words."""
     pairs = saved(candidates(docs, edits, min_chars), "line-candidates")
     places = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     # texts are fetched through a bucket filter of bounded size: FETCH_BUCKETS rows at most
@@ -154,7 +229,7 @@ def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> Da
     texts = lines(texts).select(F.struct("doc_id", "line_no").alias("id"), "line").join(places, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
     texts = saved(texts, "line-texts")
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "y"}), "b")
-    return both.where(within(F.col("x"), F.col("y"), edits)).select("a", "b")
+    return both.where(within(F.col("x"), F.col("y"), edits) | within_words(F.col("x"), F.col("y"))).select("a", "b")
 
 
 def bucket_of(name: str) -> Column:

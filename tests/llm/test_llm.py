@@ -377,6 +377,26 @@ def test_op8(spark, empty):
     assert all(x.kept for x in lines.classes(nulls).collect())
 
 
+def test_op8_words(spark):
+    """Long lines link by edits of whole words, one for each 24 words of the shorter line."""
+    r = random.Random(24)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(4, 9)))
+    base = [[word() for _ in range(n)] for n in (20, 23, 24, 30, 47, 48, 71, 72, 100, 130, 400)] + [["ha"] * 60]
+    made = [list(b) for b in base for _ in range(8)]
+    for w in made:
+        for _ in range(r.randint(0, len(w) // 24 + 1)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.choice([0, 1])] = r.choice([[], [word()], [word()]])
+    made.append(made[-20][:200] + [word()] + made[-20][201:])
+    near = lambda x, y: lev(" ".join(x), " ".join(y)) <= 2 if len(x) < 48 else False
+    pairs = [(a, b) for a in range(len(made)) for b in range(a) if abs(len(made[a]) - len(made[b])) <= 20]
+    pairs = [(a, b) for a, b in pairs if (e := min(len(made[a]), len(made[b])) // 24) and lev(made[a], made[b]) <= e or made[a] == made[b] or near(made[a], made[b])]
+    root = union_find(len(made), pairs)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    got = {x.doc_id: x.class_doc_id for x in lines.classes(df).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < len({" ".join(w) for w in made})
+
+
 def test_op8_distance(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("ab") for _ in range(r.randint(0, 7)))

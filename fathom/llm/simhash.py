@@ -5,6 +5,9 @@ most 3 bits: of two 32-bit segments at least one differs in at most one bit, so
 each segment, the Hamming ball of radius 1 (33 keys), and complete distances decide. Only distinct fingerprints are
 indexed, so copies cost nothing; each link is emitted once.
 
+``near_copies`` finds, for the pipeline, all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8
+or more, by prefixes of the shingles in the order of their hashes; the sets themselves decide.
+
 Null or wordless texts have the fingerprint zero and link like any other. Rows with a null doc_id get a fingerprint and
 no component. A doc_id that repeats is one node. An empty table gives an empty result.
 """
@@ -23,21 +26,26 @@ from pyspark.sql import functions as F
 from fathom.llm.common import components, saved, tune
 
 SHINGLE = 3
+COPY_SHINGLE = 5
 SEED = 42
 SEGMENT = 32
 BALL = 1
 BLOCK = 1 << 16
 
 
+def shingles(text: str | None, shingle: int) -> list[bytes]:
+    """The word shingles of a text; its words as one where they are fewer; none of a wordless text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < shingle:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+
+
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint as an unsigned integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    grams = shingles(text, shingle)
+    if not grams:
         return 0
-    if len(words) < shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
     ones = np.zeros(64, np.int64)
     for at in range(0, len(grams), BLOCK):
         part = grams[at : at + BLOCK]
@@ -82,3 +90,54 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = 3) ->
     classes = reps.join(found, reps.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = marked.join(classes, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """Links (a, b) between doc_ids of docs (doc_id, text) that connect all texts of Jaccard similarity 0.8 or more.
+
+    Of a pair, the larger set of n shingles shares one of its n - ceil(0.8 n) + 1 smallest hashes with the n - ceil(8 n / 9) + 1
+    smallest of the other. Equal sets are indexed once; each of their texts links to the smallest doc_id. Wordless texts
+    have no link here.
+    """
+    tune(docs.sparkSession)
+    schema = "doc_id long, n int, ha long, hb long, keys array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sizes, named, keys = [], [], ([], []), []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+                grams = set(shingles(t.as_py(), shingle))
+                if not grams:
+                    continue
+                h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)).view(np.int64))
+                ids.append(i)
+                sizes.append(len(h))
+                for k in range(2):
+                    named[k].append(xxhash.xxh64_intdigest(h.tobytes(), k))
+                keys.append(h[: len(h) - (4 * len(h) + 4) // 5 + 1])
+            both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in named]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), *both, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "ha", "hb", "keys"])
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    sets = saved(texts.mapInArrow(run, schema), "copy-sets")
+    reps = saved(sets.groupBy("ha", "hb").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copy-reps")
+    same = sets.select("doc_id", "ha", "hb").join(reps.select("ha", "hb", "id"), ["ha", "hb"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+
+    table = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.posexplode(F.expr("slice(keys, 1, n - (8 * n + 8) div 9 + 1)")).alias("i", "key"))
+    asked = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.posexplode("keys").alias("j", "key"))
+    order = "(na < nb or na = nb and a <> b) and 5 * na >= 4 * nb"  # equal sizes are asked from both ends
+    room = "9 * (least(i, j) + least(na - i, nb - j)) >= 4 * (na + nb)"  # most that the sets can share
+    pairs = saved(table.join(asked, "key").where(f"{order} and {room}").select("a", "b").distinct(), "copy-candidates")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = set(shingles(x.as_py(), shingle)), set(shingles(y.as_py(), shingle))
+                good.append(9 * len(x & y) >= 4 * (len(x) + len(y)))
+            yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    texts = saved(texts.join(needed, "doc_id", "left_semi"), "copy-texts")
+    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").union(same)

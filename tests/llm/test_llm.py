@@ -467,6 +467,32 @@ def test_op10_links(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_simhash_stage_copies(spark):
+    """The pipeline's stage drops every near copy by five-word shingles, also beyond 3 bits; and all equal sets."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    base = [["w%d" % r.randrange(5000) for _ in range(n)] for n in (3, 5, 6, 9, 14, 40, 60, 90, 150, 300)]
+    made = [list(b) for b in base for _ in range(9)]
+    for k, w in enumerate(made):
+        at = r.randrange(len(w) + 1)
+        cut = r.randint(0, len(w) // 12 + 1) if k % 9 else 0
+        w[at : at + cut] = ["n%d" % r.randrange(5000) for _ in range(r.choice([0, cut, cut // 2]))]
+        if r.random() < 0.3:
+            w.append("end")
+    texts = [" ".join(w) for w in made] + ["", None, "one", "ONE ", "a b " * 30, "a b " * 40]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in texts)]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = simhash.near_copies(df).collect()
+    assert union_find(len(texts), [(x.a, x.b) for x in got]) == union_find(len(texts), alike)
+    fp = [brute_simhash(t) for t in texts]
+    bits = [(a, b) for a in range(len(texts)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 3]
+    root = union_find(len(texts), alike + bits)
+    assert sorted(x.doc_id for x in corpus_pipeline.simhash_stage(spark, df, "").collect()) == [k for k in range(len(texts)) if root[k] == k]
+    assert root != union_find(len(texts), bits)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from tokenizers import Tokenizer

@@ -248,14 +248,14 @@ def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), F.coalesce(F.col("class") == id_, F.lit(True)).alias("kept"))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) without the lines of min_chars or more that are not the first of their class.
 
-    Short lines stay, since they repeat by chance. Texts that lose every line become empty; null texts stay null.
+    Shorter lines stay, since they repeat by chance; with short, exact repeats of them go too, empty lines included. Texts that lose every line become empty; null texts stay null.
     """
     drop = classes(docs, edits, min_chars).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_drop"))
     names = docs.columns
     both = docs.join(drop.withColumnRenamed("doc_id", "_doc"), docs.doc_id.cast("long") == F.col("_doc"), "left")
     parts = F.split("text", "\n", -1)
-    stay = F.filter(parts, lambda x, i: (F.char_length(x) < min_chars) | ~F.array_contains(F.col("_drop"), i))
+    stay = F.filter(parts, lambda x, i: (F.lit(not short) & (F.char_length(x) < min_chars)) | ~F.array_contains(F.col("_drop"), i))
     return both.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).select(*names)

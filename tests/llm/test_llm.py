@@ -397,6 +397,16 @@ def test_op8_words(spark):
     assert got == dict(enumerate(root)) and len(set(root)) < len({" ".join(w) for w in made})
 
 
+def test_op8_short_repeats(spark):
+    """The pipeline's stage removes exact repeats of short lines too."""
+    import corpus_pipeline
+
+    rows = [(1, "All rights reserved.\none"), (2, "two\nAll rights reserved."), (3, "All rights reserved."), (4, "three\nthree\nThree"), (None, "one")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in corpus_pipeline.line_stage(spark, df, "").collect()}
+    assert got == {1: "All rights reserved.\none", 2: "two", 4: "three\nThree", None: "one"}
+
+
 def test_op8_distance(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("ab") for _ in range(r.randint(0, 7)))

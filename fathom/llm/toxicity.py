@@ -204,19 +204,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     freq = dict(found.select(F.explode("positions").alias("p")).groupBy("p").count().collect())  # max_terms rows
     total = found.count()
     idf = np.array([np.log((1 + total) / (1 + freq.get(n, 0))) + 1e-9 if freq.get(n) else 0.0 for n in range(len(words))])
-    rows = found.join(F.broadcast(given), "doc_id").where("size(positions) > 0").orderBy("doc_id", "positions").limit(2 * max_examples).collect()
+    rows = found.join(F.broadcast(given), "doc_id").where("size(positions) > 0").groupBy("doc_id", "toxic").agg(F.min(F.struct("positions", "counts")).alias("v"))
+    rows = rows.orderBy("doc_id").collect()  # max_examples rows, however often a doc_id repeats
     bare = found.join(F.broadcast(given), "doc_id").where("size(positions) = 0").agg(F.count("*"), F.sum("toxic")).first()
     base = (bare[1] or 0) / (bare[0] + 1)
     model = Model(Index.build([], [], []), idf, base, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    examples, seen = [], set()
-    for r in rows:
-        if r.doc_id not in seen:
-            seen.add(r.doc_id)
-            examples.append((model.vector(r.positions, r.counts), r.toxic, r.doc_id))
+    examples = [(model.vector(r.v.positions, r.v.counts), r.toxic, r.doc_id) for r in rows]
     model.index = Index.build([e[0] for e in examples], [e[1] for e in examples], [e[2] for e in examples])
-    probe = range(0, len(examples), max(1, len(examples) // 2000))
-    votes = np.array([model.vote(examples[n][0], n)[0] for n in probe])
-    model.steps = calibration(votes, np.array([examples[n][1] for n in probe]))
+    votes = np.array([model.vote(e[0], n)[0] for n, e in enumerate(examples)])
+    model.steps = calibration(votes, np.array([e[1] for e in examples]))
     return words, model, found
 
 

@@ -149,6 +149,28 @@ def test_op2(spark, docs, empty):
     assert {x.score for x in toxicity.scores(df, labels.limit(0)).collect()} == {0.0}
 
 
+def test_op2_learns_from_every_example(spark, monkeypatch):
+    """All examples with a term calibrate, also 4,000 and more, and whatever their doc_ids' copies."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "idiot scum" if i % 4 == 0 else "fine idea" if i % 24 == 1 else "fine day") for i in range(22000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    seen, real = [], toxicity.calibration
+    monkeypatch.setattr(toxicity, "calibration", lambda votes, y: seen.append(len(votes)) or real(votes, y))
+    words, model, _ = toxicity.fit(df, labels)
+    taught = [i for i, t in rows if zlib.crc32(str(i).encode()) % 5 and set(toxicity.terms(t)) & set(words)]
+    assert seen == [len(taught)] and len(taught) >= 4000
+
+    every = df.where("doc_id % 4 = 0 and doc_id < 1200")
+    few = df.where("doc_id < 1200")
+    for _ in range(9):
+        few = few.union(every)
+    words, model, _ = toxicity.fit(few, labels.where("doc_id < 1200"), 300)
+    given = labels.where("doc_id < 1200").where(~toxicity.is_held_out()).orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(300).collect()
+    assert model.index.ids.tolist() == sorted(x.doc_id for x in given if set(toxicity.terms(rows[x.doc_id][1])) & set(words))
+
+
 def test_op2_nearest_is_exact():
     r = random.Random(2)
     vec = lambda: (lambda v: {t: x / sum(y * y for y in v.values()) ** 0.5 for t, x in v.items()})({r.randrange(30): r.random() + 0.1 for _ in range(r.randint(1, 6))})

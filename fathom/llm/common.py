@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 ARROW_ROWS = 2000
 ARROW_BYTES = 8 << 20
+FILTER_ROWS = 1 << 18
 
 
 def tune(spark: SparkSession) -> None:
@@ -54,6 +55,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def among(df: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose column name (long) is in ids (one long column): a bit filter of at most ``FILTER_ROWS`` longs is broadcast,
+    so that of few ids only few rows are shuffled; the semi join decides."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * FILTER_ROWS))
+    ids = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit(F.col(name)) % 64).cast("int"))
+    bits = ids.groupBy(F.expr(f"pmod(xxhash64({name}), {64 * FILTER_ROWS}) div 64").alias("_word")).agg(F.bit_or(one).alias("_bits"))
+    held = F.call_function("shiftright", F.col("_bits"), (bit(F.col(name)) % 64).cast("int")).bitwiseAND(1) == 1
+    some = df.join(F.broadcast(bits), F.expr(f"pmod(xxhash64({name}), {64 * FILTER_ROWS}) div 64") == F.col("_word")).where(held)
+    return some.drop("_word", "_bits").join(ids, name, "left_semi")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of links (a long, b long): (node, component), component = smallest node reachable.
 

@@ -1,28 +1,26 @@
 """Operator 8, line dedup by a segment-partition edit join. DataFrame functions only.
 
-Lines are the parts of a text between newlines, unchanged. Two lines are near-duplicates if they are equal, if both
-have ``MIN_CHARS`` code points or more and their edit distance is at most 2, or if the shorter has ``WORDS`` words or more
-(parts between spaces) and their edit distance in whole words is at most one for each full ``WORDS`` words of it, so that
-the threshold grows with the length; classes are what such links connect.
-
-* Each distinct line of l code points is cut into three segments (l // 3 code points, the last ones longer by one). Two
-  edits leave one segment intact, so the other line has it as a substring, near its place: of the substrings of the longer
-  line only those that the multi-match-aware rule allows are probed, for each length l, l - 1 and l - 2.
-* A pair whose counts of eight frequent letters differ by more than two edits can make is no candidate; this is part of
-  the join's condition, so families of lines that share segments but differ elsewhere make no rows.
-* Candidates are verified by a bit-parallel edit distance over a band of five diagonals: one 5-bit word of reachable
-  diagonals for 0, 1 and 2 errors, advanced a character at a time.
-* For the distance in words: so many edits leave a long run of words intact (``TIERS``). In every window of words the word of
-  smallest hash is an anchor, so the same anchor lies in both lines' runs, and the GRAM words from each anchor are the keys;
-  lines that share a key, and whose numbers of words and counts of words in CLASSES classes allow it, are candidates. Long
-  lines need no segments, since two edits of letters leave such a run too. No pair is lost. Candidates are verified by the
-  edit distance of strings with one character a word.
-* Only distinct lines are indexed; copies, however many, meet as one by a 128-bit hash in an aggregation with map-side
-  combine.
-
-A null text has no line; an empty text has one empty line. Rows with a null doc_id have classes of their own and count in
-no class. If a doc_id repeats, the equal (doc_id, line number) of its rows counts as one place. An empty table gives an
-empty result.
+Lines are the parts of a text between newlines, unchanged; a line's words are its parts between single spaces. Two lines are
+near-duplicates if they are equal, or if their edit distance in whole words (a word replaced, added or left out) is at most
+``edits_of(n)``, n being the words of the shorter line: 0 below 5 words, 1 below 10 (so that a similarity of 0.8 is kept), 2
+from 10 words on and from 144 on the root of n / 16, up to 30. Classes are what such links connect.
+
+* Each distinct line of n words is cut into edits_of(n) + 1 segments. So many edits leave one segment intact, so the other line
+  has it as a run of words near its place: of the runs of the longer line only those that the multi-match-aware rule allows are
+  probed, for each length from n on that the threshold allows. Segments and runs meet by 64-bit hash.
+* Keys are counted first, with map-side combine; only lines that share a key with another line go on, by a join that adaptive
+  execution can split. Their texts are fetched through a bit filter of bounded size.
+* Lines that share a key of at most ``GROUP`` lines are compared with each other. In a larger group every line is compared with
+  the group's most copied segment line only, one row a line. Where that leaves a group in one component, nothing is missing; in
+  the others lines of different components are compared, and then all is done. Pairs whose numbers of words, or counts of
+  words in CLASSES classes, differ by more than the threshold allows make no rows: that is part of the joins' conditions.
+* Candidates are verified by a banded bit-parallel edit distance: two words of 2 k + 1 bits hold the vertical differences of the
+  band, advanced a word of the line at a time.
+* Only distinct lines are indexed; copies, however many, meet as one by a 128-bit hash in an aggregation with map-side combine.
+
+A place is (doc_id, line number, 64-bit hash of the text), so that rows sharing a doc_id but not their text stay apart; rows
+that share both are one document. A null text has no line; an empty text has one empty line. Rows with a null doc_id have
+classes of their own and count in no class. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,152 +30,96 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import components, saved
+from fathom.llm.common import among, components, saved
 
-EDITS = 2
-MIN_CHARS = 24
-LETTERS = "etnoahri"
-WORDS = 24
-GRAM = 5
-CLASSES = 7
-COUNTED = 500
-# Fewest and most words of the lines of a tier, and its window. Of a pair's shorter line of n words, n // WORDS edits of words
-# leave a run of (n - n // WORDS) / (n // WORDS + 1) words or more, and two edits of letters, in two words each, one of
-# (n - 4) / 3: of 12, 16 and 19 words from 38, 50 and 96 words on. A tier takes in the longer lines of such pairs too.
-TIERS = ((WORDS, 51, 8), (50, 99, 12), (96, 1 << 30, 15))
-SHORT = 39  # lines of more words meet by word keys only
-FETCH_BUCKETS = 1 << 18
+SIMILAR = 5  # words for each edit of a short line
+TWO = 2 * SIMILAR
+LONG = 144
+ROOT = 16
+MOST = 30  # the band of 61 diagonals fits one long
+GROUP = 32
+CLASSES = 8
+BITS = 7
+PLACE = ("doc_id", "line_no", "row")
 
 
-def segments(size: str, edits: int = EDITS) -> list[tuple[str, str]]:
-    """SQL for start (from 1) and length of each of edits + 1 segments of a line of size (SQL) code points."""
-    parts = edits + 1
-    sizes = [f"(({size}) + {i}) div {parts}" for i in range(parts)]
-    return [("cast(" + " + ".join(["1", *sizes[:i]]) + " as int)", f"cast({s} as int)") for i, s in enumerate(sizes)]
+def edits_of(n: str) -> str:
+    """SQL for the edits that a line of n (SQL) words allows."""
+    grown = f"cast(least({MOST}, floor(sqrt(({n}) / {ROOT}))) as int)"
+    return f"case when ({n}) < {SIMILAR} then 0 when ({n}) < {TWO} then 1 when ({n}) < {LONG} then 2 else {grown} end"
 
 
-def key(length: str, segment: int, start: str, size: str) -> Column:
-    return F.expr(f"xxhash64({length}, {segment}, substring(wide, 4 * ({start}) - 3, 4 * ({size})))")
+def keys_of(h: str = "h") -> Column:
+    """Of a line with word hashes h (SQL): the keys of its segments, edits_of(n) + 1, then those that it only probes.
 
-
-def index_keys(edits: int = EDITS) -> list[Column]:
-    """Keys under which a line (columns n, and wide, four bytes a code point) is found."""
-    return [key("n", i, p, s) for i, (p, s) in enumerate(segments("n", edits))]
-
-
-def probe_keys(edits: int = EDITS) -> dict[int, list[Column]]:
-    """Keys that a line (columns n and wide) looks up, by how much shorter the other line is."""
-    out: dict[int, list[Column]] = {}
-    for short in range(edits + 1):
-        for i, (p, s) in enumerate(segments(f"n - {short}", edits)):
-            low = max(-i, short - (edits - i))
-            high = min(i, short + (edits - i))
-            out.setdefault(short, []).extend(key(f"n - {short}", i, f"{p} + {shift}", s) for shift in range(low, high + 1))
-    return out
-
-
-def within(a: Column, b: Column, edits: int = EDITS) -> Column:
-    """True if the edit distance of strings a and b is at most edits.
-
-    Bit e * w + d of the state says that diagonal d - edits is reachable with e errors; w = 2 * edits + 1 diagonals.
+    A line of n - d words has segments of (n - d) div q words, the last (n - d) mod q of them one longer, q = edits + 1. Segment i
+    may lie s words further right in the longer line, if neither what comes before it nor what comes after needs too many edits.
     """
-    width = 2 * edits + 1
-    full = (1 << width) - 1
-    start, word = 0, 1 << edits
-    for e in range(edits + 1):
-        start |= word << (e * width)
-        word |= word << 1 & full
-
-    def final(x: Column) -> Column:
-        def step(state: Column, j: Column) -> Column:
-            c = F.get(x["b"], j)
-            same = reduce(lambda p, q: p + q, (F.when(F.get(x["a"], j + (d - edits)) == c, 1 << d).otherwise(0) for d in range(width)))
-            # no diagonal left stays so; and while the main diagonal agrees, the first state reproduces itself
-            agree = (state == start) & (F.get(x["a"], j) == c)
-            return F.when(state == 0, state).when(agree, state).otherwise(advance(state, same))
-
-        n = F.size(x["b"])
-        return F.aggregate(F.filter(F.sequence(F.lit(0), n), lambda j: j < n), F.lit(start), step)
-
-    def advance(state: Column, same: Column) -> Column:
-        # substitution keeps the diagonal, a letter of b alone lowers it, a letter of a alone raises it
-        old = [F.shiftright(state, e * width).bitwiseAND(full) for e in range(edits + 1)]
-        kept = [o.bitwiseAND(same) for o in old]
-        new, out = kept[0], kept[0]
-        for e in range(1, edits + 1):
-            new = kept[e].bitwiseOR(old[e - 1]).bitwiseOR(F.shiftright(old[e - 1], 1)).bitwiseOR(F.shiftleft(new, 1)).bitwiseAND(full)
-            out = out + F.shiftleft(new, e * width)
-        return out
-
-    some = lambda c: c != ""  # noqa: E731  an empty string splits into one empty part
-    letters = F.struct(F.filter(F.split(a, ""), some).alias("a"), F.filter(F.split(b, ""), some).alias("b"))
-    state = F.transform(F.array(letters), final)[0]  # the lambda binds the split strings once
-    at = F.char_length(a) - F.char_length(b) + edits
-    reached = reduce(lambda p, q: p.bitwiseOR(q), (F.shiftright(state, e * width) for e in range(edits + 1)))
-    return (F.abs(at - edits) <= edits) & (F.call_function("shiftright", reached, at).bitwiseAND(1) == 1)
-
-
-def letter_counts(line: Column) -> Column:
-    """Counts of LETTERS modulo 16, four bits each."""
-    counts = ((F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit("")))) % 16 for c in LETTERS)
-    return reduce(lambda p, q: p.bitwiseOR(q), (F.shiftleft(c, 4 * i) for i, c in enumerate(counts)))
-
+    n = f"size({h})"
+    low, high = "greatest(-i, x.d - (x.e - i))", "least(i, x.d + (x.e - i))"
+    start = "i * ((n - x.d) div (x.e + 1)) + greatest(0, i - (x.e + 1 - (n - x.d) % (x.e + 1)))"
+    size = "(n - x.d) div (x.e + 1) + if(i >= x.e + 1 - (n - x.d) % (x.e + 1), 1, 0)"
+    key = f"xxhash64(n - x.d, i, slice({h}, cast({start} + s + 1 as int), cast({size} as int)))"
 
-def word_marks(line: Column) -> Column:
-    """array<long> of a line of WORDS words or more: their counts in CLASSES classes (nine bits each; of use up to COUNTED
-    words), and for each of TIERS that the line belongs to the hashes of the GRAM words from each anchor."""
+    def every(shorter: str, shifts: str) -> str:
+        one = f"transform(sequence(0, x.e), i -> transform({shifts}, s -> {key}))"
+        text = f"flatten(transform({shorter}, x -> flatten({one})))"
+        return text.replace("(n -", f"({n} -").replace("xxhash64(n -", f"xxhash64({n} -")
 
-    def keys(h: Column, window: int) -> Column:
-        def anchor(i: Column) -> Column:
-            return F.transform(F.array(F.slice(h, i, window)), lambda part: (F.array_position(part, F.array_min(part)) + i - 1).cast("int"))[0]
+    less = f"transform(sequence(0, {edits_of(n)}), d -> struct(d, {edits_of(f'{n} - d')} as e))"
+    less = f"filter({less}, x -> x.e >= x.d and x.e > 0)"
+    own = every(f"filter({less}, x -> x.d = 0)", "array(0)")
+    asked = every(less, f"filter(sequence({low}, {high}), s -> x.d > 0 or s <> 0)")
+    return F.expr(f"array_distinct(concat({own}, {asked}))")
 
-        anchors = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (window + GRAM - 2)), anchor))
-        return F.array_distinct(F.transform(anchors, lambda p: F.xxhash64(F.lit(window), F.slice(h, p, GRAM))))
 
-    def marks(h: Column) -> Column:
-        one = lambda s, x: s + F.call_function("shiftleft", F.lit(1).cast("long"), (F.pmod(x, F.lit(CLASSES)) * 9).cast("int"))
-        counts = F.when(F.size(h) <= COUNTED, F.aggregate(h, F.lit(0).cast("long"), one)).otherwise(F.lit(0).cast("long"))
-        none = F.array().cast("array<long>")
-        return F.concat(F.array(counts), *(F.when(F.size(h).between(low, high), keys(h, window)).otherwise(none) for low, high, window in TIERS))
+def word_hashes(line: str = "line") -> Column:
+    return F.expr(f"transform(split({line}, ' ', -1), w -> xxhash64(w))")
 
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    return F.transform(F.array(hashes), marks)[0]  # the lambda binds the hashes once
 
+def word_counts(h: str = "h") -> Column:
+    """The line's words counted in CLASSES classes, modulo 2 ** BITS, packed into one long."""
+    shift, field = f"cast(pmod(w, {CLASSES}) * {BITS} as int)", f"{(1 << BITS) - 1}L"
+    step = f"(c & ~shiftleft({field}, {shift})) | ((c + shiftleft(1L, {shift})) & shiftleft({field}, {shift}))"
+    return F.expr(f"aggregate({h}, 0L, (c, w) -> {step})")
 
-def within_words(a: Column, b: Column) -> Column:
-    """True if the shorter of strings a and b has WORDS words or more and their edit distance in words is at most one for
-    each WORDS of them."""
 
-    def near(x: Column) -> Column:
-        edits = F.floor(F.least(F.size(x["a"]), F.size(x["b"])) / WORDS).cast("int")
+def counts_differ(a: Column, b: Column) -> Column:
+    """How far two lines' word_counts differ: at most twice their edit distance."""
+    most = (1 << BITS) - 1
 
-        def coded(words: Column, known: Column) -> Column:
-            codes = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0"))
-            return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
-
-        def distance(known: Column) -> Column:
-            return F.call_function("levenshtein", coded(x["a"], known), coded(x["b"], known), edits)
-
-        found = F.transform(F.array(F.array_distinct(F.concat(x["a"], x["b"]))), distance)[0]
-        return F.when((edits > 0) & (F.abs(F.size(x["a"]) - F.size(x["b"])) <= edits), found >= 0).otherwise(False)
-
-    return F.transform(F.array(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b"))), near)[0]
+    def one(i: int) -> Column:
+        d = F.abs(F.shiftrightunsigned(a, BITS * i).bitwiseAND(most) - F.shiftrightunsigned(b, BITS * i).bitwiseAND(most))
+        return F.least(d, F.lit(most + 1) - d)
 
+    return reduce(lambda p, q: p + q, (one(i) for i in range(CLASSES)))
 
-def counts_differ(a: Column, b: Column, fields: int = len(LETTERS), bits: int = 4) -> Column:
-    """How far counts of so many bits differ: from letter_counts, a lower bound of twice the edit distance."""
-    most = (1 << bits) - 1
 
-    def one(i: int) -> Column:
-        d = F.abs(F.shiftright(a, bits * i).bitwiseAND(most) - F.shiftright(b, bits * i).bitwiseAND(most))
-        return F.least(d, F.lit(most + 1) - d)
+def within(a: str, b: str, k: str) -> Column:
+    """True if the edit distance of the arrays a and b (SQL) is at most k (SQL, at most MOST), in words or whatever they hold.
 
-    return reduce(lambda p, q: p + q, (one(i) for i in range(fields)))
+    A band of the table of distances is kept as bits: bit d stands for the cell d - k places above a's diagonal. up and down say
+    where the distance grows or falls by one from the cell above; the distance itself is followed along the diagonal on which
+    both arrays end. A step takes in one element of b.
+    """
+    full = "(shiftleft(1L, 2 * p.k + 1) - 1)"
+    same = "aggregate(sequence(0, 2 * p.k), 0L, (m, d) -> if(get(p.a, j - p.k + d) <=> get(p.b, j) and get(p.a, j - p.k + d) is not null, m | shiftleft(1L, d), m))"
+    zero = "(((((q.same & t.up) + t.up) ^ t.up) | q.same | t.down) & " + full + ")"
+    up = f"((t.down | ~(q.zero | t.up)) & {full})"
+    moved = (
+        f"named_struct('up', ((q.zero & t.up) | ~(shiftrightunsigned(q.zero, 1) | {up})) & {full}, 'down', shiftrightunsigned(q.zero, 1) & {up}, "
+        "'far', t.far + if((shiftrightunsigned(q.zero, size(p.a) - size(p.b) + p.k) & 1) = 1, 0, 1))"
+    )
+    bound = lambda name, value, body: f"element_at(transform(array(named_struct('{name}', {value})), q -> {body}), 1)"  # noqa: E731  evaluates value once
+    step = f"if(t.far > p.k, t, {bound('same', same, bound('zero', zero, moved))})"
+    first = "named_struct('up', shiftleft(shiftleft(1L, p.k + 1) - 1, p.k), 'down', shiftleft(1L, p.k) - 1, 'far', abs(size(p.a) - size(p.b)))"
+    steps = f"aggregate(filter(sequence(0, size(p.b)), j -> j < size(p.b)), {first}, (t, j) -> {step})"
+    return F.expr(f"element_at(transform(array(named_struct('a', {a}, 'b', {b}, 'k', {k})), p -> abs(size(p.a) - size(p.b)) <= p.k and {steps}.far <= p.k), 1)")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of every text of docs (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """(doc_id, line_no, row, line) of every text of docs (doc_id, text); row is a hash of the text."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(*PLACE, "line")
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -185,77 +127,86 @@ def named(docs: DataFrame) -> DataFrame:
     return lines(docs).withColumns({"ha": F.xxhash64("line"), "hb": F.xxhash64(F.lit(1), F.col("line"))})
 
 
-def candidates(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of places struct<doc_id,line_no> of distinct lines that share a segment, or anchored words, as the joins ask."""
-    probes = probe_keys(edits)
-    equal, found = len(probes[0]), index_keys(edits)
-    asks = sum(map(len, probes.values()))
-    marked = named(docs.where("doc_id is not null")).withColumns({"n": F.char_length("line"), "wide": F.encode("line", "UTF-32")}).where(F.col("n") >= min_chars)
-    # one array for all marks and keys: so every side of the joins reads the same aggregation, whose exchange runs once
+def sharing(docs: DataFrame) -> DataFrame:
+    """(key, ha, own, n) of the lines (by ha) that have a key with others: own if one of its segments has it, n lines in all."""
     count = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    short = SHORT if edits <= EDITS else 1 << 30
-    none = F.array().cast("array<long>")
-    parts = F.when(count <= short, F.array(*found, *(k for ks in probes.values() for k in ks))).otherwise(none)
-    keys = F.concat(F.array(letter_counts(F.col("line")).cast("long"), count.cast("long")), parts, F.when(count >= WORDS, word_marks(F.col("line"))).otherwise(none))
-    marked = marked.select("ha", "hb", F.struct("doc_id", "line_no").alias("id"), keys.alias("keys"))
-    distinct = marked.groupBy("ha", "hb").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
-    brief = distinct.where(F.get("keys", F.lit(1)) <= short)
-    table = brief.select(F.col("id").alias("a"), F.get("keys", F.lit(0)).alias("la"), F.explode(F.slice("keys", 3, len(found))).alias("key")).alias("t")
-    rest = F.slice("keys", len(found) + 3, asks)
-    asked = brief.select(F.col("id").alias("b"), F.get("keys", F.lit(0)).alias("lb"), F.posexplode(rest).alias("at", "key")).alias("p")
-    near = counts_differ(F.col("la"), F.col("lb")) <= 2 * edits
-    order = (F.col("a") != F.col("b")) & ((F.col("at") >= equal) | (F.col("a") < F.col("b")))
-    pairs = table.join(asked, (F.col("t.key") == F.col("p.key")) & order & near).select("a", "b")
-
-    n = F.get("keys", F.lit(1))
-    past = F.when(n <= short, 2 + len(found) + asks).otherwise(2)
-    grams = F.explode(F.slice("keys", past + 2, F.size("keys") - past - 1)).alias("key")
-    worded = distinct.where(n >= WORDS).select("id", n.cast("int").alias("n"), F.get("keys", past).alias("m"), grams).repartition("key")
-    left, right = (worded.withColumnsRenamed({"id": x, "n": f"n{x}", "m": f"m{x}"}) for x in "ab")
-    allowed = F.floor(F.least("na", "nb") / WORDS)
-    alike = (F.greatest("na", "nb") > COUNTED) | (counts_differ(F.col("ma"), F.col("mb"), CLASSES, 9) <= F.greatest(2 * allowed, F.lit(3 * edits)))
-    alike = (F.abs(F.col("na") - F.col("nb")) <= F.greatest(allowed, F.lit(edits))) & alike
-    long = left.alias("t").join(right.alias("p"), (F.col("t.key") == F.col("p.key")) & (F.col("a") < F.col("b")) & alike).select("a", "b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(long).distinct()
-
-
-def links(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs (a, b) of places of distinct lines within edits of each other, or within a word for each WORDS words."""
-    pairs = saved(candidates(docs, edits, min_chars), "line-candidates")
-    places = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # texts are fetched through a bucket filter of bounded size: FETCH_BUCKETS rows at most
-    buckets = places.select(bucket_of("id.doc_id").alias("bucket")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").withColumn("bucket", bucket_of("doc_id")).join(F.broadcast(buckets), "bucket", "left_semi")
-    texts = lines(texts).select(F.struct("doc_id", "line_no").alias("id"), "line").join(places, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line"))
+    marked = named(docs.where("doc_id is not null")).where(count >= SIMILAR).withColumn("h", word_hashes())
+    marked = marked.select("ha", "hb", F.expr(edits_of("size(h)")).alias("e"), keys_of().alias("keys"))
+    # both sides of the join read this aggregation, whose exchange runs once
+    distinct = marked.groupBy("ha", "hb").agg(F.first("e").alias("e"), F.first("keys").alias("keys"))
+    keyed = distinct.select("ha", "e", F.posexplode("keys").alias("at", "key")).select("key", "ha", (F.col("at") <= F.col("e")).alias("own"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some").select("key", "n")
+    return saved(keyed.join(shared, "key").select("key", "ha", "own", "n"), "line-keys")
+
+
+def meeting(rows: DataFrame, *where: Column) -> DataFrame:
+    """Pairs (a, b) of ha of rows (key, ha, own, words, counts, ...) that share a key which is a segment of one of them."""
+    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "key")) for x in "ab")
+    once = F.when(F.col("own_b"), F.col("ha_a") < F.col("ha_b")).otherwise(F.col("ha_a") != F.col("ha_b"))
+    both = left.join(right, (left.key == right.key) & F.col("own_a") & once & alike() & reduce(lambda p, q: p & q, where, F.lit(True)))
+    return both.select(F.least("ha_a", "ha_b").alias("a"), F.greatest("ha_a", "ha_b").alias("b"))
+
+
+def alike() -> Column:
+    """What lines a and b within the threshold have in common: numbers and counts of words."""
+    edits = F.expr(edits_of("least(words_a, words_b)"))
+    return (F.abs(F.col("words_a") - F.col("words_b")) <= edits) & (counts_differ(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
+
+
+def links(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between places struct<doc_id,line_no,row> that connect all distinct lines within the threshold of each other."""
+    rows = sharing(docs)
+    texts = among(named(docs.where("doc_id is not null")), "ha", rows.select("ha")).groupBy("ha", "hb")
+    texts = texts.agg(F.min(F.struct(*PLACE)).alias("id"), F.first("line").alias("line"), F.count("*").alias("copies"))
+    texts = texts.withColumn("h", word_hashes()).select("ha", "id", "line", "copies", F.size("h").alias("words"), word_counts().alias("counts"))
     texts = saved(texts, "line-texts")
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(texts.withColumnsRenamed({"id": "b", "line": "y"}), "b")
-    return both.where(within(F.col("x"), F.col("y"), edits) | within_words(F.col("x"), F.col("y"))).select("a", "b")
-
-
-def bucket_of(name: str) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(FETCH_BUCKETS))
-
-
-def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, class_doc_id, class_line_no, kept) for every line: its class is named by the first place, by doc_id
-    and line number, of any line in it; that line alone is kept."""
-    near = components(saved(links(docs, edits, min_chars), "line-links"), "line-classes")
-    every = saved(named(docs).select("doc_id", "line_no", "ha", "hb"), "lines")
-    id_ = F.struct("doc_id", "line_no")
+    rows = rows.join(texts.select("ha", "id", "copies", "words", "counts"), "ha")
+    rows = saved(rows.select("key", "ha", "own", "n", "id", "copies", "words", "counts"), "line-members")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        left, right = (texts.select(F.col("ha").alias(x), F.col("id").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"), "words").withColumnRenamed("words", f"words_{x}") for x in "ab")
+        both = pairs.distinct().join(left, "a").join(right, "b")
+        near = within("split(line_a, ' ', -1)", "split(line_b, ' ', -1)", edits_of("least(words_a, words_b)"))
+        return saved(both.where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), name)
+
+    large = rows.where(F.col("n") > group)
+    heart = large.where("own").groupBy("key").agg(F.max_by(F.struct("ha", "words", "counts"), F.struct("copies", "ha")).alias("c"))
+    spokes = large.select("key", *(F.col(c).alias(f"{c}_b") for c in ("ha", "words", "counts"))).join(heart.select("key", *(F.col(f"c.{c}").alias(f"{c}_a") for c in ("ha", "words", "counts"))), "key")
+    spokes = spokes.where((F.col("ha_a") != F.col("ha_b")) & alike()).select(F.least("ha_a", "ha_b").alias("a"), F.greatest("ha_a", "ha_b").alias("b"))
+    found = verified(meeting(rows.where(F.col("n") <= group).drop("n", "id", "copies")).union(spokes), "line-links")
+    if large.isEmpty():
+        return found
+    near = components(found, "line-groups")
+    large = large.join(near, large.id == near.node, "left").select("key", "ha", "own", "words", "counts", F.coalesce("component", "id").alias("part"))
+    large = saved(large, "line-parts")
+    mixed = large.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    rest = verified(meeting(large.join(mixed, "key", "left_semi"), F.col("part_a") != F.col("part_b")), "line-links")
+    return found.union(rest)
+
+
+def classes(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """(doc_id, line_no, class_doc_id, class_line_no, kept, row, class_row) for every line: its class is named by the first place,
+    by doc_id, line number and row, of any line in it; that line alone is kept."""
+    near = components(links(docs, group), "line-classes")
+    every = named(docs).select(*PLACE, "ha", "hb")
+    id_ = F.struct(*PLACE)
     first = every.where("doc_id is not null").groupBy("ha", "hb").agg(F.min(id_).alias("id"))
     first = first.join(near, first.id == near.node, "left").select("ha", "hb", F.coalesce("component", "id").alias("class"))
     out = every.join(first, ["ha", "hb"], "left").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
-    return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), F.coalesce(F.col("class") == id_, F.lit(True)).alias("kept"))
+    named_by = [F.col(f"class.{c}").alias(f"class_{c}") for c in PLACE]
+    return out.select("doc_id", "line_no", *named_by[:2], F.coalesce(F.col("class") == id_, F.lit(True)).alias("kept"), "row", named_by[2])
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """docs (doc_id, text, ...) without the lines of min_chars or more that are not the first of their class.
+def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """docs (doc_id, text, ...) without the lines that are not the first of their class, empty ones included.
 
-    Shorter lines stay, since they repeat by chance; with short, exact repeats of them go too, empty lines included. Texts that lose every line become empty; null texts stay null.
+    Texts that lose every line become empty; null texts and rows with a null doc_id stay as they are. Of rows that share a doc_id,
+    each loses only lines of its own text; rows that share the text too are treated alike.
     """
-    drop = classes(docs, edits, min_chars).where("not kept").groupBy("doc_id").agg(F.collect_set("line_no").alias("_drop"))
+    drop = classes(docs, group).where("not kept").groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("_drop"))
     names = docs.columns
-    both = docs.join(drop.withColumnRenamed("doc_id", "_doc"), docs.doc_id.cast("long") == F.col("_doc"), "left")
-    parts = F.split("text", "\n", -1)
-    stay = F.filter(parts, lambda x, i: (F.lit(not short) & (F.char_length(x) < min_chars)) | ~F.array_contains(F.col("_drop"), i))
-    return both.withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).select(*names)
+    drop = drop.withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
+    both = docs.join(drop, (docs.doc_id.cast("long") == F.col("_doc")) & (F.xxhash64(docs.text) == F.col("_row")), "left")
+    stay = F.filter(F.split(docs.text, "\n", -1), lambda x, i: ~F.array_contains(F.col("_drop"), i))
+    text = F.when(F.col("_drop").isNull(), docs.text).otherwise(F.array_join(stay, "\n"))
+    return both.select(*(text.alias(c) if c == "text" else docs[c] for c in names))

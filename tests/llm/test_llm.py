@@ -364,59 +364,77 @@ def lev(a, b):
     return row[-1]
 
 
+def edits_allowed(n):
+    return 0 if n < 5 else 1 if n < 10 else 2 if n < 144 else min(30, int((n / 16) ** 0.5))
+
+
 def edited():
-    """Rows (doc_id, text) of lines at edit distances 0 to 4."""
+    """Rows (doc_id, text) of lines at word edit distances 0 to 5, families of one line among them."""
     r = random.Random(8)
-    base = ["".join(r.choice("abcdeé ") for _ in range(r.choice([3, 23, 24, 25, 26, 40, 61]))) for _ in range(14)]
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
+    base = [[word() for _ in range(n)] for n in (1, 4, 5, 8, 9, 10, 12, 30, 60, 143, 144, 150, 260)] + [["ha"] * 60]
     texts = []
-    for _ in range(60):
+    for k in range(110):
         out = []
-        for b in r.choices(base, k=3):
+        for b in r.choices(base, k=2) + [base[7]] * (k % 3):
             x = list(b)
-            for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
-                k = r.randrange(len(x) + 1)
-                x[k : k + r.choice([0, 1])] = r.choice(["", "q", "a"])
-            out.append("".join(x))
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3, 5])):
+                at = r.randrange(len(x) + 1)
+                x[at : at + r.choice([0, 1])] = r.choice([[], [word()], ["q"]])
+            out.append(" ".join(x))
         texts.append("\n".join(out))
-    return list(enumerate([*texts, None, "", "\n\n", texts[0]]))
-
-
-def test_op8(spark, empty):
+    return list(enumerate([*texts, None, "", "\n\n", texts[0], "x " * 3000, "y" * 50000]))
+
+
+def line_classes(rows):
+    """The first place of every place's class, by brute force."""
+    places = sorted(((i, n), x) for i, t in rows if t is not None for n, x in enumerate(t.split("\n")))
+    first = {}
+    for p, x in places:
+        first.setdefault(x, p)
+    texts = [(x, x.split(" ")) for x in first]
+    pairs = []
+    for a in range(len(texts)):
+        for b in range(a):
+            (x, y) = sorted((texts[a][1], texts[b][1]), key=len)
+            k = edits_allowed(len(x))
+            if k and len(y) - len(x) <= k and (Counter(x) - Counter(y)).total() <= k and lev(x, y) <= k:
+                pairs.append((a, b))
+    root = union_find(len(texts), pairs)
+    least = {}
+    for k, (x, _) in enumerate(texts):
+        least[root[k]] = min(least.get(root[k], first[x]), first[x])
+    known = {x: least[root[k]] for k, (x, _) in enumerate(texts)}
+    return {p: known[x] for p, x in places}, len(texts) - len(set(root))
+
+
+@pytest.mark.parametrize("group", [32, 2])
+def test_op8(spark, empty, group):
     rows = edited()
-    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, line_no int, key int")
-    places = [((i, n), x) for i, t in rows if t is not None for n, x in enumerate(t.split("\n"))]
-    pairs = [(a, b) for a in range(len(places)) for b in range(a) if places[a][1] == places[b][1] or min(len(places[a][1]), len(places[b][1])) >= 24 and lev(places[a][1], places[b][1]) <= 2]
-    root = union_find(len(places), pairs)
-    want = {p: places[root[k]][0] for k, (p, _) in enumerate(places)}
-    got = lines.classes(df).collect()
-    assert {(g.doc_id, g.line_no): (g.class_doc_id, g.class_line_no) for g in got} == want and len(got) == len(places)
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, line_no int, key int, row int")
+    want, near = line_classes(rows)
+    assert near > 60
+    got = lines.classes(df, group).collect()
+    assert {(g.doc_id, g.line_no): (g.class_doc_id, g.class_line_no) for g in got} == want and len(got) == len(want)
     assert all(g.kept == ((g.doc_id, g.line_no) == (g.class_doc_id, g.class_line_no)) for g in got)
-    kept = {r.doc_id: r.text for r in lines.dedup(df).collect()}
+    kept = {r.doc_id: r for r in lines.dedup(df, group).collect()}
     for i, t in rows:
-        assert kept[i] == (None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < 24 or want[i, n] == (i, n)))
+        assert kept[i] == (i, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if want[i, n] == (i, n)), 1, 2, 3)
+
+
+def test_op8_odd_rows(spark, empty):
     assert lines.classes(empty).count() == 0 and lines.dedup(empty).columns == empty.columns
-    nulls = spark.createDataFrame([(None, "a" * 30), (None, "a" * 30), (1, "a" * 30)], "doc_id long, text string")
+    nulls = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
     assert all(x.kept for x in lines.classes(nulls).collect())
+    assert sorted(x.text for x in lines.dedup(nulls).collect()) == ["a b c d e"] * 3
 
 
-def test_op8_words(spark):
-    """Long lines link by edits of whole words, one for each 24 words of the shorter line."""
-    r = random.Random(24)
-    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(4, 9)))
-    base = [[word() for _ in range(n)] for n in (20, 23, 24, 30, 47, 48, 71, 72, 100, 130, 400)] + [["ha"] * 60]
-    made = [list(b) for b in base for _ in range(8)]
-    for w in made:
-        for _ in range(r.randint(0, len(w) // 24 + 1)):
-            k = r.randrange(len(w) + 1)
-            w[k : k + r.choice([0, 1])] = r.choice([[], [word()], [word()]])
-    made.append(made[-20][:200] + [word()] + made[-20][201:])
-    near = lambda x, y: lev(" ".join(x), " ".join(y)) <= 2 if len(x) < 48 else False
-    pairs = [(a, b) for a in range(len(made)) for b in range(a) if abs(len(made[a]) - len(made[b])) <= 20]
-    pairs = [(a, b) for a, b in pairs if (e := min(len(made[a]), len(made[b])) // 24) and lev(made[a], made[b]) <= e or made[a] == made[b] or near(made[a], made[b])]
-    root = union_find(len(made), pairs)
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
-    got = {x.doc_id: x.class_doc_id for x in lines.classes(df).collect()}
-    assert got == dict(enumerate(root)) and len(set(root)) < len({" ".join(w) for w in made})
+def test_op8_repeated_ids(spark):
+    """Rows that share a doc_id lose only lines of their own text."""
+    rows = [(1, "one copied line of some words"), (5, "one copied line of some words"), (5, "a line that only this row has"), (5, "a line that only this row has"), (7, "a line that only this row has\nmore")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(x) for x in lines.dedup(df).collect())
+    assert got == [(1, rows[0][1]), (5, ""), (5, rows[2][1]), (5, rows[2][1]), (7, "more")]
 
 
 def test_op8_short_repeats(spark):
@@ -431,10 +449,11 @@ def test_op8_short_repeats(spark):
 
 def test_op8_distance(spark):
     r = random.Random(5)
-    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(0, 7)))
-    df = spark.createDataFrame([(word(), word()) for _ in range(600)], "a string, b string")
-    bad = df.select("a", "b", lines.within(df.a, df.b).alias("w")).collect()
-    assert [x for x in bad if x.w != (lev(x.a, x.b) <= 2)] == []
+    word = lambda n: [r.choice("ab") for _ in range(r.randint(0, n))]
+    rows = [(word(8), word(8), r.randint(0, 5)) for _ in range(400)] + [(x := word(200), x[:30] + word(40) + x[60:], r.randint(0, 30)) for _ in range(12)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>, k int")
+    bad = df.select("*", lines.within("a", "b", "k").alias("w")).collect()
+    assert [x for x in bad if x.w != (lev(x.a, x.b) <= x.k)] == []
 
 
 @pytest.mark.parametrize("width", [50, 60])

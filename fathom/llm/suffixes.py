@@ -18,8 +18,6 @@ doc_id are one document for comparison: none of them loses bytes to another. An
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import partitions, saved, tune
+from fathom.llm.common import give_back, partitions, saved, tune
 from fathom.llm.substrings import BUCKETS, by_document, pack, pack_ids, runs, unpack, unpack_ids
 
 WIDTH = 50
@@ -38,13 +36,6 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 POSITION = np.uint64(0xFFFFFFFF)
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: a worker lives through several stages, beside a JVM that needs the room."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n, size, out = len(x) - width + 1, 1, x
     while 2 * size <= width:

@@ -1,16 +1,18 @@
 """Operator 2, toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
-* Terms are lower-case words and, for words of more than four letters, their first four letters. The vocabulary holds
-  the terms (``max_terms`` at most) that stand far more often in toxic than in other examples.
-* Examples are at most ``max_examples`` labelled documents, chosen by a hash of doc_id; that bounds the index, which is
-  broadcast. Document frequencies count over all documents.
-* The index has postings in blocks of consecutive examples with the largest weight of a block. For a query, blocks are
-  visited by descending bound, until no block can reach the k-th best cosine; the k nearest are exact.
-* The score is the mean label of the k nearest, weighted by a power of the cosine, with a prior of the rate among
-  examples without a term; it is mapped to a calibrated score through leave-one-out results of the examples.
-
-Null and empty texts have no terms and score that rate. Rows with a null doc_id are scored too. Without any usable label
-the score is 0. Equal texts score equally; ties of cosine go to the smaller example.
+* A text's terms are its lower-case words; all of the text counts. A term weighs (1 + ln tf) * idf * lean: idf is counted over all
+  documents, lean grows with how much surer than by chance the term marks toxic examples (its standardised log odds beyond
+  ``CHANCE``) and is never below ``LEAST``, so that every term keeps a weight. Terms that no example has are in no vector.
+* Examples are at most ``max_examples`` labelled documents, chosen by a hash of doc_id; every one of them is indexed with all
+  its terms. Their distinct terms reach the driver, and the index, of the same bound, is broadcast.
+* The index has postings by term, ordered by example, and each term's largest weight in each block of examples; examples of the
+  same strongest term lie together. Blocks whose bound falls short of the k-th best cosine are left out; the k nearest are exact.
+* The vote is the mean label of the k nearest, weighted by a power of the cosine, with a prior of the rate of label 1; it is mapped
+  to a calibrated score through the votes on every example, each left out of its own vote.
+
+Null and empty texts have no terms and score the prior's value. Rows with a null doc_id are scored too. Without any usable
+label the score is 0. Equal texts score equally; ties of cosine go to the smaller position in the index. A doc_id that several rows share
+teaches with its smallest text. Very long texts are counted whole.
 """
 
 from __future__ import annotations
@@ -26,103 +28,140 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import saved, tune
+from fathom.llm.common import give_back, saved, tune
 
-MAX_EXAMPLES = 20_000
-MAX_TERMS = 4_096
-MIN_COUNT = 3
-MIN_RATIO = 8.0
+MAX_EXAMPLES = 5_000
+CHANCE = 3.0
+LEAST = 0.02
 NEAREST = 15
 SHARP = 4.0
 PRIOR = 0.5
-BLOCK = 64
-STEP = 8
+BLOCK = 32
+FIRST = 2
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
 def terms(text: str | None) -> Counter:
     """Counts of the terms of a text."""
-    out: Counter = Counter()
-    for w, n in Counter(LETTERS((text or "").lower())).items():
-        out[w] += n
-        if len(w) > 4:
-            out[w[:4] + "-"] += n
-    return out
+    return Counter(LETTERS((text or "").lower()))
+
+
+def lean(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """How surely a term marks toxic texts, from the numbers of toxic and of clean examples that have it."""
+    odds = np.log((toxic + 0.5) / (n1 - toxic + 0.5)) - np.log((clean + 0.5) / (n0 - clean + 0.5))
+    error = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    return LEAST + np.maximum(0.0, odds / error - CHANCE)
+
+
+def slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions start .. start + size of every slice, in order."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors."""
+    """Block-max inverted index of unit vectors over positions of terms; blocks of BLOCK consecutive examples."""
 
     labels: np.ndarray
     ids: np.ndarray
-    postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # term: examples, weights, start of each block
-    tops: dict[int, np.ndarray]  # term: largest weight in each block
+    at: np.ndarray  # of each term: its first posting; one more at the end
+    docs: np.ndarray
+    weights: np.ndarray
+    block_at: np.ndarray  # of each term: its first block
+    blocks: np.ndarray
+    tops: np.ndarray  # largest weight of the term in the block
+    own: tuple[np.ndarray, np.ndarray, np.ndarray]  # of each example: its first term; terms; weights
 
     @classmethod
-    def build(cls, vectors: list[dict[int, float]], labels: list[int], ids: list[int]) -> Index:
-        n = -(-len(vectors) // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for d, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((d, w))
-        postings, tops = {}, {}
-        for t, rows in lists.items():
-            docs, weights = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            postings[t] = docs, weights, np.searchsorted(docs, np.arange(n + 1) * BLOCK)
-            top = np.zeros(n)
-            np.maximum.at(top, docs // BLOCK, weights)
-            tops[t] = top
-        return cls(np.array(labels, np.int64), np.array(ids, np.int64), postings, tops)
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int], size: int) -> Index:
+        """vectors: sorted term positions and weights of each example."""
+        n = np.array([len(v[0]) for v in vectors], np.int64)
+        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)]).astype(np.int32)
+        weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
+        doc = np.repeat(np.arange(len(vectors), dtype=np.int32), n)
+        order = np.argsort(term, kind="stable")
+        docs, weights, sorted_terms = doc[order], weight[order], term[order]
+        new = np.flatnonzero(np.diff(sorted_terms.astype(np.int64) * (1 << 31) + docs // BLOCK, prepend=-1)) if len(docs) else np.zeros(0, np.int64)
+        tops = np.maximum.reduceat(weights, new) if len(new) else np.zeros(0)
+        every = np.arange(size + 1)
+        first = np.concatenate([[0], np.cumsum(n)])
+        return cls(np.array(labels, np.int64), np.array(ids, np.int64), np.searchsorted(sorted_terms, every), docs, weights, np.searchsorted(sorted_terms[new], every), (docs[new] // BLOCK).astype(np.int32), tops, (first, term, weight))
+
+    def exact(self, query: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of blocks part and their cosines with query, a weight for every term."""
+        first, term, weight = self.own
+        n = len(self.labels)
+        found = np.concatenate([np.arange(b * BLOCK, min(n, b * BLOCK + BLOCK)) for b in part])
+        sizes = first[found + 1] - first[found]
+        take = slices(first[found], sizes)
+        return found, np.bincount(np.repeat(np.arange(len(found)), sizes), query[term[take]] * weight[take], len(found))
+
+    def nearest(self, positions: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of greatest positive cosine (ties: the smaller position) and their cosines. skip: one left out."""
-        known = [(t, w) for t, w in query.items() if t in self.postings]
-        if not known:
+        n = len(self.labels)
+        lo, size = self.block_at[positions], self.block_at[positions + 1] - self.block_at[positions]
+        if not n or not size.sum():
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = sum(w * self.tops[t] for t, w in known)
+        take = slices(lo, size)
+        bound = np.bincount(self.blocks[take], self.tops[take] * np.repeat(weights, size), -(-n // BLOCK))
         order = np.argsort(-bound, kind="stable")
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for at in range(0, len(order), STEP):
-            part = order[at : at + STEP]
-            if bound[part[0]] <= 0 or len(best) == k and bound[part[0]] < score[-1] - 1e-12:
-                break
-            docs, weights = [], []
-            for t, w in known:
-                d, x, cuts = self.postings[t]
-                for b in part:
-                    lo, hi = cuts[b], cuts[b + 1]
-                    if hi > lo:
-                        docs.append(d[lo:hi])
-                        weights.append(x[lo:hi] * w)
-            found, where = np.unique(np.concatenate(docs), return_inverse=True)
-            sums = np.bincount(where, np.concatenate(weights))
-            best, score = np.concatenate([best, found[found != skip]]), np.concatenate([score, sums[found != skip]])
-            top = np.lexsort((best, -np.round(score, 12)))[:k]
-            best, score = best[top], score[top]
-        return best, score
+        query = np.zeros(len(self.at) - 1)
+        query[positions] = weights
+        found, cos = self.exact(query, order[:FIRST])
+        keep = found != skip
+        least = np.sort(cos[keep])[-k] if keep.sum() >= k else 0.0
+        rest = order[FIRST:]
+        rest = rest[bound[rest] >= max(least - 1e-9, 1e-15)]
+        if len(rest) > len(order) // 4:  # one pass over the postings costs less than so many blocks
+            lo, size = self.at[positions], self.at[positions + 1] - self.at[positions]
+            take = slices(lo, size)
+            found, cos = np.arange(n), np.bincount(self.docs[take], self.weights[take] * np.repeat(weights, size), n)
+        elif len(rest):
+            more = self.exact(query, rest)
+            found, cos = np.concatenate([found, more[0]]), np.concatenate([cos, more[1]])
+        cos = np.round(cos, 12)
+        keep = (found != skip) & (cos > 0)
+        found, cos = found[keep], cos[keep]
+        if len(found) > 4 * k:
+            keep = cos >= np.partition(cos, -k)[-k]
+            found, cos = found[keep], cos[keep]
+        top = np.lexsort((found, -cos))[:k]
+        return found[top], cos[top]
 
 
 @dataclass
 class Model:
+    words: list[str]
     index: Index
-    idf: np.ndarray
+    weight: np.ndarray  # of each word: idf * lean
     base: float
     steps: tuple[np.ndarray, np.ndarray]
 
-    def vector(self, positions: list[int], counts: list[int]) -> dict[int, float]:
-        w = {t: (1 + np.log(c)) * self.idf[t] for t, c in zip(positions, counts) if self.idf[t] > 0}
-        norm = np.sqrt(sum(x * x for x in w.values()))
-        return {t: x / norm for t, x in sorted(w.items())} if norm else {}
+    def places(self) -> dict[str, int]:
+        return {w: n for n, w in enumerate(self.words)}
+
+    def vector(self, positions: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted positions and weights of the unit vector."""
+        order = np.argsort(positions)
+        positions = positions[order]
+        w = (1 + np.log(counts[order])) * self.weight[positions]
+        positions, w = positions[w > 0], w[w > 0]
+        return positions, w / np.sqrt(w @ w) if len(w) else w
 
-    def vote(self, vector: dict[int, float], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cos = self.index.nearest(vector, NEAREST, skip)
+    def counted(self, text: str | None, place: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        found = [(place[w], n) for w, n in terms(text).items() if w in place]
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+    def vote(self, vector: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        near, cos = self.index.nearest(*vector, NEAREST, skip)
         w = np.clip(cos, 0, 1) ** SHARP
         return float((w @ self.index.labels[near] + PRIOR * self.base) / (w.sum() + PRIOR)), near, cos
 
-    def score(self, positions: list[int], counts: list[int]) -> tuple[float, list[int], list[float]]:
+    def score(self, text: str | None, place: dict[str, int]) -> tuple[float, list[int], list[float]]:
         """Calibrated score; the nearest examples' doc_ids and cosines as evidence."""
-        vote, near, cos = self.vote(self.vector(positions, counts))
+        vote, near, cos = self.vote(self.vector(*self.counted(text, place)))
         return min(1.0, max(0.0, float(np.interp(vote, *self.steps)))), self.index.ids[near].tolist(), cos.tolist()
 
 
@@ -142,131 +181,147 @@ def calibration(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate([[0.0], x, [1.0]]), np.concatenate([[min(0.0, y[0])], y, [max(1.0, y[-1])]])
 
 
-def vocabulary(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms that mark toxic examples (text, toxic): at most max_terms, by association."""
+def held_out(doc_id: int | str) -> bool:
+    return zlib.crc32(str(doc_id).encode()) % 5 == 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[int]] = {}
-        docs = [0, 0]
-        for b in batches:
-            for t, y in zip(b.column(0), b.column(1)):
-                docs[y.as_py()] += 1
-                for w in terms(t.as_py()):
-                    seen.setdefault(w, [0, 0])[y.as_py()] += 1
-        seen[""] = docs  # no term is empty: the number of examples
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], ["term", "n0", "n1"])
-
-    counts = saved(examples.select("text", "toxic").mapInArrow(run, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "toxicity-terms")
-    total = counts.where("term = ''").first()
-    if not total or not total.n1 or not total.n0:
-        return []
-    rate1, rate0 = F.col("n1") / total.n1, (F.col("n0") + 1) / (total.n0 + 1)
-    good = counts.where("term <> ''").where((F.col("n1") >= MIN_COUNT) & (rate1 / rate0 >= MIN_RATIO))
-    return [r.term for r in good.orderBy(F.desc(rate1 * F.log(rate1 / rate0)), "term").limit(max_terms).collect()]
-
-
-def vectors(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, positions, counts) of every row: the vocabulary's terms in the text."""
-    place = docs.sparkSession.sparkContext.broadcast({w: n for n, w in enumerate(words)})
+
+def is_held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> list[tuple[int, int, dict[str, int]]]:
+    """(doc_id, toxic, counts of terms) of at most max_examples labelled documents."""
+    given = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~is_held_out())
+    given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    given = saved(given.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(max_examples), "toxicity-examples")
+    teach = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(given), "doc_id")  # max_examples rows of 12 bytes
+    teach = teach.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
-        where = place.value
         for b in batches:
-            pos, cnt = [], []
-            for t in b.column(1):
-                keys, n = counted(t.as_py(), where, known)
-                pos.append(keys)
-                cnt.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pos, pa.list_(pa.int32())), pa.array(cnt, pa.list_(pa.int32()))], ["doc_id", "positions", "counts"])
+            got = [terms(t.as_py()) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(g) for g in got], pa.string()), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, positions array<int>, counts array<int>")
+    rows = saved(teach.mapInArrow(run, "doc_id long, toxic int, words string, counts array<int>"), "toxicity-terms").orderBy("doc_id").toLocalIterator()
+    return [(r.doc_id, r.toxic, dict(zip(r.words.split(" ") if r.words else [], r.counts))) for r in rows]
 
 
-def held_out(doc_id: int | str) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0
-
+def frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
+    """In how many rows of docs each word stands, and the number of rows."""
+    place = docs.sparkSession.sparkContext.broadcast("\n".join(words).encode())
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[list[str], Model, DataFrame]:
-    """The vocabulary, the model, and the vectors (doc_id, positions, counts) of every row of docs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {w: n for n, w in enumerate(place.value.decode().split("\n"))}
+        found, rows = np.zeros(len(at), np.int64), 0
+        for b in batches:
+            rows += b.num_rows
+            for t in b.column(0):
+                found[[at[w] for w in set(LETTERS((t.as_py() or "").lower())) if w in at]] += 1
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1).astype(np.int32)), pa.array(np.append(found[some], rows))], ["p", "n"])
+        del at
+        give_back()
+
+    counts = docs.select("text").mapInArrow(run, "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    df, total = np.zeros(len(words), np.int64), 0
+    for r in counts.collect():  # a row a word of the examples
+        if r.p < 0:
+            total = r.n
+        else:
+            df[r.p] = r.n
+    return df, total
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
+    """The model.
 
     labels (doc_id, toxic): rows with a null or another value than 0 and 1, and rows whose crc32(doc_id) mod 5 is 0, teach
     nothing; a doc_id labelled more than once counts as toxic if any row says so.
     """
     spark = docs.sparkSession
     tune(spark)
-    given = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~is_held_out())
-    given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    given = saved(given.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(max_examples), "toxicity-examples")
-    teach = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(given), "doc_id")  # max_examples rows of 12 bytes
-    words = vocabulary(teach)
-    found = saved(vectors(docs, words), "toxicity-vectors")
-    freq = dict(found.select(F.explode("positions").alias("p")).groupBy("p").count().collect())  # max_terms rows
-    total = found.count()
-    idf = np.array([np.log((1 + total) / (1 + freq.get(n, 0))) + 1e-9 if freq.get(n) else 0.0 for n in range(len(words))])
-    rows = found.join(F.broadcast(given), "doc_id").where("size(positions) > 0").groupBy("doc_id", "toxic").agg(F.min(F.struct("positions", "counts")).alias("v"))
-    rows = rows.orderBy("doc_id").collect()  # max_examples rows, however often a doc_id repeats
-    bare = found.join(F.broadcast(given), "doc_id").where("size(positions) = 0").agg(F.count("*"), F.sum("toxic")).first()
-    base = (bare[1] or 0) / (bare[0] + 1)
-    model = Model(Index.build([], [], []), idf, base, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    examples = [(model.vector(r.v.positions, r.v.counts), r.toxic, r.doc_id) for r in rows]
-    model.index = Index.build([e[0] for e in examples], [e[1] for e in examples], [e[2] for e in examples])
-    votes = np.array([model.vote(e[0], n)[0] for n, e in enumerate(examples)])
-    model.steps = calibration(votes, np.array([e[1] for e in examples]))
-    return words, model, found
+    rows = examples(docs, labels, max_examples)
+    words = sorted({w for r in rows for w in r[2]})
+    place = {w: n for n, w in enumerate(words)}
+    df, total = frequencies(docs, words) if rows else (np.zeros(0, np.int64), 0)
+    y = np.array([r[1] for r in rows], np.int64)
+    n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    held = np.zeros((2, len(words)), np.int64)
+    for _, toxic, counts in rows:
+        held[toxic, [place[w] for w in counts]] += 1
+    weight = np.log((1 + total) / (1 + df)) * lean(held[1], held[0], n1, n0)
+    none = np.array([0.0, 1.0])
+    model = Model(words, Index.build([], [], [], 0), weight, n1 / (len(y) + 1), (none, none))
+    vectors = [model.vector(np.array([place[w] for w in c], np.int64), np.array(list(c.values()), np.int64)) for _, _, c in rows]
+    strongest = [int(p[np.argmax(w)]) if len(p) else -1 for p, w in vectors]
+    order = sorted(range(len(rows)), key=lambda n: (strongest[n], rows[n][0]))
+    model.index = Index.build([vectors[n] for n in order], [rows[n][1] for n in order], [rows[n][0] for n in order], len(words))
+    if rows:
+        model.steps = calibration(*left_out(spark, model))
+    return model
 
 
-def is_held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+def packed(model: Model) -> bytes:
+    import pickle
+
+    return zlib.compress(pickle.dumps(("\n".join(model.words), model.index, model.weight, model.base, model.steps), 5), 1)
+
+
+def unpacked(data: bytes) -> Model:
+    import pickle
+
+    words, *rest = pickle.loads(zlib.decompress(data))
+    return Model(words.split("\n"), *rest)
 
 
-def counted(text: str | None, where: dict[str, int], known: dict[str, tuple[int, ...]]) -> tuple[list[int], list[int]]:
-    """Positions of the vocabulary's terms in a text, and their counts. known: what has been looked up."""
-    found: Counter = Counter()
-    for w, n in Counter(LETTERS((text or "").lower())).items():
-        if (got := known.get(w)) is None:
-            got = tuple(where[x] for x in ([w, w[:4] + "-"] if len(w) > 4 else [w]) if x in where)
-            if len(known) >= 1 << 18:
-                known.clear()
-            known[w] = got
-        for p in got:
-            found[p] += n
-    keys = sorted(found)
-    return keys, [found[p] for p in keys]
+def left_out(spark, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The votes on all examples, each left out of its own, and their labels."""
+    shared, n = spark.sparkContext.broadcast(packed(model)), len(model.index.labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = unpacked(shared.value)
+        first, term, weight = own.index.own
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            votes = [own.vote((term[first[i] : first[i + 1]].astype(np.int64), weight[first[i] : first[i + 1]]), i)[0] for i in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(votes, pa.float64())], ["id", "vote"])
+        del own
+        give_back()
+
+    got = spark.range(0, n, 1, max(1, min(24, n // 100))).mapInArrow(run, "id long, vote double").collect()  # max_examples rows
+    votes = np.zeros(n)
+    votes[[r.id for r in got]] = [r.vote for r in got]
+    return votes, model.index.labels
 
 
 def clean(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """The rows of docs that score below 0.5. Texts are scored where they lie, so that none is shuffled."""
-    words, model, _ = fit(docs.select("doc_id", "text"), labels, max_examples)
-    shared = docs.sparkSession.sparkContext.broadcast((model, {w: n for n, w in enumerate(words)}))
+    shared = docs.sparkSession.sparkContext.broadcast(packed(fit(docs.select("doc_id", "text"), labels, max_examples)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
-        own, where = shared.value
+        own = unpacked(shared.value)
+        place = own.places()
         for b in batches:
-            yield b.filter(pa.array([own.score(*counted(t.as_py(), where, known))[0] < 0.5 for t in b.column("text")], pa.bool_()))
+            yield b.filter(pa.array([own.score(t.as_py(), place)[0] < 0.5 for t in b.column("text")], pa.bool_()))
+        del own, place
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence array<long>, closeness array<double>) for every row of docs."""
-    _, model, found = fit(docs, labels, max_examples)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(packed(fit(docs.select("doc_id", "text"), labels, max_examples)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[tuple, tuple] = {}
+        own = unpacked(shared.value)
+        place = own.places()
         for b in batches:
-            got = []
-            for p, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key = (*p, -1, *c)
-                if key not in done:
-                    if len(done) >= 1 << 16:
-                        done.clear()
-                    done[key] = shared.value.score(p, c)
-                got.append(done[key])
+            got = [own.score(t.as_py(), place) for t in b.column(1)]
             s = [g[0] for g in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "evidence", "closeness"])
+        del own, place
+        give_back()
 
-    out = found.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, closeness array<double>")
+    out = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, evidence array<long>, closeness array<double>")
     return out.select("doc_id", F.coalesce(is_held_out(), F.lit(False)).alias("held_out"), "score", "predicted", "evidence", "closeness")

@@ -6,8 +6,12 @@ positions and captions stay aligned. ``store`` keeps payloads by digest, lossles
 references with payloads by digest. Payload bytes never move in a join: features are made where the bytes lie, and only
 those small rows meet the references.
 
+``media_columns`` makes every document a page: its lines as paragraphs and, between the first and the others, a figure that
+refers to the payload. What comes out is the figure's item, at its place among the text runs, with its caption.
+
 Null texts are empty payloads (one row of 64 zero bytes). Null HTML has no items. A reference without a payload keeps its
-item, with nulls. Copies of a payload that different tasks stored have one digest and meet as one.
+item, with nulls. Copies of a payload that different tasks stored have one digest and meet as one. Rows with a null or repeated
+doc_id have a row each. Very long texts are stored whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm.common import saved, tune
@@ -136,7 +140,7 @@ def store(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, n_bytes, media): every text's payload in its stored form; within an Arrow batch each payload once.
 
     Rows whose payload the batch has already stored carry a null media and the same digest. digest: SHA-256 of length and
-    payload, so that a text and the same text with zero bytes appended stay apart.
+    text, so that a text and the same text with zero bytes appended stay apart.
     """
     tune(docs.sparkSession)
 
@@ -146,7 +150,7 @@ def store(docs: DataFrame) -> DataFrame:
             digests, sizes, media = [], [], []
             for t in b.column(1):
                 data, n = payload(t.as_py())
-                digest = hashlib.sha256(b"%d:" % n + data).hexdigest()
+                digest = hashlib.sha256(b"%d:" % n + data[:n]).hexdigest()
                 digests.append(digest)
                 sizes.append(n)
                 media.append(None if digest in seen else to_pgm(data))
@@ -156,22 +160,28 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest string, n_bytes long, media binary")
 
 
+def digest_of(text: str) -> Column:
+    """The digest that ``store`` gives a text."""
+    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    return F.sha2(F.concat(F.concat(F.octet_length(data).cast("string"), F.lit(":")).cast("binary"), data), 256)
+
+
 def describe(stored: DataFrame) -> DataFrame:
-    """One row a digest: what the stored bytes (digest, media), read back, contain."""
+    """One row a digest: what the stored bytes (digest, n_bytes, media), read back, contain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for d, m in zip(b.column(0), b.column(1)):
+            for d, n, m in zip(b.column(0), b.column(1), b.column(2)):
                 media = m.as_py()
                 data = from_pgm(media)
-                rows.append((d.as_py(), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-COLUMNS:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)))
-            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((d.as_py(), n.as_py(), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-COLUMNS:]), len(media), hashlib.sha256(media).hexdigest(), feature(data)))
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            cols = list(zip(*rows)) or [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["digest", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.where("media is not null").select("digest", "media").mapInArrow(run, schema).dropDuplicates(["digest"])
+    schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return stored.where("media is not null").select("digest", "n_bytes", "media").mapInArrow(run, schema).dropDuplicates(["digest"])
 
 
 def resolve(items: DataFrame, described: DataFrame) -> DataFrame:
@@ -180,14 +190,19 @@ def resolve(items: DataFrame, described: DataFrame) -> DataFrame:
     return flat.join(described, "digest", "left")
 
 
-def page_of(digest: str, caption: F.Column) -> F.Column:
-    """A page that shows the payload of the digest column, with a caption."""
-    return F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.col(digest), F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+def page_of(digest: Column, text: Column) -> Column:
+    """A document as a page: the lines of its text as paragraphs; after the first, a figure that shows the payload."""
+    safe = F.coalesce(text, F.lit(""))
+    for plain, coded in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(plain), F.lit(coded))
+    lines = F.split(safe, "\n", -1)
+    figure = F.concat(F.lit(f'<figure><img src="{SCHEME}'), digest, F.lit('"><figcaption>Payload '), F.substring(digest, 1, 12), F.lit("</figcaption></figure>"))
+    rest = F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    return F.concat(F.lit("<p>"), F.get(lines, F.lit(0)), F.lit("</p>"), figure, rest)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Every row of docs (doc_id, text) as a page that refers to its payload, parsed and resolved: one media item a row."""
+    """For every row of docs (doc_id, text), as a page: the item of its payload, resolved, with its position among the items."""
     stored = saved(store(docs), "media")
-    pages = stored.select("doc_id", page_of("digest", F.concat(F.lit("bytes "), F.col("n_bytes"))).alias("html"))
-    found = resolve(sequence(pages), describe(stored)).where("kind = 'media'")
-    return found.withColumn("n_bytes", F.regexp_extract("caption", "^bytes ([0-9]+)$", 1).cast("long"))
+    pages = docs.select("doc_id", page_of(digest_of("text"), F.col("text")).alias("html"))
+    return resolve(sequence(pages), describe(stored)).where("kind = 'media'")

@@ -1,11 +1,13 @@
 """Operator 4, secret scans with an incremental blob ledger.
 
 Every text is a blob, named by its SHA-256. ``Ledger`` is a folder of two tables: ``findings`` (blob, rules, spans) and
-``paths`` (doc_id, blob). A scan takes the blobs that the ledger lacks for this version of the rules, scans one text of
-each, appends, and joins the findings back to all paths. Scanning a later version of a table only reads what is new.
+``paths`` (doc_id, blob, version), one partition for each version of the documents that was added. A scan takes the blobs that
+the ledger lacks for these rules, scans one text of each and appends. Findings are keyed by (blob, rules) and read once a key,
+so a repeated append, by a retry or by two scans at once, changes nothing; a version that is added again replaces itself.
+``secrets`` joins the findings to the rows of one table, ``Ledger.history`` to all paths of all versions.
 
 Null texts are empty; all share one blob without findings. Rows with a null doc_id are paths like others. Repeated rows
-stay repeated. An empty table gives an empty result.
+stay repeated. Very long texts are scanned whole, in time linear in their length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]*)PRIVATE KEY-----")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "pem", "jwt")
-RULES = "v1:" + hashlib.sha256("\n".join(p.pattern for p in (ASSIGN, ACCESS, HEX, PEM, JWT)).encode()).hexdigest()[:16]
+RULES = "v2:" + hashlib.sha256("\n".join(p.pattern for p in (ASSIGN, ACCESS, HEX, PEM, JWT)).encode()).hexdigest()[:16]
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
@@ -39,12 +41,23 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", *m.span()) for m in LONG_HEX.finditer(text)]  # a run's leftmost match is the whole run
     if "-----BEGIN" in text:
-        found += [("pem", *m.span()) for m in PEM.finditer(text)]
+        found += [("pem", a, b) for a, b in keys(text)]
     if "eyJ" in text:
         found += [("jwt", *m.span()) for m in JWT.finditer(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def keys(text: str) -> list[tuple[int, int]]:
+    """Spans of private keys, from the opening line to the closing one that follows; the opening line alone if none does."""
+    marks = list(PEM.finditer(text))
+    out = []
+    for m, after in zip(marks, [*marks[1:], None]):
+        if m[1] == "BEGIN":
+            closed = after is not None and after[1] == "END" and after[2] == m[2]
+            out.append((m.start(), after.end() if closed else m.end()))
+    return out
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -53,41 +66,47 @@ FINDINGS = "blob string, rules string, n_assign long, n_access long, n_hex long,
 
 
 class Ledger:
-    """Findings by blob and version of the rules, in a folder that all executors share."""
+    """Findings by blob and version of the rules, and all paths, in a folder that all executors share; made if it isn't there."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
         self.folder = folder or f"{shared_dir(spark).rstrip('/')}/fathom/ledger-{uuid.uuid4().hex}"
-        self.findings_path = f"{self.folder}/findings"
-        if not folder:
-            spark.createDataFrame([], FINDINGS).write.mode("append").parquet(self.findings_path)
-
-    @classmethod
-    def open(cls, spark: SparkSession, folder: str) -> Ledger:
-        """The ledger in folder; made if it isn't there."""
-        out = cls(spark, folder)
-        spark.createDataFrame([], FINDINGS).write.mode("append").parquet(out.findings_path)
-        return out
+        spark.createDataFrame([], FINDINGS).write.mode("append").parquet(f"{self.folder}/findings")
 
     def findings(self, rules: str = RULES) -> DataFrame:
-        return self.spark.read.schema(FINDINGS).parquet(self.findings_path).where(F.col("rules") == rules)
+        """One row for each blob that was scanned by these rules."""
+        every = self.spark.read.schema(FINDINGS).parquet(f"{self.folder}/findings")
+        return every.where(F.col("rules") == rules).dropDuplicates(["blob"])
 
-    def add(self, docs: DataFrame, rules: str = RULES) -> DataFrame:
-        """Scans what is new in docs (doc_id, text); returns (doc_id, blob), the paths."""
+    def paths(self) -> DataFrame:
+        """(doc_id, blob, version) of every row of every version that was added."""
+        return self.spark.read.schema("doc_id long, blob string, version string").parquet(f"{self.folder}/paths")
+
+    def add(self, docs: DataFrame, rules: str = RULES, version: str | None = None) -> DataFrame:
+        """Scans what is new in docs (doc_id, text), a version of the documents; returns (doc_id, blob), its paths."""
         tune(self.spark)
         named = docs.select(F.col("doc_id").cast("long"), "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
-        paths_at = f"{self.folder}/paths-{uuid.uuid4().hex}"
-        named.select("doc_id", "blob").write.option("compression", "zstd").parquet(paths_at)
-        paths = self.spark.read.schema("doc_id long, blob string").parquet(paths_at)
+        at = f"{self.folder}/paths/version={version or uuid.uuid4().hex}"
+        named.select("doc_id", "blob").write.mode("overwrite").option("compression", "zstd").parquet(at)
+        paths = self.spark.read.schema("doc_id long, blob string").parquet(at)
         # one path of each unseen blob; a null doc_id can't lead back to a row, so those texts are scanned by blob
-        first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(self.findings(rules), "blob", "left_anti")
+        first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(self.findings(rules).select("blob"), "blob", "left_anti")
         known = first.where("doc_id is not null").select("doc_id", F.col("blob").alias("want"))
         texts = docs.select(F.col("doc_id").cast("long"), "text")
-        todo = texts.join(known.hint("shuffle_hash"), "doc_id").where(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col("want")).select("want", "text")
+        todo = texts.join(known, "doc_id").where(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col("want")).select("want", "text")
         lost = named.where("doc_id is null").join(first.where("doc_id is null").select("blob"), "blob", "left_semi").select("blob", "text")
-        todo.union(lost).mapInArrow(scanned(rules), FINDINGS).dropDuplicates(["blob"]).write.mode("append").parquet(self.findings_path)
+        todo.union(lost).mapInArrow(scanned(rules), FINDINGS).write.mode("append").parquet(f"{self.folder}/findings")
         return paths
 
+    def joined(self, paths: DataFrame, rules: str = RULES) -> DataFrame:
+        """paths (blob, ...) with the findings of their blobs."""
+        hits = self.findings(rules).where("spans <> ''").drop("rules")
+        return paths.join(hits, "blob", "left").fillna({"n_assign": 0, "n_access": 0, "n_hex": 0, "base": "", "spans": ""})
+
+    def history(self, rules: str = RULES) -> DataFrame:
+        """Findings of these rules at all paths of all versions."""
+        return self.joined(self.paths(), rules)
+
 
 def scanned(rules: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +123,7 @@ def scanned(rules: str):
     return run
 
 
-def secrets(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
+def secrets(docs: DataFrame, ledger: Ledger | None = None, version: str | None = None) -> DataFrame:
     """(doc_id, blob, n_assign, n_access, n_hex, base, spans) for every row of docs (doc_id, text)."""
     ledger = ledger or Ledger(docs.sparkSession)
-    paths = ledger.add(docs)
-    hits = ledger.findings().where("spans <> ''").drop("rules")
-    none = {"n_assign": 0, "n_access": 0, "n_hex": 0, "base": "", "spans": ""}
-    return paths.join(hits, "blob", "left").fillna(none)
+    return ledger.joined(ledger.add(docs, version=version))

@@ -253,6 +253,13 @@ def test_op3(docs, empty):
         m = media.to_pgm(p)
         assert media.from_pgm(m) == p and (g.media_bytes, g.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
         assert seen.setdefault(t or "", g.feature) == g.feature
+        assert g.digest.startswith(g.caption.removeprefix("Payload ")) and g.position == bool((t or "").split("\n")[0].split())
+
+
+def test_op3_odd_rows(spark):
+    rows = [(None, "<b>a & b</b>\nmore"), (None, "<b>a & b</b>\nmore"), (4, "x"), (4, "y"), (5, "long " * 100000), (6, "\n\n\ufeff")]
+    got = media.media_columns(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id or 0, x.n_bytes, x.position) for x in got) == [(0, 17, 1), (0, 17, 1), (4, 1, 1), (4, 1, 1), (5, 500000, 1), (6, 5, 0)]
 
 
 def test_op3_sequences(spark):
@@ -294,13 +301,32 @@ def test_op4(spark, empty):
 
 def test_op4_scans_only_what_is_new(spark, tmp_path):
     first = spark.createDataFrame([(1, "token=aaaaaaaaaaaaa"), (2, "b"), (3, "b")], "doc_id long, text string")
-    ledger = secrets.Ledger.open(spark, str(tmp_path / "ledger"))
-    secrets.secrets(first, ledger).count()
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    secrets.secrets(first, ledger, "one").count()
     assert ledger.findings().count() == 2
-    again = secrets.secrets(first.union(spark.createDataFrame([(4, "c")], first.schema)), secrets.Ledger.open(spark, str(tmp_path / "ledger")))
-    assert again.where("n_assign = 1").count() == 1 and ledger.findings().count() == 3
-    secrets.Ledger.open(spark, str(tmp_path / "ledger")).add(first, "v2")
-    assert ledger.findings("v2").count() == 2 and ledger.findings().count() == 3
+    second = spark.createDataFrame([(1, "clean now"), (9, "token=aaaaaaaaaaaaa"), (4, "c")], first.schema)
+    again = secrets.secrets(second, secrets.Ledger(spark, str(tmp_path / "ledger")), "two")
+    assert {x.doc_id: x.n_assign for x in again.collect()} == {1: 0, 9: 1, 4: 0} and ledger.findings().count() == 4
+    held = lambda: sorted((x.version, x.doc_id, x.n_assign) for x in ledger.history().collect())
+    whole = [("one", 1, 1), ("one", 2, 0), ("one", 3, 0), ("two", 1, 0), ("two", 4, 0), ("two", 9, 1)]
+    assert held() == whole
+    spark.read.parquet(f"{ledger.folder}/findings").write.mode("append").parquet(f"{ledger.folder}/findings")  # a repeated append
+    ledger.add(second, version="two")  # a retry
+    assert held() == whole and secrets.secrets(first, ledger, "one").count() == 3
+    ledger.add(first, "v2", "one")
+    assert ledger.findings("v2").count() == 2 and ledger.findings().count() == 4 and held() == whole
+
+
+def test_op4_long_texts():
+    """Linear time: runs of starts of a token, of a key's name and of opening lines."""
+    import time
+
+    began = time.time()
+    for t in ("eyJ" * 300_000, "eyJabcdefghij." * 70_000, "token " * 200_000, "-----BEGIN " * 100_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "AKIA" * 300_000, "password=" * 120_000):
+        secrets.scan(t)
+    assert time.time() - began < 20
+    block = "-----BEGIN RSA PRIVATE KEY-----\nabc-+/=\n-----END RSA PRIVATE KEY-----"
+    assert secrets.keys(f"x{block} -----BEGIN PRIVATE KEY----- {block}") == [(1, 1 + len(block)), (2 + len(block), 29 + len(block)), (30 + len(block), 30 + 2 * len(block))]
 
 
 @pytest.mark.parametrize("width", [20, 5, 1])

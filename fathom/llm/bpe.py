@@ -2,17 +2,20 @@
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can't be merged over, so it marks a certain cut.
 Words are cut there, each fragment is encoded by itself (the last with the word-end mark) with the library's merges, and
-the ids are concatenated; this gives exactly the ids of the whole word. Words are kept in a bounded cache of the worker;
-the words of a text that it lacks are encoded together.
+the ids are concatenated; this gives exactly the ids of the whole word. Words are kept in a cache of the worker, bounded in bytes;
+the words of a text that it lacks are encoded together. Rows go out in slices, so that a worker holds the results of about
+``SLICE_BYTES`` of text, or of one longer text, at a time.
 
 Texts are normalised as the vocabulary file says: NFC, runs of white space to one space, lower case, character by
-character; added tokens in the raw text stay whole. Null and empty texts have no tokens; a text without words likewise.
+character; added tokens in the raw text stay whole. Null and empty texts have no tokens; a text without words likewise. Rows with
+a null or repeated doc_id have a row each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
-from fathom.llm.common import tune
+from fathom.llm.common import give_back, tune
 
-CACHE = 1 << 18
+CACHE_BYTES = 16 << 20
+SLICE_BYTES = 1 << 20
 # Unicode white space, and the split pattern of the vocabulary file.
 SPACE = "\\t\\n\\v\\f\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^" + SPACE + "{L}{N}]+"
 END = "</w>"
+ENTRY = 100  # bytes of a dictionary's entry, about
 
 
 def splitter(letters: str = "\\p{L}", numbers: str = "\\p{N}"):
@@ -74,6 +79,7 @@ class Codec:
         self.library = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.specials = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
 
     def pieces(self, letters: str) -> list[str]:
         """letters cut at every pair of neighbours that no token contains."""
@@ -82,8 +88,9 @@ class Codec:
 
     def learn(self, words: list[str], room: bool = True) -> None:
         """Puts words into the cache: number of tokens, their ids and their names, each joined by one space."""
-        if room and len(self.words) + len(words) > CACHE:
+        if room and self.held > CACHE_BYTES:
             self.words.clear()
+            self.held = 0
         inner, last = [], []
         for word in words:
             parts = self.pieces(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table))
@@ -94,7 +101,8 @@ class Codec:
         names = self.names
         for word, parts, end in zip(words, inner, ends):
             ids = [i for _ in parts for i in next(rest)] + end if parts else end
-            self.words[word] = len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])
+            self.words[word] = known = len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])
+            self.held += sum(map(sys.getsizeof, (word, known, *known))) + ENTRY
 
     @staticmethod
     def grouped(model: Tokenizer, fragments: list[str]) -> list[list[int]]:
@@ -152,6 +160,11 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
+def rows_of(ids: list[pa.Scalar], found: list[tuple[int, str, str]]) -> pa.RecordBatch:
+    n, text, decoded = ([f[k] for f in found] for k in range(3))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(text, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+
+
 def encode(docs: DataFrame, path: str, decoded: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids string, decoded string) of every row of docs (doc_id, text).
 
@@ -163,14 +176,21 @@ def encode(docs: DataFrame, path: str, decoded: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(spec.value)
-        codec = _codecs.get(key) or _codecs.setdefault(key, Codec(spec.value))
+        if not (codec := _codecs.get(key)):
+            _codecs.clear()
+            codec = _codecs.setdefault(key, Codec(spec.value))
+            give_back()  # what reading the vocabulary took
         for b in batches:
-            n, ids, texts = [], [], []
-            for t in b.column(1):
-                x = codec.encode(t.as_py())
-                n.append(x[0])
-                ids.append(x[1])
-                texts.append(x[2])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+            ids, found, size = [], [], 0
+            for i, t in zip(b.column(0), b.column(1)):
+                text = t.as_py()
+                ids.append(i)
+                found.append(codec.encode(text))
+                size += len(text or "")
+                if size >= SLICE_BYTES:
+                    yield rows_of(ids, found)
+                    ids, found, size = [], [], 0
+            yield rows_of(ids, found)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")

@@ -16,14 +16,17 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 2000
 ARROW_BYTES = 8 << 20
 FILTER_ROWS = 1 << 18
+BUCKET_BYTES = 4 << 20
+GROUP = 32
 
 
 def tune(spark: SparkSession) -> None:
@@ -61,20 +64,21 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bucket_bits(docs: DataFrame) -> int:
+    """Bits of a number of buckets, by the size of docs' texts, so that a bucket holds what some BUCKET_BYTES of text give."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(8, min(24, (size // BUCKET_BYTES).bit_length()))
 
 
-def among(df: DataFrame, name: str, ids: DataFrame) -> DataFrame:
-    """The rows of df whose column name (long) is in ids (one long column): a bit filter of at most ``FILTER_ROWS`` longs is broadcast,
-    so that of few ids only few rows are shuffled; the semi join decides."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * FILTER_ROWS))
-    ids = ids.select(F.col(ids.columns[0]).alias(name)).distinct()
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), (bit(F.col(name)) % 64).cast("int"))
-    bits = ids.groupBy(F.expr(f"pmod(xxhash64({name}), {64 * FILTER_ROWS}) div 64").alias("_word")).agg(F.bit_or(one).alias("_bits"))
-    held = F.call_function("shiftright", F.col("_bits"), (bit(F.col(name)) % 64).cast("int")).bitwiseAND(1) == 1
-    some = df.join(F.broadcast(bits), F.expr(f"pmod(xxhash64({name}), {64 * FILTER_ROWS}) div 64") == F.col("_word")).where(held)
-    return some.drop("_word", "_bits").join(ids, name, "left_semi")
+
+def sifted(df: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose column name (long) may be in the column of that name of ids: a bit filter of at most ``FILTER_ROWS`` rows,
+    one long each, is broadcast. It loses no row that is in ids; the more ids there are, the more others it lets through."""
+    word = F.expr(f"pmod(xxhash64({name}), {64 * FILTER_ROWS}) div 64")
+    place = F.expr(f"cast(pmod(xxhash64({name}), 64) as int)")
+    bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("_bits"))
+    held = F.call_function("shiftright", F.col("_bits"), place).bitwiseAND(1) == 1
+    return df.join(F.broadcast(bits), word == F.col("_word")).where(held).drop("_word", "_bits")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -100,3 +104,35 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         edges = saved(small.union(low).distinct(), name)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def linked(rows: DataFrame, attributes: tuple[str, ...], alike: Column, verified: Callable[[DataFrame, str], DataFrame], name: str, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between ids that connect all linked members of the same key, without a row for each pair of a large group.
+
+    rows: (key, ref long, id, own, n, weight, attributes): member ref, named id, has key with n members in all; two members can be
+    linked if one of them owns the key. alike: what linked members share, over the columns <attribute>_a and _b. verified gives the
+    links among pairs (a, b) of refs. Members of keys of at most ``group`` are compared with each other; of larger ones with the
+    heaviest owner only, and then, where that leaves a key in several components, those of different components.
+    """
+    rows = saved(rows.select("key", "ref", "id", "own", "n", "weight", *attributes), f"{name}-members")
+    sides = lambda df, x, *columns: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    pair = (F.least("ref_a", "ref_b").alias("a"), F.greatest("ref_a", "ref_b").alias("b"))
+
+    def meeting(some: DataFrame, condition: Column | None = None) -> DataFrame:
+        columns = [c for c in some.columns if c != "key"]
+        left, right = sides(some.where("own"), "a", *columns), sides(some, "b", *columns)
+        once = F.when(F.col("own_b"), F.col("ref_a") < F.col("ref_b")).otherwise(F.col("ref_a") != F.col("ref_b"))
+        return left.join(right, (left.key == right.key) & once & alike & (F.lit(True) if condition is None else condition)).select(*pair)
+
+    small, large = rows.where(F.col("n") <= group), rows.where(F.col("n") > group)
+    heart = large.where("own").groupBy("key").agg(F.max_by(F.struct("ref", *attributes), F.struct("weight", "ref")).alias("c"))
+    heart = heart.select("key", *(F.col(f"c.{c}").alias(f"{c}_a") for c in ("ref", *attributes)))
+    spokes = sides(large, "b", "ref", *attributes).join(heart, "key").where((F.col("ref_a") != F.col("ref_b")) & alike).select(*pair)
+    found = verified(meeting(small.select("key", "ref", "own", *attributes)).union(spokes), name)
+    if large.isEmpty():
+        return found
+    near = components(found, f"{name}-groups")
+    large = large.join(near, large.id == near.node, "left").select("key", "ref", "own", *attributes, F.coalesce("component", "id").alias("part"))
+    large = saved(large, f"{name}-parts")
+    mixed = large.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    return found.union(verified(meeting(large.join(mixed, "key", "left_semi"), F.col("part_a") != F.col("part_b")), f"{name}-rest"))

@@ -12,8 +12,8 @@ from 10 words on and from 144 on the root of n / 16, up to 30. Classes are what
   execution can split. Their texts are fetched through a bit filter of bounded size.
 * Lines that share a key of at most ``GROUP`` lines are compared with each other. In a larger group every line is compared with
   the group's most copied segment line only, one row a line. Where that leaves a group in one component, nothing is missing; in
-  the others lines of different components are compared, and then all is done. Pairs whose numbers of words, or counts of
-  words in CLASSES classes, differ by more than the threshold allows make no rows: that is part of the joins' conditions.
+  the others lines of different components are compared, and then all is done. Pairs whose numbers of words, or parities of
+  the counts of words in 128 classes, differ by more than the threshold allows make no rows: that is part of the joins' conditions.
 * Candidates are verified by a banded bit-parallel edit distance: two words of 2 k + 1 bits hold the vertical differences of the
   band, advanced a word of the line at a time.
 * Only distinct lines are indexed; copies, however many, meet as one by a 128-bit hash in an aggregation with map-side combine.
@@ -30,16 +30,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import among, components, saved
+from fathom.llm.common import GROUP, components, linked, saved, sifted
 
 SIMILAR = 5  # words for each edit of a short line
 TWO = 2 * SIMILAR
 LONG = 144
 ROOT = 16
 MOST = 30  # the band of 61 diagonals fits one long
-GROUP = 32
-CLASSES = 8
-BITS = 7
+BITS = ("bits0", "bits1")
 PLACE = ("doc_id", "line_no", "row")
 
 
@@ -49,50 +47,46 @@ def edits_of(n: str) -> str:
     return f"case when ({n}) < {SIMILAR} then 0 when ({n}) < {TWO} then 1 when ({n}) < {LONG} then 2 else {grown} end"
 
 
-def keys_of(h: str = "h") -> Column:
-    """Of a line with word hashes h (SQL): the keys of its segments, edits_of(n) + 1, then those that it only probes.
+def key_of(words: str, shorter: str, edits: str, segment: str, shift: str) -> str:
+    """SQL for the key of a run of words (an array): the words that, shift words further left, would be that segment of a line
+    of shorter words. Segments have shorter div q words, the last shorter mod q one more, q = edits + 1."""
+    q = f"({edits} + 1)"
+    longer = f"{q} - ({shorter}) % {q}"  # segments from here on have one word more
+    start = f"{segment} * (({shorter}) div {q}) + greatest(0, {segment} - ({longer})) + {shift} + 1"
+    size = f"({shorter}) div {q} + if({segment} >= {longer}, 1, 0)"
+    return f"xxhash64({shorter}, {segment}, slice({words}, cast({start} as int), cast({size} as int)))"
 
-    A line of n - d words has segments of (n - d) div q words, the last (n - d) mod q of them one longer, q = edits + 1. Segment i
-    may lie s words further right in the longer line, if neither what comes before it nor what comes after needs too many edits.
-    """
-    n = f"size({h})"
-    low, high = "greatest(-i, x.d - (x.e - i))", "least(i, x.d + (x.e - i))"
-    start = "i * ((n - x.d) div (x.e + 1)) + greatest(0, i - (x.e + 1 - (n - x.d) % (x.e + 1)))"
-    size = "(n - x.d) div (x.e + 1) + if(i >= x.e + 1 - (n - x.d) % (x.e + 1), 1, 0)"
-    key = f"xxhash64(n - x.d, i, slice({h}, cast({start} + s + 1 as int), cast({size} as int)))"
-
-    def every(shorter: str, shifts: str) -> str:
-        one = f"transform(sequence(0, x.e), i -> transform({shifts}, s -> {key}))"
-        text = f"flatten(transform({shorter}, x -> flatten({one})))"
-        return text.replace("(n -", f"({n} -").replace("xxhash64(n -", f"xxhash64({n} -")
-
-    less = f"transform(sequence(0, {edits_of(n)}), d -> struct(d, {edits_of(f'{n} - d')} as e))"
-    less = f"filter({less}, x -> x.e >= x.d and x.e > 0)"
-    own = every(f"filter({less}, x -> x.d = 0)", "array(0)")
-    asked = every(less, f"filter(sequence({low}, {high}), s -> x.d > 0 or s <> 0)")
-    return F.expr(f"array_distinct(concat({own}, {asked}))")
 
+def shifts(edits: int, less: int, segment: int) -> range:
+    """How many words further right segment may lie in a line that is less words longer: neither what comes before it nor what
+    comes after may need too many edits."""
+    return range(max(-segment, less - (edits - segment)), min(segment, less + (edits - segment)) + 1)
 
-def word_hashes(line: str = "line") -> Column:
-    return F.expr(f"transform(split({line}, ' ', -1), w -> xxhash64(w))")
 
+def keys_of(words: str = "words") -> Column:
+    """Of a line of words (SQL): the keys of its segments, edits_of(n) + 1, then those that it only probes.
 
-def word_counts(h: str = "h") -> Column:
-    """The line's words counted in CLASSES classes, modulo 2 ** BITS, packed into one long."""
-    shift, field = f"cast(pmod(w, {CLASSES}) * {BITS} as int)", f"{(1 << BITS) - 1}L"
-    step = f"(c & ~shiftleft({field}, {shift})) | ((c + shiftleft(1L, {shift})) & shiftleft({field}, {shift}))"
-    return F.expr(f"aggregate({h}, 0L, (c, w) -> {step})")
+    Lines whose edits and whose shorter partners' edits are two have their keys written out; the others get theirs by loops.
+    """
+    n = f"size({words})"
+    two = [(0, i, 0) for i in range(3)] + [(d, i, s) for d in range(3) for i in range(3) for s in shifts(2, d, i) if d or s]
+    plain = "array(" + ", ".join(key_of(words, f"{n} - {d}", "2", str(i), f"({s})") for d, i, s in two) + ")"
 
+    def every(shorter: str, moves: str) -> str:
+        key = key_of("l.w", "l.n - x.d", "x.e", "i", "s")
+        return f"flatten(transform({shorter}, x -> flatten(transform(sequence(0, x.e), i -> transform({moves}, s -> {key})))))"
 
-def counts_differ(a: Column, b: Column) -> Column:
-    """How far two lines' word_counts differ: at most twice their edit distance."""
-    most = (1 << BITS) - 1
+    less = f"filter(transform(sequence(0, {edits_of('l.n')}), d -> struct(d, {edits_of('l.n - d')} as e)), x -> x.e >= x.d and x.e > 0)"
+    low, high = "greatest(-i, x.d - (x.e - i))", "least(i, x.d + (x.e - i))"
+    both = f"concat({every(f'filter({less}, x -> x.d = 0)', 'array(0)')}, {every(less, f'filter(sequence({low}, {high}), s -> x.d > 0 or s <> 0)')})"
+    other = f"element_at(transform(array(named_struct('w', {words}, 'n', {n})), l -> {both}), 1)"
+    return F.expr(f"array_distinct(case when {n} between {TWO + 2} and {LONG - 1} then {plain} else {other} end)")
 
-    def one(i: int) -> Column:
-        d = F.abs(F.shiftrightunsigned(a, BITS * i).bitwiseAND(most) - F.shiftrightunsigned(b, BITS * i).bitwiseAND(most))
-        return F.least(d, F.lit(most + 1) - d)
 
-    return reduce(lambda p, q: p + q, (one(i) for i in range(CLASSES)))
+def word_bits(words: str = "words") -> list[Column]:
+    """Longs whose bits say of which of 64 classes of words each the line has an odd number. An edit of a word changes two at most."""
+    every = f"transform({words}, w -> cast(pmod(xxhash64(w), {64 * len(BITS)}) as int))"
+    return [F.expr(f"aggregate({every}, 0L, (c, x) -> if(x div 64 = {k}, c ^ shiftleft(1L, x % 64), c))") for k in range(len(BITS))]
 
 
 def within(a: str, b: str, k: str) -> Column:
@@ -127,61 +121,43 @@ def named(docs: DataFrame) -> DataFrame:
     return lines(docs).withColumns({"ha": F.xxhash64("line"), "hb": F.xxhash64(F.lit(1), F.col("line"))})
 
 
+def split_up(docs: DataFrame) -> DataFrame:
+    """named of the rows with a doc_id, with words, for lines of SIMILAR words or more."""
+    count = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return named(docs.where("doc_id is not null")).where(count >= SIMILAR).withColumn("words", F.split("line", " ", -1))
+
+
 def sharing(docs: DataFrame) -> DataFrame:
     """(key, ha, own, n) of the lines (by ha) that have a key with others: own if one of its segments has it, n lines in all."""
-    count = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    marked = named(docs.where("doc_id is not null")).where(count >= SIMILAR).withColumn("h", word_hashes())
-    marked = marked.select("ha", "hb", F.expr(edits_of("size(h)")).alias("e"), keys_of().alias("keys"))
-    # both sides of the join read this aggregation, whose exchange runs once
+    marked = split_up(docs).select("ha", "hb", F.expr(edits_of("size(words)")).alias("e"), keys_of().alias("keys"))
+    # all sides of the joins read this aggregation, whose exchange runs once
     distinct = marked.groupBy("ha", "hb").agg(F.first("e").alias("e"), F.first("keys").alias("keys"))
     keyed = distinct.select("ha", "e", F.posexplode("keys").alias("at", "key")).select("key", "ha", (F.col("at") <= F.col("e")).alias("own"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some").select("key", "n")
-    return saved(keyed.join(shared, "key").select("key", "ha", "own", "n"), "line-keys")
-
-
-def meeting(rows: DataFrame, *where: Column) -> DataFrame:
-    """Pairs (a, b) of ha of rows (key, ha, own, words, counts, ...) that share a key which is a segment of one of them."""
-    left, right = (rows.select("key", *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != "key")) for x in "ab")
-    once = F.when(F.col("own_b"), F.col("ha_a") < F.col("ha_b")).otherwise(F.col("ha_a") != F.col("ha_b"))
-    both = left.join(right, (left.key == right.key) & F.col("own_a") & once & alike() & reduce(lambda p, q: p & q, where, F.lit(True)))
-    return both.select(F.least("ha_a", "ha_b").alias("a"), F.greatest("ha_a", "ha_b").alias("b"))
-
-
-def alike() -> Column:
-    """What lines a and b within the threshold have in common: numbers and counts of words."""
-    edits = F.expr(edits_of("least(words_a, words_b)"))
-    return (F.abs(F.col("words_a") - F.col("words_b")) <= edits) & (counts_differ(F.col("counts_a"), F.col("counts_b")) <= 2 * edits)
+    return saved(sifted(keyed, "key", shared).join(shared, "key").select("key", "ha", "own", "n"), "line-keys")
 
 
 def links(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """Links (a, b) between places struct<doc_id,line_no,row> that connect all distinct lines within the threshold of each other."""
     rows = sharing(docs)
-    texts = among(named(docs.where("doc_id is not null")), "ha", rows.select("ha")).groupBy("ha", "hb")
-    texts = texts.agg(F.min(F.struct(*PLACE)).alias("id"), F.first("line").alias("line"), F.count("*").alias("copies"))
-    texts = texts.withColumn("h", word_hashes()).select("ha", "id", "line", "copies", F.size("h").alias("words"), word_counts().alias("counts"))
-    texts = saved(texts, "line-texts")
-    rows = rows.join(texts.select("ha", "id", "copies", "words", "counts"), "ha")
-    rows = saved(rows.select("key", "ha", "own", "n", "id", "copies", "words", "counts"), "line-members")
+    marks = sifted(split_up(docs), "ha", rows.select("ha")).groupBy("ha", "hb")
+    marks = marks.agg(F.min(F.struct(*PLACE)).alias("id"), F.first(F.size("words")).alias("words"), *(F.first(c).alias(x) for x, c in zip(BITS, word_bits())), F.count("*").alias("weight"))
+    rows = rows.join(marks.drop("hb"), "ha").withColumnRenamed("ha", "ref")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        left, right = (texts.select(F.col("ha").alias(x), F.col("id").alias(f"id_{x}"), F.col("line").alias(f"line_{x}"), "words").withColumnRenamed("words", f"words_{x}") for x in "ab")
-        both = pairs.distinct().join(left, "a").join(right, "b")
-        near = within("split(line_a, ' ', -1)", "split(line_b, ' ', -1)", edits_of("least(words_a, words_b)"))
+        pairs = saved(pairs.distinct(), f"{name}-asked")
+        asked = pairs.select(F.col("a").alias("ha")).union(pairs.select("b")).distinct()
+        texts = sifted(split_up(docs), "ha", asked).groupBy("ha", "hb").agg(F.min(F.struct(*PLACE)).alias("id"), F.first("line").alias("line"))
+        texts = saved(texts.drop("hb").join(asked, "ha", "left_semi"), f"{name}-texts")
+        left, right = (texts.withColumnsRenamed({"ha": x, "id": f"id_{x}", "line": f"line_{x}"}) for x in "ab")
+        both = pairs.join(left, "a").join(right, "b").select("id_a", "id_b", F.split("line_a", " ", -1).alias("x"), F.split("line_b", " ", -1).alias("y"))
+        near = within("x", "y", edits_of("least(size(x), size(y))"))
         return saved(both.where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), name)
 
-    large = rows.where(F.col("n") > group)
-    heart = large.where("own").groupBy("key").agg(F.max_by(F.struct("ha", "words", "counts"), F.struct("copies", "ha")).alias("c"))
-    spokes = large.select("key", *(F.col(c).alias(f"{c}_b") for c in ("ha", "words", "counts"))).join(heart.select("key", *(F.col(f"c.{c}").alias(f"{c}_a") for c in ("ha", "words", "counts"))), "key")
-    spokes = spokes.where((F.col("ha_a") != F.col("ha_b")) & alike()).select(F.least("ha_a", "ha_b").alias("a"), F.greatest("ha_a", "ha_b").alias("b"))
-    found = verified(meeting(rows.where(F.col("n") <= group).drop("n", "id", "copies")).union(spokes), "line-links")
-    if large.isEmpty():
-        return found
-    near = components(found, "line-groups")
-    large = large.join(near, large.id == near.node, "left").select("key", "ha", "own", "words", "counts", F.coalesce("component", "id").alias("part"))
-    large = saved(large, "line-parts")
-    mixed = large.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    rest = verified(meeting(large.join(mixed, "key", "left_semi"), F.col("part_a") != F.col("part_b")), "line-links")
-    return found.union(rest)
+    edits = F.expr(edits_of("least(words_a, words_b)"))
+    differ = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS))
+    alike = (F.abs(F.col("words_a") - F.col("words_b")) <= edits) & (differ <= 2 * edits)
+    return linked(rows, ("words", *BITS), alike, verified, "lines", group)
 
 
 def classes(docs: DataFrame, group: int = GROUP) -> DataFrame:

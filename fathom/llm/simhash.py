@@ -5,11 +5,12 @@ most 3 bits: of two 32-bit segments at least one differs in at most one bit, so
 each segment, the Hamming ball of radius 1 (33 keys), and complete distances decide. Only distinct fingerprints are
 indexed, so copies cost nothing; each link is emitted once.
 
-``near_copies`` finds, for the pipeline, all pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8
-or more, by prefixes of the shingles in the order of their hashes; the sets themselves decide.
+``near_copies`` finds, for the pipeline, what connects all pairs of texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more, by prefixes of the shingles in the order of their hashes; the sets themselves decide. ``groups`` joins both.
 
 Null or wordless texts have the fingerprint zero and link like any other. Rows with a null doc_id get a fingerprint and
-no component. A doc_id that repeats is one node. An empty table gives an empty result.
+no component. A doc_id that repeats is one node of ``near_duplicates``; in ``groups`` its rows are told apart by a hash of their
+texts. Very long texts count whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import components, saved, tune
+from fathom.llm.common import GROUP, components, give_back, linked, saved, sifted, tune
 
 SHINGLE = 3
 COPY_SHINGLE = 5
@@ -55,15 +56,16 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long: the fingerprint's 64 bits)."""
+    """(doc_id, row, fp long: the fingerprint's 64 bits); row is a hash of the text."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((simhash(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((simhash(t.as_py(), shingle) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "row", "fp"])
+        give_back()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text").mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def links(reps: DataFrame, radius: int = 3) -> DataFrame:
@@ -83,51 +85,66 @@ def links(reps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text)."""
+    """(doc_id, fingerprint, component_id, row) for every row of docs (doc_id, text)."""
     marked = saved(fingerprints(docs, shingle), "simhash")
     reps = saved(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-reps")
     found = components(links(reps, radius), "simhash-links")
     classes = reps.join(found, reps.id == found.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     out = marked.join(classes, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "row")
 
 
-def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """Links (a, b) between doc_ids of docs (doc_id, text) that connect all texts of Jaccard similarity 0.8 or more.
-
-    Of a pair, the larger set of n shingles shares one of its n - ceil(0.8 n) + 1 smallest hashes with the n - ceil(8 n / 9) + 1
-    smallest of the other. Equal sets are indexed once; each of their texts links to the smallest doc_id. Wordless texts
-    have no link here.
-    """
+def sets(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
+    """(doc_id, row, size, ha, hb, keys) of the texts that have words: the number of their distinct shingles, 128 bits that stand for
+    the set, and the smallest hashes of shingles that two sets of Jaccard similarity 0.8 or more can't both lack."""
     tune(docs.sparkSession)
-    schema = "doc_id long, n int, ha long, hb long, keys array<long>"
+    schema = "doc_id long, row long, size int, ha long, hb long, keys array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, named, keys = [], [], ([], []), []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
+            ids, rows, sizes, named, keys = [], [], [], ([], []), []
+            for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 grams = set(shingles(t.as_py(), shingle))
                 if not grams:
                     continue
                 h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, len(grams)).view(np.int64))
                 ids.append(i)
+                rows.append(r)
                 sizes.append(len(h))
                 for k in range(2):
                     named[k].append(xxhash.xxh64_intdigest(h.tobytes(), k))
                 keys.append(h[: len(h) - (4 * len(h) + 4) // 5 + 1])
             both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in named]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), *both, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "ha", "hb", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), *both, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "size", "ha", "hb", "keys"])
+        give_back()
+
+    return rowed(docs).mapInArrow(run, schema)
+
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    sets = saved(texts.mapInArrow(run, schema), "copy-sets")
-    reps = saved(sets.groupBy("ha", "hb").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copy-reps")
-    same = sets.select("doc_id", "ha", "hb").join(reps.select("ha", "hb", "id"), ["ha", "hb"]).where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+def rowed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text) of the rows of docs that have a doc_id; row is a hash of the text."""
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
 
-    table = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.posexplode(F.expr("slice(keys, 1, n - (8 * n + 8) div 9 + 1)")).alias("i", "key"))
-    asked = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.posexplode("keys").alias("j", "key"))
-    order = "(na < nb or na = nb and a <> b) and 5 * na >= 4 * nb"  # equal sizes are asked from both ends
-    room = "9 * (least(i, j) + least(na - i, nb - j)) >= 4 * (na + nb)"  # most that the sets can share
-    pairs = saved(table.join(asked, "key").where(f"{order} and {room}").select("a", "b").distinct(), "copy-candidates")
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, group: int = GROUP) -> DataFrame:
+    """Links (a, b) between struct<doc_id,row> of rows of docs (doc_id, text) that connect all texts of Jaccard similarity 0.8 or more.
+
+    Of a pair, the smaller set of n shingles shares one of its n - ceil(8 n / 9) + 1 smallest hashes with the m - ceil(0.8 m) + 1
+    smallest of the other. Equal sets are indexed once; each of their texts links to the first. Hashes that only one set has are left
+    out before any join; candidates are verified by the sets themselves. Wordless texts have no link here.
+    """
+    held = saved(sets(docs, shingle), "copy-sets")
+    id_ = F.struct("doc_id", "row").alias("id")
+    reps = held.groupBy("ha", "hb").agg(F.min(id_).alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("weight"))
+    same = held.select("ha", "hb", id_).join(reps.select("ha", "hb", F.col("id").alias("a")), ["ha", "hb"]).where("a <> id").select("a", F.col("id").alias("b"))
+
+    keyed = reps.select(F.col("id.row").alias("ref"), "id", "weight", "size", F.posexplode("keys").alias("at", "key"))
+    keyed = keyed.withColumn("own", F.expr("at < size - (8 * size + 8) div 9 + 1"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some").select("key", "n")
+    rows = sifted(keyed, "key", shared).join(shared, "key")
+    least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    room = F.least("at_a", "at_b") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))  # most that the sets can share
+    alike = (5 * least >= 4 * most) & (9 * room >= 4 * (least + most))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,7 +154,22 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
                 good.append(9 * len(x & y) >= 4 * (len(x) + len(y)))
             yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = saved(texts.join(needed, "doc_id", "left_semi"), "copy-texts")
-    both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "x"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").union(same)
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = saved(pairs.distinct(), f"{name}-asked")
+        asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        texts = sifted(rowed(docs), "row", asked).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        texts = saved(texts.join(asked, "row", "left_semi").select("row", F.struct("doc_id", "row").alias("id"), "text"), f"{name}-texts")
+        left, right = (texts.withColumnsRenamed({"row": x, "id": f"id_{x}", "text": f"text_{x}"}) for x in "ab")
+        both = pairs.join(left, "a").join(right, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b")
+        return saved(both.mapInArrow(check, "a struct<doc_id:long,row:long>, b struct<doc_id:long,row:long>"), name)
+
+    return linked(rows, ("size", "at"), alike, verified, "copies", group).union(same)
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """(node, component) struct<doc_id,row> of the rows of docs that fingerprints within 3 bits or near copies connect with others."""
+    found = near_duplicates(docs).where("doc_id is not null")
+    found = found.select(F.struct("doc_id", "row").alias("b"), "component_id").distinct()
+    least = found.groupBy("component_id").agg(F.min("b").alias("a"))
+    found = found.join(least, "component_id").where("a <> b").select("a", "b")
+    return components(found.union(near_copies(docs)), "simhash-groups")

@@ -558,15 +558,25 @@ def test_op9(docs, empty, width):
 
 
 def test_op9_family():
-    r = np.random.default_rng(1)
-    family, low = suffixes.Family(), {}
-    for _ in range(40):
-        h, i = r.integers(0, 500, 60).astype(np.uint64), r.integers(0, 1000, 60)
-        family.add(h, i)
-        for a, b in zip(h.tolist(), i.tolist()):
-            low[a] = min(b, low.get(a, b))
-    asked = np.arange(500, dtype=np.uint64)
-    assert [low.get(x, np.iinfo(np.int64).max) for x in range(500)] == family.scan(asked).tolist() and len(family.levels) <= 7
+    """Batches one after another tell the same as all at once; levels are sorted by their bytes and few."""
+    r = random.Random(1)
+    family, low, texts = suffixes.Family(), {}, []
+    for n in range(40):
+        texts.append([(i, bytes(r.choice(b"ab\0\xff") for _ in range(r.randint(6, 30)))) for i in range(n * 9, n * 9 + 10)])  # the last id comes again
+        data = np.frombuffer(b"".join(t for _, t in texts[-1]), np.uint8)
+        ends = np.cumsum([len(t) for _, t in texts[-1]])
+        places = [(i, p) for (i, t), e in zip(texts[-1], ends.tolist()) for p in range(e - len(t), e - 5)]
+        late = family.add(suffixes.suffixes_at(data, np.array([p for _, p in places]), 6), np.array([i for i, _ in places]))
+        cut = [(i, bytes(data[p : p + 6])) for i, p in places]
+        for i, x in cut:
+            low[x] = min(i, low.get(x, i))
+        assert late.tolist() == [low[x] < i for i, x in cut]
+    assert len(family.levels) <= 8
+    for keys, _ in family.levels:
+        padded = [k.ljust(6, b"\0") for k in keys.tolist()]
+        assert padded == sorted(set(padded))
+    asked = sorted(low)
+    assert family.scan(np.array(asked, "S6")).tolist() == [low[x] for x in asked]
 
 
 def brute_simhash(text):
@@ -620,7 +630,7 @@ def test_simhash_stage_copies(spark):
     alike = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = simhash.near_copies(df).collect()
-    assert union_find(len(texts), [(x.a, x.b) for x in got]) == union_find(len(texts), alike)
+    assert union_find(len(texts), [(x.a.doc_id, x.b.doc_id) for x in got]) == union_find(len(texts), alike)
     fp = [brute_simhash(t) for t in texts]
     bits = [(a, b) for a in range(len(texts)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 3]
     root = union_find(len(texts), alike + bits)

@@ -2,7 +2,8 @@
 
 1. ``windows``: blocks of documents are cut into words; a 64-bit polynomial hash of every window is made by doubling.
    Within a block only the first of equal windows travels (map-side combine, so a hot window costs one entry a block); the
-   later ones are marked at once. Entries travel as packed columns, dealt by the high bits of the hash.
+   later ones are marked at once. Entries travel as packed columns, dealt by the high bits of the hash to as many buckets as
+   the size of the texts asks for, so that the bucket that a task holds at a time doesn't grow with the table.
 2. ``repeated``: in each bucket, equal hashes of different blocks meet; all but the earliest (doc_id, start) are marked.
 3. ``dedup``: marks of a document merge into maximal removal intervals, which are cut out of its words.
 
@@ -21,11 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import partitions, tune
+from fathom.llm.common import bucket_bits, give_back, tune
 
 WIDTH = 20
 BLOCK_WORDS = 1 << 19
-BUCKETS = 256
 BASE = 0x9E3779B97F4A7C15
 ENTRY = "bucket int, kind int, hashes binary, docs binary, starts binary"
 
@@ -74,6 +74,12 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(unpack(data[8:]))]) + np.frombuffer(data[:8], np.int64)[0] if data else np.zeros(0, np.int64)
 
 
+def equal_runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal values begin and end."""
+    cuts = np.flatnonzero(np.diff(values)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)]) if len(values) else iter(())
+
+
 def entries(docs: list[tuple[int, list[bytes]]], width: int, bits: int) -> Iterator[tuple]:
     """Rows of ENTRY for a block of documents."""
     docs = sorted((d for d in docs if len(d[1]) >= width), key=lambda d: d[0])
@@ -97,18 +103,15 @@ def entries(docs: list[tuple[int, list[bytes]]], width: int, bits: int) -> Itera
     bucket = (hashes[first] >> np.uint64(64 - bits)).astype(np.int64)
     first = first[np.argsort(bucket, kind="stable")]
     bucket.sort()
-    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
     plain = np.ascontiguousarray(hashes[first]).view(np.uint8).reshape(-1, 8)[:, :7]  # the top byte is the bucket's
-    for b in range(1 << bits):
-        lo, hi = cuts[b], cuts[b + 1]
-        if hi > lo:
-            yield b, 0, plain[lo:hi].tobytes(), pack_ids(ids[first[lo:hi]]), pack(starts[first[lo:hi]])
+    for lo, hi in equal_runs(bucket):
+        yield int(bucket[lo]), 0, plain[lo:hi].tobytes(), pack_ids(ids[first[lo:hi]]), pack(starts[first[lo:hi]])
 
 
 def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
-    bits = max(BUCKETS, 4 * partitions(spark)).bit_length() - 1
+    bits = bucket_bits(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -132,6 +135,7 @@ def windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     yield from flush()
                     held, size = [], 0
         yield from flush()
+        give_back()
 
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENTRY)
 

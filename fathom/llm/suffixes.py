@@ -6,13 +6,13 @@ lost, while only about one byte in 14 starts a kept suffix.
 
 1. ``anchors``: every anchor's hash, packed and dealt by hash; those whose 24 bytes occur once in the table end here.
 2. ``contexts``: for the others the bytes under the windows that belong to the anchor are fetched.
-3. ``Family``: in each shard, batches of suffixes (as hashes of their first 50 bytes, with the smallest doc_id) come as
-   sorted arrays; a new array is merge-scanned against the existing levels, then levels of equal size merge, so that n
-   entries lie in at most log n levels and each entry is merged log n times.
+3. ``Family``: in each shard, suffixes come in batches by doc_id. A batch becomes a suffix array (its suffixes in byte order, with
+   the smallest doc_id of each), is scanned against the existing levels for matches of 50 bytes, and becomes a level itself;
+   levels of about equal size merge, so that n suffixes lie in at most log n levels and each is merged log n times.
 4. ``dedup``: windows that also start in a smaller doc_id are cut out of the text.
 
-Exact copies of a text are known by SHA-256 beforehand, need no context and lose all bytes (if there are 50). Windows are compared by
-64-bit hash within equal anchors' shards. Null texts are empty. Rows with a null doc_id are kept whole. Rows sharing a
+Exact copies of a text are known by SHA-256 beforehand, need no context and lose all bytes (if there are 50). Pieces are told apart by
+64-bit hash, suffixes by their bytes. There are as many shards as the size of the texts asks for. The levels are those of one run. Null texts are empty. Rows with a null doc_id are kept whole. Rows sharing a
 doc_id are one document for comparison: none of them loses bytes to another. An empty table gives an empty result.
 """
 
@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import give_back, partitions, saved, tune
-from fathom.llm.substrings import BUCKETS, by_document, pack, pack_ids, runs, unpack, unpack_ids
+from fathom.llm.common import bucket_bits, give_back, saved, tune
+from fathom.llm.substrings import by_document, equal_runs, pack, pack_ids, runs, unpack, unpack_ids
 
 WIDTH = 50
 SEED_BYTES = 24
@@ -122,9 +122,9 @@ def anchors(docs: DataFrame, width: int, bits: int) -> DataFrame:
             ids, local = np.array([i for i, _ in part], np.int64)[doc], pos - starts[doc]
             bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+            bucket = bucket[order]
             tail = np.ascontiguousarray(h[order]).view(np.uint8).reshape(-1, 8)[:, 2:7]
-            out = [(b, tail[lo:hi].tobytes(), pack_ids(ids[order[lo:hi]]), pack(local[order[lo:hi]])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
+            out = [(int(bucket[lo]), tail[lo:hi].tobytes(), pack_ids(ids[order[lo:hi]]), pack(local[order[lo:hi]])) for lo, hi in equal_runs(bucket)]
             if out:
                 types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "hashes", "docs", "starts"])
@@ -188,10 +188,10 @@ def contexts(docs: DataFrame, wanted: DataFrame, width: int, bits: int) -> DataF
             stay = np.flatnonzero(ids == least)
             bucket = (h[stay] >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = stay[order[cuts[b] : cuts[b + 1]]]
-                out.append((b, 0, pack_ids(ids[own]), pack(local[own]), pack(sizes[own]), b"".join([pieces[x] for x in own.tolist()])))
+            bucket = bucket[order]
+            for lo_, hi_ in equal_runs(bucket):
+                own = stay[order[lo_:hi_]]
+                out.append((int(bucket[lo_]), 0, pack_ids(ids[own]), pack(local[own]), pack(sizes[own]), b"".join([pieces[x] for x in own.tolist()])))
             types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "kind", "docs", "starts", "sizes", "bytes"])
             del data, h, pos, text, pieces, low, out
@@ -201,49 +201,52 @@ def contexts(docs: DataFrame, wanted: DataFrame, width: int, bits: int) -> DataF
 
 
 class Family:
-    """A logarithmic family of suffix arrays: levels of (sorted distinct hash, smallest doc_id)."""
+    """A logarithmic family of suffix arrays: levels of (suffixes in byte order, smallest doc_id of each). A suffix counts to its
+    first width bytes: matches are no shorter, so its order beyond them decides nothing."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     @staticmethod
-    def array(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes with their smallest ids. A stable sort merges runs that are sorted already."""
-        order = np.argsort(hashes, kind="stable")
-        hashes, ids = hashes[order], ids[order]
-        cuts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-        return hashes[cuts], np.minimum.reduceat(ids, cuts)
-
-    def scan(self, hashes: np.ndarray) -> np.ndarray:
-        """For sorted or unsorted hashes the smallest doc_id of an equal suffix in any level, or the largest integer."""
-        low = np.full(len(hashes), np.iinfo(np.int64).max)
+    def array(suffixes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct suffixes in order, with their smallest ids. A stable sort merges runs that are sorted already."""
+        order = np.argsort(suffixes, kind="stable")
+        suffixes, ids = suffixes[order], ids[order]
+        cuts = np.flatnonzero(np.concatenate([[True], suffixes[1:] != suffixes[:-1]]))
+        return suffixes[cuts], np.minimum.reduceat(ids, cuts)
+
+    def scan(self, suffixes: np.ndarray) -> np.ndarray:
+        """For suffixes in order the smallest doc_id of an equal one in any level, or the largest integer."""
+        low = np.full(len(suffixes), np.iinfo(np.int64).max)
         for keys, ids in self.levels:
-            at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-            hit = keys[at] == hashes
+            at = np.minimum(np.searchsorted(keys, suffixes), len(keys) - 1)
+            hit = keys[at] == suffixes
             low[hit] = np.minimum(low[hit], ids[at[hit]])
         return low
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray) -> None:
-        """A new batch; merges levels while the last is at least half as large as the one before."""
-        if not len(hashes):
-            return
-        self.levels.append(self.array(hashes, ids))
+    def add(self, suffixes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Takes in a batch whose ids are no smaller than those of earlier ones. Returns which of its suffixes also start in a
+        smaller id: the batch's array is scanned against the levels, then levels merge while the last is half as large as the one
+        before."""
+        if not len(suffixes):
+            return np.zeros(0, bool)
+        order = np.argsort(suffixes, kind="stable")
+        keys, least = self.array(suffixes[order], ids[order])
+        known = np.minimum(self.scan(keys), least)
+        new = np.concatenate([[True], suffixes[order[1:]] != suffixes[order[:-1]]])
+        late = np.empty(len(suffixes), bool)
+        late[order] = known[np.cumsum(new) - 1] < ids[order]
+        self.levels.append((keys, least))
         while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
             (a, i), (b, j) = self.levels.pop(), self.levels.pop()
             self.levels.append(self.array(np.concatenate([a, b]), np.concatenate([i, j])))
+        return late
 
 
-def suffix_hashes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of the windows of data that start at the given places."""
-    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))
-    h = np.zeros(len(at), np.uint64)
-    for k in [*range(0, width - 8, 8), width - 8]:
-        h ^= eight[at + k]
-        h *= M1
-        h ^= h >> np.uint64(29)
-    h *= M2
-    h ^= h >> np.uint64(32)
-    return h
+def suffixes_at(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The first width bytes of the suffixes of data that start at the given places, as byte strings."""
+    every = np.ndarray((len(data) - width + 1,), f"S{width}", np.ascontiguousarray(data), 0, (1,))
+    return every[at]
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:
@@ -296,24 +299,18 @@ def matches(width: int):
         of = np.empty(len(k), np.int64)
         of[order] = np.cumsum(new) - 1
         whole = i > i[head][of]
-        family, batches, at = Family(), [], 0
+        head = head[np.argsort(i[head], kind="stable")]  # batches come by doc_id
+        of = np.argsort(np.argsort(i[order[np.flatnonzero(new)]], kind="stable"), kind="stable")[of]
+        family, late, at = Family(), [], 0
         sizes = np.cumsum(c[head])
         while at < len(head):
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH, "right")))
             part = head[at:to]
             data = np.frombuffer(b"".join([texts[x] for x in part.tolist()]), np.uint8)
             begin = np.cumsum(c[part] + width - 1) - (c[part] + width - 1)
-            h = suffix_hashes(data, np.repeat(begin, c[part]) + ranges(c[part]), width)
-            owner = np.repeat(i[part], c[part])
-            by_hash = np.argsort(h)
-            family.add(h[by_hash], owner[by_hash])
-            batches.append((h, owner, by_hash))
+            places = np.repeat(begin, c[part]) + ranges(c[part])
+            late.append(family.add(suffixes_at(data, places, width), np.repeat(i[part], c[part])))
             at = to
-        late = []
-        for h, owner, by_hash in batches:  # a scan in order of the levels reads them once, from end to end
-            low = np.empty(len(h), np.int64)
-            low[by_hash] = family.scan(h[by_hash])
-            late.append(low < owner)
         late = np.concatenate(late)
         # runs of matched windows within each piece
         first = np.cumsum(c[head]) - c[head]
@@ -325,7 +322,7 @@ def matches(width: int):
         piece = np.searchsorted(first, b, "right") - 1
         per = np.bincount(piece, minlength=len(head))
         base = np.cumsum(per) - per
-        del texts, family, batches
+        del texts, family
         give_back()
         rest = np.flatnonzero(~whole & (per[of] > 0))  # every place of those pieces in that smallest doc_id
         n = per[of[rest]]
@@ -345,7 +342,7 @@ def repeated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     copies of a smaller doc_id's text."""
     spark = docs.sparkSession
     tune(spark)
-    bits = max(BUCKETS, 4 * partitions(spark)).bit_length() - 1
+    bits = bucket_bits(docs)
     texts = docs.where("doc_id is not null and text is not null")
     digests = saved(texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")), "suffix-digests")
     low = digests.groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")

@@ -6,12 +6,12 @@ its code and a rest at right angles to it, <x, y> lies within cos(acos(c) -+ aco
 only pairs whose interval reaches the threshold are computed exactly, in double precision, from the given components.
 
 Equal vectors meet first, as one row with a count. Distinct ones are assigned to the nearest of a bounded number of
-pivots and cut into blocks; two blocks meet unless the triangle inequality of angles keeps all their pairs apart. Where
+pivots and cut into blocks; two blocks meet unless the triangle inequality of angles keeps all their pairs apart; the executors plan that. Where
 data have no clusters, all blocks meet and the work is quadratic in the distinct vectors; it is never lossy. A task holds
 two blocks, counts links, and emits a row a vector: its links there and the smallest vec_id it connects to there.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do vectors of different
-dimensions. Rows sharing a vec_id are one vertex. Rows with a null vec_id have no component. An empty table gives an empty
+dimensions. Rows sharing a vec_id are one vertex: they have its links together, and none with each other. Rows with a null vec_id have no component. An empty table gives an empty
 result.
 """
 
@@ -20,9 +20,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.common import components, saved, tune
@@ -33,6 +32,7 @@ BLOCK = 4096
 MAX_PIVOTS = 1024
 SLACK = 1e-3  # angles in radians: more than rounding can move them
 STEP = 512
+PAIRS = 1 << 14
 
 
 def rotation(dim: int, seed: int = SEED) -> np.ndarray:
@@ -82,14 +82,13 @@ def exact_pairs(left: dict, right: dict | None, dim: int, threshold: float) -> t
         maybe = turned[rows] @ signs.T >= least  # the interval of these pairs reaches the threshold
         if own:
             maybe &= np.arange(n)[None, :] > np.arange(n)[rows, None]
-        r, c = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
-        if not len(r):
+        i, j = np.nonzero(maybe)
+        i += at
+        parts = [slice(k, k + PAIRS) for k in range(0, len(i), PAIRS)]
+        sure = [np.einsum("ij,ij->i", left["unit"][i[p]], right["unit"][j[p]]) >= threshold for p in parts]
+        if not parts or not (sure := np.concatenate(sure)).any():
             continue
-        sure = maybe[np.ix_(r, c)] & (left["unit"][rows][r] @ right["unit"][c].T >= threshold)
-        i, j = np.nonzero(sure)
-        if not len(i):
-            continue
-        i, j = r[i] + at, c[j]
+        i, j = i[sure], j[sure]
         counts[:n] += np.bincount(i, right["copies"][j], n).astype(np.int64)
         shift = 0 if own else n
         counts += np.bincount(j + shift, left["copies"][i], total).astype(np.int64)
@@ -126,21 +125,24 @@ def assigned(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, "id long, copies long, dim int, unit binary, code binary, factor double, cell int, far double")
 
 
-def meetings(blocks: list[tuple], pivots: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
-    """(task, block, side) of all pairs of blocks that can hold a link. blocks: (block, dim, cell, largest angle)."""
+def meetings(spark: SparkSession, dims: np.ndarray, cells: np.ndarray, fars: np.ndarray, pivots: np.ndarray, threshold: float) -> DataFrame:
+    """(x, y): the pairs of blocks, x <= y, that can hold a link; planned by the executors. Of each block its dimension, cell and largest angle."""
     reach = np.arccos(threshold) + SLACK
-    apart = angle(pivots @ pivots.T) if len(pivots) else np.zeros((0, 0))
-    out, task = [], 0
-    for x in range(len(blocks)):
-        for y in range(x, len(blocks)):
-            (a, da, ca, fa), (b, db, cb, fb) = blocks[x], blocks[y]
-            if da != db or (ca >= 0 and cb >= 0 and apart[ca, cb] - fa - fb > reach):
-                continue
-            out.append((task, a, 0))
-            if a != b:
-                out.append((task, b, 1))
-            task += 1
-    return out
+    apart = angle(pivots @ pivots.T) if len(pivots) else np.zeros((1, 1))
+    shared = spark.sparkContext.broadcast((dims, cells, fars, apart))  # 20 bytes for each block of vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, c, f, between = shared.value
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                ys = np.arange(x, len(d))
+                far = (c[x] >= 0) & (c[ys] >= 0) & (between[c[x], c[ys]] - f[x] - f[ys] > reach)
+                ys = ys[(d[ys] == d[x]) & ~far]
+                for at in range(0, len(ys), 1 << 16):
+                    part = ys[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), x, np.int32)), pa.array(part.astype(np.int32))], ["x", "y"])
+
+    return spark.range(0, len(dims)).mapInArrow(run, "x int, y int")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -150,7 +152,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = saved(rows.withColumn("v", F.when(F.coalesce(finite, F.lit(False)), F.col("v"))), "vectors")
-    distinct = rows.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    distinct = rows.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"))
     distinct = saved(distinct.select("id", "copies", "v"), "vectors-distinct")
     n = distinct.count()
     k = min(MAX_PIVOTS, -(-n // block))
@@ -162,13 +164,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     per_cell = coded.groupBy("dim", "cell").agg(F.count("*").alias("n"))
     parts = per_cell.select("dim", "cell", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     cut = coded.join(F.broadcast(parts), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    sizes = cut.groupBy("dim", "cell", "part").agg(F.max("far").alias("far")).orderBy("dim", "cell", "part").collect()
-    plan = meetings([(x, r.dim, r.cell, r.far) for x, r in enumerate(sizes)], pivots, threshold)
-    if not plan:
+    sizes = cut.groupBy("dim", "cell", "part").agg(F.max("far").alias("far")).orderBy("dim", "cell", "part").collect()  # a row a block
+    if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     names = spark.createDataFrame([(r.dim, r.cell, r.part, x) for x, r in enumerate(sizes)], "dim int, cell int, part int, block int")
-    tasks = spark.createDataFrame(pd.DataFrame(plan, columns=["task", "block", "side"]), "task int, block int, side int")
-    dealt = cut.join(F.broadcast(names), ["dim", "cell", "part"]).join(F.broadcast(tasks), "block").select("task", "side", "id", "copies", "dim", "unit", "code", "factor")
+    plan = meetings(spark, *(np.array([r[c] for r in sizes]) for c in ("dim", "cell", "far")), pivots, threshold)
+    both = F.when(F.col("x") == F.col("y"), F.array(F.col("x"))).otherwise(F.array("x", "y"))
+    tasks = plan.select("x", "y", F.posexplode(both).alias("side", "block"))
+    dealt = cut.join(names, ["dim", "cell", "part"]).join(tasks, "block").select("x", "y", "side", "id", "copies", "dim", "unit", "code", "factor")
 
     def meet(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -186,7 +189,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         some = (counts > 0) | (low[labels] != ids)
         return pa.table({"id": ids[some], "n": counts[some], "low": low[labels][some]})
 
-    met = saved(dealt.groupBy("task").applyInArrow(meet, "id long, n long, low long"), "vectors-met")
+    met = saved(dealt.groupBy("x", "y").applyInArrow(meet, "id long, n long, low long"), "vectors-met")
     found = components(met.select(F.col("id").alias("a"), F.col("low").alias("b")), "vectors-links")
     linked = met.groupBy("id").agg(F.sum("n").alias("n"))
     known = distinct.select("id", "copies", "v").join(linked, "id", "left").join(found, F.col("id") == F.col("node"), "left")

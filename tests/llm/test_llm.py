@@ -110,6 +110,13 @@ def test_op1(spark, block):
     assert [x.n_links for x in odd.collect()] == [0] * 6
 
 
+def test_op1_repeated_ids(spark):
+    """Rows that share a vec_id are one vertex, whether their vectors are equal or not."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.01]), (5, [0.0, 1.0]), (5, [-1.0, 0.0]), (7, [-1.0, 0.02]), (9, [0.02, 1.0]), (3, [0.5, -0.5])]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert len(got) == len(rows) and {(x.vec_id, x.n_links, x.component_id, x.kept) for x in got} == {(1, 1, 1, True), (2, 1, 1, False), (5, 2, 5, True), (7, 1, 5, False), (9, 1, 5, False), (3, 0, 3, True)}
+
+
 def test_op1_bounds():
     """The interval of a code holds the true inner product; estimates are unbiased."""
     r = np.random.default_rng(0)

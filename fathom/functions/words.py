@@ -49,6 +49,11 @@ UNITS = (
     ("nF", "capacitance", "0.000000001", "0"), ("pF", "capacitance", "0.000000000001", "0"), ("K", "temperature", "1", "0"), ("°C", "temperature", "1", "273.15"),
 )
 
+# Other spellings of units.
+UNIT_ALIASES = {
+    "uA": "µA", "μA": "µA", "us": "µs", "μs": "µs", "uF": "µF", "μF": "µF", "ohm": "Ω", "ohms": "Ω", "° C": "°C", "°\u00a0C": "°C",
+}
+
 
 def sql_list(words) -> str:
     """Words as the inside of an IN list."""

@@ -36,6 +36,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.sha2(part, 256).alias("digest"))
 
 
+#: Letters of a column: digits of a number to base 26 without a zero; 14 of them hold any long.
+LETTERS = "aggregate(sequence(1, 14), named_struct('n', cast({} as bigint), 's', ''), (a, i) -> if(a.n > 0, named_struct('n', (a.n - 1) div 26, 's', concat(chr(65 + (a.n - 1) % 26), a.s)), a), a -> a.s)"
+
 QUERIES = {
     "scope_section": SECTIONS + " select doc_id, section, count(*) as n_blocks, cast(sum(length(line)) as bigint) as n_chars from sections where section is not null group by doc_id, section",
     "section_stitch": SECTIONS + " select doc_id, pos, section, heading, case when heading and line = lag(line) over (partition by doc_id order by pos) then true else false end as repeated_header from sections",
@@ -52,18 +55,17 @@ QUERIES = {
     "page_class": """select doc_id, n_chars, case when n_chars = 0 then 'blank' when letters / cast(n_chars as double) < 0.5 then 'degraded' when n_chars < 80 then 'mixed' else 'native' end as class,
         case when n_chars = 0 then null else round(letters / cast(n_chars as double), 6) end as coverage
         from (select doc_id, length(text) as n_chars, length(text) - length(regexp_replace(text, '[a-zA-Z0-9]', ''<GLOBAL>)) as letters from documents where text is not null) x""",
-    "path_safety": "select page_id, case when position('..' in url) > 0 then 'traversal' when position('%2e' in lower(url)) > 0 then 'encoded' when url not like 'http%://%' then 'no_scheme' else 'ok' end as status from pages",
     "partial_scope": "select d.source, d.lang, count(*) as n, count(l.doc_id) as n_ready, case when count(l.doc_id) = 0 then 'not_indexed' when count(l.doc_id) < count(*) then 'partial' else 'ready' end as state from documents d left join labels l on l.doc_id = d.doc_id group by d.source, d.lang",
     "dense_coverage": "select d.lang, count(*) as n_documents, count(v.vec_id) as n_points, case when count(v.vec_id) = count(*) then 'complete' when count(v.vec_id) = 0 then 'unverifiable' else 'dense_migration_incomplete' end as state from documents d left join embeddings v on v.vec_id = d.doc_id group by d.lang",
     "extraction_progress": "select l_orderkey, count(distinct l_linenumber) as covered, max(l_linenumber) as pages, round(count(distinct l_linenumber) / cast(max(l_linenumber) as double), 6) as progress from lineitem group by l_orderkey",
     "small_range_bundle": (
-        "select l_orderkey, concat_ws('; ', transform(array_sort(collect_list(struct(l_linenumber, l_partkey))), x -> concat(chr(64 + x.l_linenumber), cast(x.l_partkey as string)))) as cells from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_linenumber <= 26) d group by l_orderkey",
-        "select l_orderkey, string_agg(chr(64 + l_linenumber) || cast(l_partkey as varchar), '; ' order by l_linenumber, l_partkey) as cells from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem where l_linenumber <= 26) d group by l_orderkey",
+        f"select l_orderkey, concat_ws('; ', transform(array_sort(collect_list(struct(l_linenumber, l_partkey))), x -> concat({LETTERS.format('x.l_linenumber')}, cast(x.l_partkey as string)))) as cells from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem) d group by l_orderkey",
+        "with recursive letters(n, rest, name) as (select n, n, '' from (select distinct l_linenumber as n from lineitem) t union all select n, (rest - 1) // 26, chr(65 + cast((rest - 1) % 26 as int)) || name from letters where rest > 0) select l_orderkey, string_agg(name || cast(l_partkey as varchar), '; ' order by l_linenumber, l_partkey) as cells from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem) d join letters on n = l_linenumber and rest = 0 group by l_orderkey",
     ),
     "cell_address": (
-        """select p_partkey, address, aggregate(split(regexp_extract(address, '^([A-Z]+)', 1), ''), 0L, (s, c) -> case when c = '' then s else s * 26 + ascii(c) - 64 end) as col, cast(regexp_extract(address, '([0-9]+)$', 1) as bigint) as row_at from (
-            select p_partkey, concat(case when p_partkey > 702 then chr(65 + cast((p_partkey - 703) div 676 % 26 as int)) else '' end, case when p_partkey > 26 then chr(65 + cast((p_partkey - 27) div 26 % 26 as int)) else '' end, chr(65 + cast((p_partkey - 1) % 26 as int)), cast(p_size as string)) as address from part where p_partkey between 1 and 18278) x""",
-        """with recursive letters(p_partkey, rest, name) as (select p_partkey, p_partkey, '' from part where p_partkey between 1 and 18278 union all select p_partkey, (rest - 1) // 26, chr(65 + cast((rest - 1) % 26 as int)) || name from letters where rest > 0)
+        f"""select p_partkey, address, aggregate(split(regexp_extract(address, '^([A-Z]+)', 1), ''), 0L, (s, c) -> case when c = '' then s else s * 26 + ascii(c) - 64 end) as col, cast(regexp_extract(address, '([0-9]+)$', 1) as bigint) as row_at from (
+            select p_partkey, concat({LETTERS.format('p_partkey')}, cast(p_size as string)) as address from part) x""",
+        """with recursive letters(p_partkey, rest, name) as (select p_partkey, p_partkey, '' from part union all select p_partkey, (rest - 1) // 26, chr(65 + cast((rest - 1) % 26 as int)) || name from letters where rest > 0)
             select p.p_partkey, name || cast(p_size as varchar) as address, p.p_partkey as col, cast(p_size as bigint) as row_at from part p join letters l on l.p_partkey = p.p_partkey and l.rest = 0""",
     ),
     "cell_dates": (

@@ -21,10 +21,6 @@ QUERIES = {
         "select event_type, min(case when place >= ceil(0.95 * n) then value end) as p95 from (select event_type, value, row_number() over (partition by event_type order by value) as place, count(*) over (partition by event_type) as n from events) x group by event_type",
     ),
     "latency_warm_cold": "select event_type, case when r = 1 then 'cold' else 'warm' end as phase, count(*) as n, round(<PCT:value|0.5>, 6) as p50, round(<PCT:value|0.95>, 6) as p95 from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as r from events) x group by event_type, case when r = 1 then 'cold' else 'warm' end",
-    "hash_chain_verify": """with stored as (select event_id, user_id, ts, <HASH:cast(event_id as string) || ':' || event_type || ':' || props> as own from events),
-        chain as (select *, lag(own) over (partition by user_id order by event_id) as previous, row_number() over (partition by user_id order by event_id) as seq from stored)
-        select user_id, count(*) as n, cast(sum(case when seq > 1 and (previous is null or previous <> before) then 1 else 0 end) as bigint) as n_broken, max(seq) = count(*) as contiguous
-        from (select *, lag(own) over (partition by user_id order by ts, event_id) as before from chain) x group by user_id""",
     "annotation_freeze": "select case when a.digest = b.digest then 'same' else 'changed' end as state, count(*) as n from (select doc_id, <HASH:cast(quality as string) || '/' || cast(toxic as string)> as digest from labels) a full outer join (select doc_id, <HASH:cast(quality as string) || '/' || cast(case when doc_id % 10 = 3 then 1 - toxic else toxic end as string)> as digest from labels) b on a.doc_id = b.doc_id group by case when a.digest = b.digest then 'same' else 'changed' end",
     "keyset_page": """select e.user_id, e.event_id, row_number() over (partition by e.user_id order by e.ts desc, e.event_id desc) as place from (select x.*, row_number() over (partition by x.user_id order by x.ts desc, x.event_id desc) as r from events x
         join (select user_id, ts as at, event_id as id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) y where r = 10) c on c.user_id = x.user_id and (x.ts < c.at or (x.ts = c.at and x.event_id < c.id))) e where e.r <= 11""",

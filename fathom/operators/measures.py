@@ -21,5 +21,4 @@ QUERIES = {
     "watchdog_gaps": "select user_id, event_id, gap from (select user_id, event_id, <EPOCH> - lag(<EPOCH>) over (partition by user_id order by ts, event_id) as gap from events) x where gap > 3600000000",
     "interval_merge": """select user_id, grp, count(*) as n, min(us) as first_us, max(us) as last_us from (select user_id, us, cast(sum(new) over (partition by user_id order by us, event_id rows unbounded preceding) as bigint) as grp from
         (select user_id, event_id, us, case when us - lag(us) over (partition by user_id order by us, event_id) <= 1800000000 then 0 else 1 end as new from (select user_id, event_id, <EPOCH> as us from events) e) x) y group by user_id, grp""",
-    "ordered_concat": "select o_custkey, <JOINED:o_orderpriority> as priorities from orders group by o_custkey",
 }

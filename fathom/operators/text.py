@@ -10,13 +10,10 @@ QUERIES = {
     "language_detect": f"""select doc_id, lang, n_fr, n_en, case when n_fr >= 2 and n_fr > 2 * n_en then 'fr' when n_en >= 2 and n_en > 2 * n_fr then 'en' end as detected from (
         select doc_id, lang, cast(sum(case when term in ({sql_list(FRENCH)}) then 1 else 0 end) as bigint) as n_fr, cast(sum(case when term in ({sql_list(ENGLISH)}) then 1 else 0 end) as bigint) as n_en
         from (select doc_id, lang, <EX>(<FOLDED:text>) as term from documents) x group by doc_id, lang) y""",
-    "fold_search": "select doc_id, n_chars from documents where lower(text) like '%loser%' or lower(text) like '%benchmark%'",
     "content_hash_dedup": "select <SHA> as digest, min(doc_id) as doc_id, count(*) as copies from documents group by <SHA>",
     "having_duplicates": "select <SHA> as digest, count(*) as copies from documents group by <SHA> having count(*) > 1",
     "blocks_extract": "select doc_id, count(*) as n_blocks, cast(sum(length(line)) as bigint) as n_chars, max(length(line)) as longest from (select doc_id, <EX>(<LINES>) as line from documents) x group by doc_id",
     "html_blocks": "select page_id, <HTMLTITLE> as title, cast(<SIZE>(<HTMLWORDS>) as bigint) as n_words from pages",
     "json_props": "select event_type, count(*) as n, round(avg(cast(<K> as double)), 6) as mean_k, max(cast(<K> as bigint)) as max_k from events group by event_type",
     "header_repeat": "select line, count(*) as n, count(distinct doc_id) as n_documents from (select doc_id, <EX>(<LINES>) as line from documents) x where length(line) > 0 group by line having count(distinct doc_id) >= 3",
-    "followup_resolve": "select conv_id, turn, role, lag(turn) over (partition by conv_id order by turn, role, text) as previous, length(text) as n_chars from conversations",
-    "history_subset": "select conv_id, turn, role from (select *, row_number() over (partition by conv_id order by turn desc, role, text) as r from conversations) x where r <= 4",
 }

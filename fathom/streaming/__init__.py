@@ -1,8 +1,9 @@
-"""Event counts and gaps as streams: twins of batch aggregations, run to completion with availableNow."""
+"""Event counts and gaps as streams: twins of batch aggregations, run to completion with availableNow.
 
-from __future__ import annotations
+A stream keeps its offsets and its state in its own folder under checkpoint: a later call takes in new files only.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ def event_counts(spark: SparkSession, folder: str, checkpoint: str, out: str, wi
     events = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     flat = counts.select(F.col("window.start").alias("start"), "event_type", "n", "total")
-    query = flat.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{uuid.uuid4().hex}").option("path", out).outputMode("append").trigger(availableNow=True).start()
+    query = flat.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/event-counts").option("path", out).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
 
@@ -25,6 +26,6 @@ def sessions(spark: SparkSession, folder: str, checkpoint: str, out: str, gap: s
     events = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     runs = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     flat = runs.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
-    query = flat.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{uuid.uuid4().hex}").option("path", out).outputMode("append").trigger(availableNow=True).start()
+    query = flat.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/sessions").option("path", out).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)

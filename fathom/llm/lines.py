@@ -35,6 +35,7 @@ from fathom.llm.common import GROUP, components, linked, saved, sifted
 SIMILAR = 5  # words for each edit of a short line
 TWO = 2 * SIMILAR
 LONG = 144
+TABLE = 512
 ROOT = 16
 MOST = 30  # the band of 61 diagonals fits one long
 BITS = ("bits0", "bits1")
@@ -47,40 +48,32 @@ def edits_of(n: str) -> str:
     return f"case when ({n}) < {SIMILAR} then 0 when ({n}) < {TWO} then 1 when ({n}) < {LONG} then 2 else {grown} end"
 
 
-def key_of(words: str, shorter: str, edits: str, segment: str, shift: str) -> str:
-    """SQL for the key of a run of words (an array): the words that, shift words further left, would be that segment of a line
-    of shorter words. Segments have shorter div q words, the last shorter mod q one more, q = edits + 1."""
-    q = f"({edits} + 1)"
-    longer = f"{q} - ({shorter}) % {q}"  # segments from here on have one word more
-    start = f"{segment} * (({shorter}) div {q}) + greatest(0, {segment} - ({longer})) + {shift} + 1"
-    size = f"({shorter}) div {q} + if({segment} >= {longer}, 1, 0)"
-    return f"xxhash64({shorter}, {segment}, slice({words}, cast({start} as int), cast({size} as int)))"
+def places(n: str) -> str:
+    """SQL for the keys of a line of n (SQL) words: array<struct<m,i,at,size>>, first of its own segments, edits_of(n) + 1, then of
+    the runs that it only probes. The size words from at on are segment i of a line of m words, d fewer than n.
 
-
-def shifts(edits: int, less: int, segment: int) -> range:
-    """How many words further right segment may lie in a line that is less words longer: neither what comes before it nor what
-    comes after may need too many edits."""
-    return range(max(-segment, less - (edits - segment)), min(segment, less + (edits - segment)) + 1)
-
-
-def keys_of(words: str = "words") -> Column:
-    """Of a line of words (SQL): the keys of its segments, edits_of(n) + 1, then those that it only probes.
-
-    Lines whose edits and whose shorter partners' edits are two have their keys written out; the others get theirs by loops.
+    Of a line's m words, segments have m div q, the last m mod q of them one more, q = edits + 1. Segment i may lie s words further
+    right in a longer line, if neither what comes before it nor what comes after needs too many edits.
     """
-    n = f"size({words})"
-    two = [(0, i, 0) for i in range(3)] + [(d, i, s) for d in range(3) for i in range(3) for s in shifts(2, d, i) if d or s]
-    plain = "array(" + ", ".join(key_of(words, f"{n} - {d}", "2", str(i), f"({s})") for d, i, s in two) + ")"
-
-    def every(shorter: str, moves: str) -> str:
-        key = key_of("l.w", "l.n - x.d", "x.e", "i", "s")
-        return f"flatten(transform({shorter}, x -> flatten(transform(sequence(0, x.e), i -> transform({moves}, s -> {key})))))"
-
+    more = "(x.e + 1 - (l.n - x.d) % (x.e + 1))"  # segments from here on have one word more
+    at = f"cast(i * ((l.n - x.d) div (x.e + 1)) + greatest(0, i - {more}) + s + 1 as int)"
+    size = f"cast((l.n - x.d) div (x.e + 1) + if(i >= {more}, 1, 0) as int)"
+    one = f"named_struct('m', l.n - x.d, 'i', i, 'at', {at}, 'size', {size})"
+    every = lambda shorter, moves: f"flatten(transform({shorter}, x -> flatten(transform(sequence(0, x.e), i -> transform({moves}, s -> {one})))))"
     less = f"filter(transform(sequence(0, {edits_of('l.n')}), d -> struct(d, {edits_of('l.n - d')} as e)), x -> x.e >= x.d and x.e > 0)"
     low, high = "greatest(-i, x.d - (x.e - i))", "least(i, x.d + (x.e - i))"
     both = f"concat({every(f'filter({less}, x -> x.d = 0)', 'array(0)')}, {every(less, f'filter(sequence({low}, {high}), s -> x.d > 0 or s <> 0)')})"
-    other = f"element_at(transform(array(named_struct('w', {words}, 'n', {n})), l -> {both}), 1)"
-    return F.expr(f"array_distinct(case when {n} between {TWO + 2} and {LONG - 1} then {plain} else {other} end)")
+    return f"element_at(transform(array(named_struct('n', {n})), l -> {both}), 1)"
+
+
+def with_keys(lines: DataFrame) -> DataFrame:
+    """lines (words, ...) with e, the edits that they allow, and keys: of their own segments first. The places of the keys of lines of
+    fewer than TABLE words come from a table of as many rows."""
+    known = lines.sparkSession.range(SIMILAR, TABLE).selectExpr("cast(id as int) as _n", f"{places('cast(id as int)')} as _places")
+    both = lines.join(F.broadcast(known), F.size("words") == F.col("_n"), "left")
+    made = both.withColumn("_places", F.coalesce("_places", F.expr(places("size(words)"))))
+    keys = F.expr("array_distinct(transform(_places, x -> xxhash64(x.m, x.i, slice(words, x.at, x.size))))")
+    return made.withColumns({"e": F.expr(edits_of("size(words)")), "keys": keys}).drop("_n", "_places")
 
 
 def word_bits(words: str = "words") -> list[Column]:
@@ -121,15 +114,15 @@ def named(docs: DataFrame) -> DataFrame:
     return lines(docs).withColumns({"ha": F.xxhash64("line"), "hb": F.xxhash64(F.lit(1), F.col("line"))})
 
 
-def split_up(docs: DataFrame) -> DataFrame:
-    """named of the rows with a doc_id, with words, for lines of SIMILAR words or more."""
+def long_enough(docs: DataFrame) -> DataFrame:
+    """named of the rows with a doc_id, for lines of SIMILAR words or more."""
     count = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return named(docs.where("doc_id is not null")).where(count >= SIMILAR).withColumn("words", F.split("line", " ", -1))
+    return named(docs.where("doc_id is not null")).where(count >= SIMILAR)
 
 
 def sharing(docs: DataFrame) -> DataFrame:
     """(key, ha, own, n) of the lines (by ha) that have a key with others: own if one of its segments has it, n lines in all."""
-    marked = split_up(docs).select("ha", "hb", F.expr(edits_of("size(words)")).alias("e"), keys_of().alias("keys"))
+    marked = with_keys(long_enough(docs).select("ha", "hb", F.split("line", " ", -1).alias("words"))).select("ha", "hb", "e", "keys")
     # all sides of the joins read this aggregation, whose exchange runs once
     distinct = marked.groupBy("ha", "hb").agg(F.first("e").alias("e"), F.first("keys").alias("keys"))
     keyed = distinct.select("ha", "e", F.posexplode("keys").alias("at", "key")).select("key", "ha", (F.col("at") <= F.col("e")).alias("own"))
@@ -140,15 +133,15 @@ def sharing(docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """Links (a, b) between places struct<doc_id,line_no,row> that connect all distinct lines within the threshold of each other."""
     rows = sharing(docs)
-    marks = sifted(split_up(docs), "ha", rows.select("ha")).groupBy("ha", "hb")
+    marks = sifted(long_enough(docs), "ha", rows.select("ha")).withColumn("words", F.split("line", " ", -1)).groupBy("ha", "hb")
     marks = marks.agg(F.min(F.struct(*PLACE)).alias("id"), F.first(F.size("words")).alias("words"), *(F.first(c).alias(x) for x, c in zip(BITS, word_bits())), F.count("*").alias("weight"))
     rows = rows.join(marks.drop("hb"), "ha").withColumnRenamed("ha", "ref")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = saved(pairs.distinct(), f"{name}-asked")
-        asked = pairs.select(F.col("a").alias("ha")).union(pairs.select("b")).distinct()
-        texts = sifted(split_up(docs), "ha", asked).groupBy("ha", "hb").agg(F.min(F.struct(*PLACE)).alias("id"), F.first("line").alias("line"))
-        texts = saved(texts.drop("hb").join(asked, "ha", "left_semi"), f"{name}-texts")
+        asked = pairs.select(F.col("a").alias("ha")).union(pairs.select("b"))
+        texts = sifted(long_enough(docs), "ha", asked).groupBy("ha", "hb").agg(F.min(F.struct(*PLACE)).alias("id"), F.first("line").alias("line"))
+        texts = saved(texts.drop("hb"), f"{name}-texts")
         left, right = (texts.withColumnsRenamed({"ha": x, "id": f"id_{x}", "line": f"line_{x}"}) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").select("id_a", "id_b", F.split("line_a", " ", -1).alias("x"), F.split("line_b", " ", -1).alias("y"))
         near = within("x", "y", edits_of("least(size(x), size(y))"))

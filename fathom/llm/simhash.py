@@ -156,9 +156,9 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, group: int = GROUP
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = saved(pairs.distinct(), f"{name}-asked")
-        asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
         texts = sifted(rowed(docs), "row", asked).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
-        texts = saved(texts.join(asked, "row", "left_semi").select("row", F.struct("doc_id", "row").alias("id"), "text"), f"{name}-texts")
+        texts = saved(texts.select("row", F.struct("doc_id", "row").alias("id"), "text"), f"{name}-texts")
         left, right = (texts.withColumnsRenamed({"row": x, "id": f"id_{x}", "text": f"text_{x}"}) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b")
         return saved(both.mapInArrow(check, "a struct<doc_id:long,row:long>, b struct<doc_id:long,row:long>"), name)

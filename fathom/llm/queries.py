@@ -1,4 +1,4 @@
-"""The queries opN_<name> over whole tables, and the SQL that gives the same rows where SQL can."""
+"""The queries opN_<name> over whole tables; ``ORACLES`` has the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.llm import bpe, lines, media, mixing, secrets, simhash, substrings, suffixes, toxicity, vectors
 from fathom.llm.common import documents
+from fathom.llm.oracles import ORACLES  # noqa: F401
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -65,5 +66,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_media_columns, op4_secrets, op5_substring_dedup, op6_bpe, op7_mixing, op8_line_dedup, op9_suffix_dedup, op10_simhash)}
-
-ORACLES: dict[str, str] = {}

@@ -64,6 +64,13 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or that name with underscores behind it, so that df has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def bucket_bits(docs: DataFrame) -> int:
     """Bits of a number of buckets, by the size of docs' texts, so that a bucket holds what some BUCKET_BYTES of text give."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

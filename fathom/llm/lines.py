@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.common import GROUP, components, linked, saved, sifted
+from fathom.llm.common import GROUP, components, linked, saved, sifted, unused
 
 SIMILAR = 5  # words for each edit of a short line
 TWO = 2 * SIMILAR
@@ -172,10 +172,9 @@ def dedup(docs: DataFrame, group: int = GROUP) -> DataFrame:
     Texts that lose every line become empty; null texts and rows with a null doc_id stay as they are. Of rows that share a doc_id,
     each loses only lines of its own text; rows that share the text too are treated alike.
     """
-    drop = classes(docs, group).where("not kept").groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("_drop"))
-    names = docs.columns
-    drop = drop.withColumnsRenamed({"doc_id": "_doc", "row": "_row"})
-    both = docs.join(drop, (docs.doc_id.cast("long") == F.col("_doc")) & (F.xxhash64(docs.text) == F.col("_row")), "left")
-    stay = F.filter(F.split(docs.text, "\n", -1), lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    text = F.when(F.col("_drop").isNull(), docs.text).otherwise(F.array_join(stay, "\n"))
-    return both.select(*(text.alias(c) if c == "text" else docs[c] for c in names))
+    doc, row, gone = (unused(docs, n) for n in ("_doc", "_row", "_gone"))
+    drop = classes(docs, group).where("not kept").groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.collect_set("line_no").alias(gone))
+    both = docs.join(drop, (docs.doc_id.cast("long") == F.col(doc)) & (F.xxhash64(docs.text) == F.col(row)), "left")
+    stay = F.filter(F.split(docs.text, "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
+    text = F.when(F.col(gone).isNull(), docs.text).otherwise(F.array_join(stay, "\n"))
+    return both.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))

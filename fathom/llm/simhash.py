@@ -168,8 +168,7 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, group: int = GROUP
 
 def groups(docs: DataFrame) -> DataFrame:
     """(node, component) struct<doc_id,row> of the rows of docs that fingerprints within 3 bits or near copies connect with others."""
-    found = near_duplicates(docs).where("doc_id is not null")
-    found = found.select(F.struct("doc_id", "row").alias("b"), "component_id").distinct()
-    least = found.groupBy("component_id").agg(F.min("b").alias("a"))
-    found = found.join(least, "component_id").where("a <> b").select("a", "b")
-    return components(found.union(near_copies(docs)), "simhash-groups")
+    marked = saved(fingerprints(docs.where("doc_id is not null")), "simhash")
+    reps = saved(marked.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("id")), "simhash-reps")
+    same = marked.join(reps.select("fp", F.col("id").alias("a")), "fp").select("a", F.struct("doc_id", "row").alias("b")).where("a <> b")
+    return components(links(reps).union(same).union(near_copies(docs)), "simhash-groups")

@@ -5,8 +5,9 @@
   ``CHANCE``) and is never below ``LEAST``, so that every term keeps a weight. Terms that no example has are in no vector.
 * Examples are at most ``max_examples`` labelled documents, chosen by a hash of doc_id; every one of them is indexed with all
   its terms. Their distinct terms reach the driver, and the index, of the same bound, is broadcast.
-* The index has postings by term, ordered by example, and each term's largest weight in each block of examples; examples of the
-  same strongest term lie together. Blocks whose bound falls short of the k-th best cosine are left out; the k nearest are exact.
+* The index has postings of rare terms, a dense table of common ones, and the largest weights in each block of examples; examples
+  of the same strongest term lie together. Texts are asked for TOGETHER at a time; blocks whose bounds fall short of the k-th
+  best cosine of all of them are left out, and the k nearest are exact.
 * The vote is the mean label of the k nearest, weighted by a power of the cosine, with a prior of the rate of label 1; it is mapped
   to a calibrated score through the votes on every example, each left out of its own vote.
 
@@ -38,6 +39,8 @@ SHARP = 4.0
 PRIOR = 0.5
 BLOCK = 32
 FIRST = 2
+COMMON = 16
+TOGETHER = 64
 LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -61,73 +64,83 @@ def slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors over positions of terms; blocks of BLOCK consecutive examples."""
+    """Block-max index of unit vectors over positions of terms; blocks of BLOCK consecutive examples.
+
+    Terms of few examples have postings. Terms of one example in COMMON or more have a column each in a dense table, and of that their
+    largest weight in each block: the sum of those, and the best of a block's examples by their rare terms, bounds its cosines.
+    """
 
     labels: np.ndarray
     ids: np.ndarray
     at: np.ndarray  # of each term: its first posting; one more at the end
     docs: np.ndarray
     weights: np.ndarray
-    block_at: np.ndarray  # of each term: its first block
-    blocks: np.ndarray
-    tops: np.ndarray  # largest weight of the term in the block
+    column: np.ndarray  # of each term: its column, or -1
+    dense: np.ndarray  # examples, filled up to whole blocks, by columns
+    tops: np.ndarray  # blocks by columns
     own: tuple[np.ndarray, np.ndarray, np.ndarray]  # of each example: its first term; terms; weights
 
     @classmethod
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int], size: int) -> Index:
-        """vectors: sorted term positions and weights of each example."""
+        """vectors: sorted term positions and weights of each example; size: the number of terms."""
         n = np.array([len(v[0]) for v in vectors], np.int64)
         term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)]).astype(np.int32)
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         doc = np.repeat(np.arange(len(vectors), dtype=np.int32), n)
-        order = np.argsort(term, kind="stable")
-        docs, weights, sorted_terms = doc[order], weight[order], term[order]
-        new = np.flatnonzero(np.diff(sorted_terms.astype(np.int64) * (1 << 31) + docs // BLOCK, prepend=-1)) if len(docs) else np.zeros(0, np.int64)
-        tops = np.maximum.reduceat(weights, new) if len(new) else np.zeros(0)
-        every = np.arange(size + 1)
+        often = np.bincount(term, minlength=size) * COMMON >= max(len(vectors), COMMON)
+        column = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        blocks = -(-len(vectors) // BLOCK)
+        dense = np.zeros((blocks * BLOCK, int(often.sum())))
+        many = often[term]
+        dense[doc[many], column[term[many]]] = weight[many]
+        tops = dense.reshape(blocks, BLOCK, -1).max(axis=1) if blocks else np.zeros((0, dense.shape[1]))
+        rare_term, rare_doc, rare_weight = term[~many], doc[~many], weight[~many]
+        order = np.argsort(rare_term, kind="stable")
         first = np.concatenate([[0], np.cumsum(n)])
-        return cls(np.array(labels, np.int64), np.array(ids, np.int64), np.searchsorted(sorted_terms, every), docs, weights, np.searchsorted(sorted_terms[new], every), (docs[new] // BLOCK).astype(np.int32), tops, (first, term, weight))
-
-    def exact(self, query: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of blocks part and their cosines with query, a weight for every term."""
-        first, term, weight = self.own
-        n = len(self.labels)
-        found = np.concatenate([np.arange(b * BLOCK, min(n, b * BLOCK + BLOCK)) for b in part])
-        sizes = first[found + 1] - first[found]
-        take = slices(first[found], sizes)
-        return found, np.bincount(np.repeat(np.arange(len(found)), sizes), query[term[take]] * weight[take], len(found))
+        return cls(np.array(labels, np.int64), np.array(ids, np.int64), np.searchsorted(rare_term[order], np.arange(size + 1)), rare_doc[order], rare_weight[order], column, dense, tops, (first, term, weight))
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (positions, weights) the k examples of greatest positive cosine (ties: the smaller position) and their
+        cosines. skips: of each query an example that is left out, or -1."""
+        n, m, blocks = len(self.labels), len(queries), len(self.tops)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        rare, common = np.zeros((m, blocks * BLOCK)), np.zeros((m, self.dense.shape[1]))
+        for q, (positions, weights) in enumerate(queries):
+            columns = self.column[positions]
+            common[q, columns[columns >= 0]] = weights[columns >= 0]
+            positions, weights = positions[columns < 0], weights[columns < 0]
+            size = self.at[positions + 1] - self.at[positions]
+            take = slices(self.at[positions], size)
+            rare[q, :] = np.bincount(self.docs[take], self.weights[take] * np.repeat(weights, size), blocks * BLOCK)
+        bound = rare.reshape(m, blocks, BLOCK).max(axis=2) + common @ self.tops.T
+        need = np.zeros((m, blocks), bool)
+        for q in range(m):
+            best = np.argsort(-bound[q], kind="stable")[:FIRST]
+            rows = (best[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            cos = rare[q, rows] + self.dense[rows] @ common[q]
+            if skips:
+                cos = cos[rows != skips[q]]
+            least = np.partition(cos, -k)[-k] if len(cos) >= k else 0.0
+            need[q] = bound[q] >= max(least - 1e-9, 1e-12)
+        rows = (np.flatnonzero(need.any(axis=0))[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        rows = rows[rows < n]
+        every = np.round(rare[:, rows] + common @ self.dense[rows].T, 12)
+        out = []
+        for q in range(m):
+            cos = every[q]
+            keep = cos > 0
+            if skips and skips[q] >= 0:
+                keep &= rows != skips[q]
+            if keep.sum() > 4 * k:
+                keep &= cos >= np.partition(cos[keep], -k)[-k]
+            found, cos = rows[keep], cos[keep]
+            top = np.lexsort((found, -cos))[:k]
+            out.append((found[top], cos[top]))
+        return out
 
     def nearest(self, positions: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest positive cosine (ties: the smaller position) and their cosines. skip: one left out."""
-        n = len(self.labels)
-        lo, size = self.block_at[positions], self.block_at[positions + 1] - self.block_at[positions]
-        if not n or not size.sum():
-            return np.zeros(0, np.int64), np.zeros(0)
-        take = slices(lo, size)
-        bound = np.bincount(self.blocks[take], self.tops[take] * np.repeat(weights, size), -(-n // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        query = np.zeros(len(self.at) - 1)
-        query[positions] = weights
-        found, cos = self.exact(query, order[:FIRST])
-        keep = found != skip
-        least = np.sort(cos[keep])[-k] if keep.sum() >= k else 0.0
-        rest = order[FIRST:]
-        rest = rest[bound[rest] >= max(least - 1e-9, 1e-15)]
-        if len(rest) > len(order) // 4:  # one pass over the postings costs less than so many blocks
-            lo, size = self.at[positions], self.at[positions + 1] - self.at[positions]
-            take = slices(lo, size)
-            found, cos = np.arange(n), np.bincount(self.docs[take], self.weights[take] * np.repeat(weights, size), n)
-        elif len(rest):
-            more = self.exact(query, rest)
-            found, cos = np.concatenate([found, more[0]]), np.concatenate([cos, more[1]])
-        cos = np.round(cos, 12)
-        keep = (found != skip) & (cos > 0)
-        found, cos = found[keep], cos[keep]
-        if len(found) > 4 * k:
-            keep = cos >= np.partition(cos, -k)[-k]
-            found, cos = found[keep], cos[keep]
-        top = np.lexsort((found, -cos))[:k]
-        return found[top], cos[top]
+        return self.nearest_of([(positions, weights)], k, [skip])[0]
 
 
 @dataclass
@@ -154,15 +167,22 @@ class Model:
         both = np.array(found, np.int64).reshape(-1, 2)
         return both[:, 0], both[:, 1]
 
-    def vote(self, vector: tuple[np.ndarray, np.ndarray], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cos = self.index.nearest(*vector, NEAREST, skip)
-        w = np.clip(cos, 0, 1) ** SHARP
-        return float((w @ self.index.labels[near] + PRIOR * self.base) / (w.sum() + PRIOR)), near, cos
+    def votes(self, vectors: list[tuple[np.ndarray, np.ndarray]], skips: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        out = []
+        for near, cos in self.index.nearest_of(vectors, NEAREST, skips):
+            w = np.clip(cos, 0, 1) ** SHARP
+            out.append((float((w @ self.index.labels[near] + PRIOR * self.base) / (w.sum() + PRIOR)), near, cos))
+        return out
 
-    def score(self, text: str | None, place: dict[str, int]) -> tuple[float, list[int], list[float]]:
-        """Calibrated score; the nearest examples' doc_ids and cosines as evidence."""
-        vote, near, cos = self.vote(self.vector(*self.counted(text, place)))
-        return min(1.0, max(0.0, float(np.interp(vote, *self.steps)))), self.index.ids[near].tolist(), cos.tolist()
+    def scores(self, texts: list[str | None], place: dict[str, int]) -> list[tuple[float, list[int], list[float]]]:
+        """Calibrated scores; the nearest examples' doc_ids and cosines as evidence."""
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            vectors = [self.vector(*self.counted(t, place)) for t in texts[at : at + TOGETHER]]
+            for vote, near, cos in self.votes(vectors):
+                score = min(1.0, max(0.0, round(float(np.interp(vote, *self.steps)), 9)))
+                out.append((score, self.index.ids[near].tolist(), cos.tolist()))
+        return out
 
 
 def calibration(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +209,8 @@ def is_held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
-def examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> list[tuple[int, int, dict[str, int]]]:
-    """(doc_id, toxic, counts of terms) of at most max_examples labelled documents."""
+def examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> tuple[list[str], list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """The words of at most max_examples labelled documents, and of each document (doc_id, toxic, places of its words, counts)."""
     given = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~is_held_out())
     given = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     given = saved(given.orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id").limit(max_examples), "toxicity-examples")
@@ -200,10 +220,15 @@ def examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> list[tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [terms(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(g) for g in got], pa.string()), pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))], ["doc_id", "toxic", "words", "counts"])
+            counts = [np.array(list(g.values()), np.int32).tobytes() for g in got]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(g) for g in got], pa.string()), pa.array(counts, pa.binary())], ["doc_id", "toxic", "words", "counts"])
 
-    rows = saved(teach.mapInArrow(run, "doc_id long, toxic int, words string, counts array<int>"), "toxicity-terms").orderBy("doc_id").toLocalIterator()
-    return [(r.doc_id, r.toxic, dict(zip(r.words.split(" ") if r.words else [], r.counts))) for r in rows]
+    place: dict[str, int] = {}
+    out = []
+    for r in saved(teach.mapInArrow(run, "doc_id long, toxic int, words string, counts binary"), "toxicity-terms").orderBy("doc_id").toLocalIterator():
+        at = np.array([place.setdefault(w, len(place)) for w in r.words.split(" ") if w], np.int32)
+        out.append((r.doc_id, r.toxic, at, np.frombuffer(bytes(r.counts), np.int32)))
+    return list(place), out
 
 
 def frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
@@ -224,12 +249,10 @@ def frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
 
     counts = docs.select("text").mapInArrow(run, "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
     df, total = np.zeros(len(words), np.int64), 0
-    for r in counts.collect():  # a row a word of the examples
-        if r.p < 0:
-            total = r.n
-        else:
-            df[r.p] = r.n
-    return df, total
+    got = counts.toArrow()  # a row a word of the examples
+    p, n = got.column("p").to_numpy(), got.column("n").to_numpy()
+    df[p[p >= 0]] = n[p >= 0]
+    return df, int(n[p < 0].sum()) or total
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
@@ -240,24 +263,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     """
     spark = docs.sparkSession
     tune(spark)
-    rows = examples(docs, labels, max_examples)
-    words = sorted({w for r in rows for w in r[2]})
-    place = {w: n for n, w in enumerate(words)}
+    words, rows = examples(docs, labels, max_examples)
     df, total = frequencies(docs, words) if rows else (np.zeros(0, np.int64), 0)
     y = np.array([r[1] for r in rows], np.int64)
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     held = np.zeros((2, len(words)), np.int64)
-    for _, toxic, counts in rows:
-        held[toxic, [place[w] for w in counts]] += 1
+    for _, toxic, at, _ in rows:
+        held[toxic, at] += 1
     weight = np.log((1 + total) / (1 + df)) * lean(held[1], held[0], n1, n0)
     none = np.array([0.0, 1.0])
     model = Model(words, Index.build([], [], [], 0), weight, n1 / (len(y) + 1), (none, none))
-    vectors = [model.vector(np.array([place[w] for w in c], np.int64), np.array(list(c.values()), np.int64)) for _, _, c in rows]
+    vectors = [model.vector(at.astype(np.int64), counts) for _, _, at, counts in rows]
     strongest = [int(p[np.argmax(w)]) if len(p) else -1 for p, w in vectors]
     order = sorted(range(len(rows)), key=lambda n: (strongest[n], rows[n][0]))
     model.index = Index.build([vectors[n] for n in order], [rows[n][1] for n in order], [rows[n][0] for n in order], len(words))
+    del vectors, held
     if rows:
         model.steps = calibration(*left_out(spark, model))
+    give_back()
     return model
 
 
@@ -283,8 +306,10 @@ def left_out(spark, model: Model) -> tuple[np.ndarray, np.ndarray]:
         first, term, weight = own.index.own
         for b in batches:
             ids = b.column(0).to_pylist()
-            votes = [own.vote((term[first[i] : first[i + 1]].astype(np.int64), weight[first[i] : first[i + 1]]), i)[0] for i in ids]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(votes, pa.float64())], ["id", "vote"])
+            for at in range(0, len(ids), TOGETHER):
+                part = ids[at : at + TOGETHER]
+                votes = [v[0] for v in own.votes([(term[first[i] : first[i + 1]].astype(np.int64), weight[first[i] : first[i + 1]]) for i in part], part)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(votes, pa.float64())], ["id", "vote"])
         del own
         give_back()
 
@@ -302,7 +327,7 @@ def clean(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
         own = unpacked(shared.value)
         place = own.places()
         for b in batches:
-            yield b.filter(pa.array([own.score(t.as_py(), place)[0] < 0.5 for t in b.column("text")], pa.bool_()))
+            yield b.filter(pa.array([s[0] < 0.5 for s in own.scores(b.column("text").to_pylist(), place)], pa.bool_()))
         del own, place
         give_back()
 
@@ -317,7 +342,7 @@ def scores(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
         own = unpacked(shared.value)
         place = own.places()
         for b in batches:
-            got = [own.score(t.as_py(), place) for t in b.column(1)]
+            got = own.scores(b.column(1).to_pylist(), place)
             s = [g[0] for g in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))], ["doc_id", "score", "predicted", "evidence", "closeness"])
         del own, place

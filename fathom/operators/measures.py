@@ -16,7 +16,6 @@ QUERIES = {
     "paired_delta": "select a.user_id, round(avg(a.value) - avg(b.value), 6) as delta from (select user_id, avg(value) as value from events where event_type = 'click' group by user_id) a join (select user_id, avg(value) as value from events where event_type = 'view' group by user_id) b on a.user_id = b.user_id group by a.user_id",
     "split_hygiene": "select a.source as left_source, b.source as right_source, count(*) as shared from (select distinct source, <SHA> as digest from documents) a join (select distinct source, <SHA> as digest from documents) b on a.digest = b.digest and a.source < b.source group by a.source, b.source",
     "event_resume": "select e.event_id, e.user_id, e.event_type from events e join (select user_id, min(event_id) + 10 as cursor_id from events group by user_id) c on e.user_id = c.user_id and e.event_id > c.cursor_id",
-    "event_retention": "select user_id, count(*) as kept from (select user_id, event_type, row_number() over (partition by user_id, event_type order by event_id desc) as r from events) x where event_type <> 'view' or r <= 5 group by user_id",
     "terminal_state": "select o_custkey, cast(sum(case when o_orderstatus = 'F' then 1 else 0 end) as bigint) as n_final, min(case when o_orderstatus = 'F' then o_orderdate end) as first_final from orders group by o_custkey",
     "watchdog_gaps": "select user_id, event_id, gap from (select user_id, event_id, <EPOCH> - lag(<EPOCH>) over (partition by user_id order by ts, event_id) as gap from events) x where gap > 3600000000",
     "interval_merge": """select user_id, grp, count(*) as n, min(us) as first_us, max(us) as last_us from (select user_id, us, cast(sum(new) over (partition by user_id order by us, event_id rows unbounded preceding) as bigint) as grp from

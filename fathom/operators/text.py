@@ -5,8 +5,6 @@ from fathom.functions.words import ENGLISH, FRENCH, STOPWORDS, sql_list
 QUERIES = {
     "term_frequencies": "select term, count(*) as tf, count(distinct doc_id) as df from (select doc_id, <EX>(<WORDS:text>) as term from documents) x group by term",
     "term_keys": f"select term_key, count(*) as df from (select distinct doc_id, substr(term, 1, 5) as term_key from (select doc_id, <EX>(<FOLDED:text>) as term from documents) x where length(term) >= 3 and term not in ({sql_list(STOPWORDS)})) y group by term_key",
-    "lexical_overlap": """select b.item_id, d.doc_id, count(*) as shared from (select distinct item_id, <EX>(<WORDS:text>) as term from benchmark) b
-        join (select distinct doc_id, <EX>(<WORDS:text>) as term from documents) d on b.term = d.term group by b.item_id, d.doc_id having count(*) >= 10""",
     "language_detect": f"""select doc_id, lang, n_fr, n_en, case when n_fr >= 2 and n_fr > 2 * n_en then 'fr' when n_en >= 2 and n_en > 2 * n_fr then 'en' end as detected from (
         select doc_id, lang, cast(sum(case when term in ({sql_list(FRENCH)}) then 1 else 0 end) as bigint) as n_fr, cast(sum(case when term in ({sql_list(ENGLISH)}) then 1 else 0 end) as bigint) as n_en
         from (select doc_id, lang, <EX>(<FOLDED:text>) as term from documents) x group by doc_id, lang) y""",

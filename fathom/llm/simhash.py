@@ -16,6 +16,7 @@ texts. Very long texts count whole. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -32,6 +33,7 @@ SEED = 42
 SEGMENT = 32
 BALL = 1
 BLOCK = 1 << 16
+ODD = 16
 
 
 def shingles(text: str | None, shingle: int) -> list[bytes]:
@@ -95,14 +97,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = 3) ->
 
 
 def sets(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """(doc_id, row, size, ha, hb, keys) of the texts that have words: the number of their distinct shingles, 128 bits that stand for
-    the set, and the smallest hashes of shingles that two sets of Jaccard similarity 0.8 or more can't both lack."""
+    """(doc_id, row, size, ha, hb, keys, odd) of the texts that have words: the number of their distinct shingles, 128 bits that stand
+    for the set, the smallest hashes of shingles that two sets of Jaccard similarity 0.8 or more can't both lack, and as bits of ODD
+    longs the classes of hashes of which the set has an odd number."""
     tune(docs.sparkSession)
-    schema = "doc_id long, row long, size int, ha long, hb long, keys array<long>"
+    schema = "doc_id long, row long, size int, ha long, hb long, keys array<long>, odd array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows, sizes, named, keys = [], [], [], ([], []), []
+            ids, rows, sizes, named, keys, odd = [], [], [], ([], []), [], []
             for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 grams = set(shingles(t.as_py(), shingle))
                 if not grams:
@@ -114,8 +117,10 @@ def sets(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
                 for k in range(2):
                     named[k].append(xxhash.xxh64_intdigest(h.tobytes(), k))
                 keys.append(h[: len(h) - (4 * len(h) + 4) // 5 + 1])
+                parity = np.bincount(h & (64 * ODD - 1), minlength=64 * ODD) & 1
+                odd.append(np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8"))
             both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in named]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), *both, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "size", "ha", "hb", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), *both, pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "row", "size", "ha", "hb", "keys", "odd"])
         give_back()
 
     return rowed(docs).mapInArrow(run, schema)
@@ -131,20 +136,24 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, group: int = GROUP
 
     Of a pair, the smaller set of n shingles shares one of its n - ceil(8 n / 9) + 1 smallest hashes with the m - ceil(0.8 m) + 1
     smallest of the other. Equal sets are indexed once; each of their texts links to the first. Hashes that only one set has are left
-    out before any join; candidates are verified by the sets themselves. Wordless texts have no link here.
+    out before any join. Sets that differ in more than a ninth of their sizes' sum are no pair; each class of which one of them alone
+    has an odd number is such a difference, which the join's condition counts. The sets themselves decide. Wordless texts have no
+    link here.
     """
     held = saved(sets(docs, shingle), "copy-sets")
     id_ = F.struct("doc_id", "row").alias("id")
-    reps = held.groupBy("ha", "hb").agg(F.min(id_).alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.count("*").alias("weight"))
+    reps = held.groupBy("ha", "hb").agg(F.min(id_).alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("odd").alias("odd"), F.count("*").alias("weight"))
     same = held.select("ha", "hb", id_).join(reps.select("ha", "hb", F.col("id").alias("a")), ["ha", "hb"]).where("a <> id").select("a", F.col("id").alias("b"))
 
-    keyed = reps.select(F.col("id.row").alias("ref"), "id", "weight", "size", F.posexplode("keys").alias("at", "key"))
+    named = reps.select(F.col("id.row").alias("ref"), "id", "weight", *(F.get("odd", F.lit(i)).alias(f"odd{i}") for i in range(ODD)))
+    keyed = reps.select(F.col("id.row").alias("ref"), "size", F.posexplode("keys").alias("at", "key"))
     keyed = keyed.withColumn("own", F.expr("at < size - (8 * size + 8) div 9 + 1"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some").select("key", "n")
-    rows = sifted(keyed, "key", shared).join(shared, "key")
+    rows = sifted(keyed, "key", shared).join(shared, "key").join(named, "ref")
     least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     room = F.least("at_a", "at_b") + F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))  # most that the sets can share
-    alike = (5 * least >= 4 * most) & (9 * room >= 4 * (least + most))
+    apart = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"odd{i}_a").bitwiseXOR(F.col(f"odd{i}_b"))) for i in range(ODD)))
+    alike = (5 * least >= 4 * most) & (9 * room >= 4 * (least + most)) & (9 * apart <= least + most)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +172,7 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, group: int = GROUP
         both = pairs.join(left, "a").join(right, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b")
         return saved(both.mapInArrow(check, "a struct<doc_id:long,row:long>, b struct<doc_id:long,row:long>"), name)
 
-    return linked(rows, ("size", "at"), alike, verified, "copies", group).union(same)
+    return linked(rows, ("size", "at", *(f"odd{i}" for i in range(ODD))), alike, verified, "copies", group).union(same)
 
 
 def groups(docs: DataFrame) -> DataFrame:

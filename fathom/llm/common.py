@@ -43,8 +43,10 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for working tables: the session's ``spark.checkpoint.dir``, or a temp folder where that is unset."""
+    """The folder for working tables: the session's ``spark.checkpoint.dir``, or a temp folder where that is unset and all run in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     if not where:
         where = tempfile.mkdtemp(prefix="fathom-")
         atexit.register(shutil.rmtree, where, True)

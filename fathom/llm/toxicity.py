@@ -1,7 +1,7 @@
 """Operator 2, toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 * A text's terms are its lower-case words; all of the text counts. A term weighs (1 + ln tf) * idf * lean: idf is counted over all
-  documents, lean grows with how much surer than by chance the term marks toxic examples (its standardised log odds beyond
+  documents, lean grows with how surely the term marks toxic examples (the log of its likelihood ratio against chance, beyond
   ``CHANCE``) and is never below ``LEAST``, so that every term keeps a weight. Terms that no example has are in no vector.
 * Examples are at most ``max_examples`` labelled documents, chosen by a hash of doc_id; every one of them is indexed with all
   its terms. Their distinct terms reach the driver, and the index, of the same bound, is broadcast.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from fathom.llm.common import give_back, saved, tune
 
 MAX_EXAMPLES = 5_000
-CHANCE = 3.0
+CHANCE = 6.0
 LEAST = 0.02
 NEAREST = 15
 SHARP = 4.0
@@ -50,10 +50,12 @@ def terms(text: str | None) -> Counter:
 
 
 def lean(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """How surely a term marks toxic texts, from the numbers of toxic and of clean examples that have it."""
-    odds = np.log((toxic + 0.5) / (n1 - toxic + 0.5)) - np.log((clean + 0.5) / (n0 - clean + 0.5))
-    error = np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    return LEAST + np.maximum(0.0, odds / error - CHANCE)
+    """How surely a term marks toxic texts, from the numbers of toxic and of clean examples that have it: the root of the log of how
+    unlikely so large a share of toxic ones is by chance, as far as that goes beyond CHANCE."""
+    n, rate = toxic + clean, n1 / max(1, n1 + n0)
+    part = lambda k, r: k * np.log(np.maximum(k, 1) / np.maximum(n * r, 1e-300))
+    surprise = np.where(toxic > n * rate, part(toxic, rate) + part(clean, 1 - rate), 0.0)
+    return LEAST + np.sqrt(np.maximum(0.0, surprise - CHANCE))
 
 
 def slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

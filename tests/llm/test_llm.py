@@ -166,8 +166,9 @@ def brute_toxicity(rows, lab, text):
     a, c = (Counter(w for t, y in train.values() if y == k for w in t) for k in (1, 0))
 
     def weight(w):
-        odds = np.log((a[w] + 0.5) / (n1 - a[w] + 0.5)) - np.log((c[w] + 0.5) / (n0 - c[w] + 0.5))
-        return np.log((1 + len(rows)) / (1 + df[w])) * (0.02 + max(0, odds / np.sqrt(1 / (a[w] + 0.5) + 1 / (c[w] + 0.5)) - 3))
+        n, rate = a[w] + c[w], n1 / (n1 + n0)
+        ratio = sum(k * np.log(k / (n * r)) for k, r in ((a[w], rate), (c[w], 1 - rate)) if k) if a[w] > n * rate else 0
+        return np.log((1 + len(rows)) / (1 + df[w])) * (0.02 + max(0, ratio - 6) ** 0.5)
 
     def vector(t):
         v = {w: (1 + np.log(n)) * weight(w) for w, n in t.items() if a[w] + c[w]}

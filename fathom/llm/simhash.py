@@ -33,7 +33,7 @@ SEED = 42
 SEGMENT = 32
 BALL = 1
 BLOCK = 1 << 16
-ODD = 16
+ODD = 8
 
 
 def shingles(text: str | None, shingle: int) -> list[bytes]:
@@ -97,15 +97,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = 3) ->
 
 
 def sets(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
-    """(doc_id, row, size, ha, hb, keys, odd) of the texts that have words: the number of their distinct shingles, 128 bits that stand
+    """(doc_id, row, size, ha, hb, keys, odd, wide) of the texts that have words: the number of their distinct shingles, 128 bits that stand
     for the set, the smallest hashes of shingles that two sets of Jaccard similarity 0.8 or more can't both lack, and as bits of ODD
-    longs the classes of hashes of which the set has an odd number."""
+    longs, and of as many bits as the set has members or more, the classes of hashes of which the set has an odd number."""
     tune(docs.sparkSession)
-    schema = "doc_id long, row long, size int, ha long, hb long, keys array<long>, odd array<long>"
+    schema = "doc_id long, row long, size int, ha long, hb long, keys array<long>, odd array<long>, wide binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows, sizes, named, keys, odd = [], [], [], ([], []), [], []
+            ids, rows, sizes, named, keys, odd, wide = [], [], [], ([], []), [], [], []
             for i, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 grams = set(shingles(t.as_py(), shingle))
                 if not grams:
@@ -117,15 +117,28 @@ def sets(docs: DataFrame, shingle: int = COPY_SHINGLE) -> DataFrame:
                 for k in range(2):
                     named[k].append(xxhash.xxh64_intdigest(h.tobytes(), k))
                 keys.append(h[: len(h) - (4 * len(h) + 4) // 5 + 1])
-                parity = np.bincount(h & (64 * ODD - 1), minlength=64 * ODD) & 1
-                odd.append(np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8"))
+                odd.append(parities(h, 64 * ODD).view("<i8"))
+                wide.append(parities(h, max(64 * ODD, 1 << (len(h) - 1).bit_length())).tobytes())
             both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in named]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), *both, pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "row", "size", "ha", "hb", "keys", "odd"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), *both, pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())), pa.array(wide, pa.binary())], ["doc_id", "row", "size", "ha", "hb", "keys", "odd", "wide"])
         give_back()
 
     return rowed(docs).mapInArrow(run, schema)
 
 
+def parities(hashes: np.ndarray, classes: int) -> np.ndarray:
+    """A bit for each class of hashes (their lowest bits), set if an odd number of them is in it."""
+    return np.packbits((np.bincount(hashes & (classes - 1), minlength=classes) & 1).astype(np.uint8), bitorder="little")
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """In how many classes two sets' parities differ; the longer's classes are put together to the shorter's first."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def rowed(docs: DataFrame) -> DataFrame:
     """(doc_id, row, text) of the rows of docs that have a doc_id; row is a hash of the text."""
     return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), "text")
@@ -137,8 +150,8 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, group: int = GROUP
     Of a pair, the smaller set of n shingles shares one of its n - ceil(8 n / 9) + 1 smallest hashes with the m - ceil(0.8 m) + 1
     smallest of the other. Equal sets are indexed once; each of their texts links to the first. Hashes that only one set has are left
     out before any join. Sets that differ in more than a ninth of their sizes' sum are no pair; each class of which one of them alone
-    has an odd number is such a difference, which the join's condition counts. The sets themselves decide. Wordless texts have no
-    link here.
+    has an odd number is such a difference: the join's condition counts 512 classes, a second pass over the pairs as many as a set has
+    members. The sets themselves decide. Wordless texts have no link here.
     """
     held = saved(sets(docs, shingle), "copy-sets")
     id_ = F.struct("doc_id", "row").alias("id")
@@ -163,9 +176,19 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, group: int = GROUP
                 good.append(9 * len(x & y) >= 4 * (len(x) + len(y)))
             yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [9 * differ(x, y) <= m + n for m, n, x, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)))]
+            yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = saved(pairs.distinct(), f"{name}-asked")
         asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
+        known = sifted(held.select("row", "size", "wide"), "row", asked).dropDuplicates(["row"])
+        left, right = (known.withColumnsRenamed({"row": x, "size": f"size_{x}", "wide": f"wide_{x}"}) for x in "ab")
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
+        pairs = saved(both.mapInArrow(near, "a long, b long"), f"{name}-close")
+        asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
         texts = sifted(rowed(docs), "row", asked).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
         texts = saved(texts.select("row", F.struct("doc_id", "row").alias("id"), "text"), f"{name}-texts")
         left, right = (texts.withColumnsRenamed({"row": x, "id": f"id_{x}", "text": f"text_{x}"}) for x in "ab")

@@ -16,7 +16,7 @@ from 10 words on and from 144 on the root of n / 16, up to 30. Classes are what
   the counts of words in 128 classes, differ by more than the threshold allows make no rows: that is part of the joins' conditions.
 * Candidates are verified by a banded bit-parallel edit distance: two words of 2 k + 1 bits hold the vertical differences of the
   band, advanced a word of the line at a time.
-* Copies of a line, however many, meet as one in an aggregation with map-side combine; classes know them by a 128-bit hash.
+* Only distinct lines are indexed; copies, however many, meet as one by a 128-bit hash in an aggregation with map-side combine.
 
 A place is (doc_id, line number, 64-bit hash of the text), so that rows sharing a doc_id but not their text stay apart; rows
 that share both are one document. A null text has no line; an empty text has one empty line. Rows with a null doc_id have
@@ -66,15 +66,14 @@ def places(n: str) -> str:
     return f"element_at(transform(array(named_struct('n', {n})), l -> {both}), 1)"
 
 
-def key_rows(lines: DataFrame) -> DataFrame:
-    """(key, ha, own) of lines (ha, words): a row for each key; own if it is one of the line's segments. The places of the keys of lines
-    of fewer than TABLE words come from a table of as many rows; rows, not arrays, so that hashing stays in generated code."""
-    edits = lambda n: F.expr(edits_of(n))
+def with_keys(lines: DataFrame) -> DataFrame:
+    """lines (words, ...) with e, the edits that they allow, and keys: of their own segments first. The places of the keys of lines of
+    fewer than TABLE words come from a table of as many rows."""
     known = lines.sparkSession.range(SIMILAR, TABLE).selectExpr("cast(id as int) as _n", f"{places('cast(id as int)')} as _places")
-    both = lines.where(F.size("words") >= SIMILAR).join(F.broadcast(known), F.size("words") == F.col("_n"), "left")
-    all_places = F.coalesce("_places", F.expr(places("size(words)")))
-    each = both.select("ha", "words", edits("size(words)").alias("e"), F.posexplode(all_places).alias("nth", "x"))
-    return each.select(F.expr("xxhash64(x.m, x.i, slice(words, x.at, x.size))").alias("key"), "ha", (F.col("nth") <= F.col("e")).alias("own"))
+    both = lines.join(F.broadcast(known), F.size("words") == F.col("_n"), "left")
+    made = both.withColumn("_places", F.coalesce("_places", F.expr(places("size(words)"))))
+    keys = F.expr("array_distinct(transform(_places, x -> xxhash64(x.m, x.i, slice(words, x.at, x.size))))")
+    return made.withColumns({"e": F.expr(edits_of("size(words)")), "keys": keys}).drop("_n", "_places")
 
 
 def word_bits(words: str = "words") -> list[Column]:
@@ -117,8 +116,10 @@ def named(docs: DataFrame) -> DataFrame:
 
 def sharing(docs: DataFrame) -> DataFrame:
     """(key, ha, own, n) of the lines (by ha) that have a key with others: own if one of its segments has it, n lines in all."""
-    # all sides of the joins read this aggregation, whose exchange runs once; copies of a line meet in it
-    keyed = key_rows(named(docs.where("doc_id is not null")).select("ha", F.split("line", " ", -1).alias("words"))).groupBy("key", "ha").agg(F.max("own").alias("own"))
+    marked = with_keys(named(docs.where("doc_id is not null")).select("ha", "hb", F.split("line", " ", -1).alias("words")).where(F.size("words") >= SIMILAR)).select("ha", "hb", "e", "keys")
+    # all sides of the joins read this aggregation, whose exchange runs once
+    distinct = marked.groupBy("ha", "hb").agg(F.first("e").alias("e"), F.first("keys").alias("keys"))
+    keyed = distinct.select("ha", "e", F.posexplode("keys").alias("at", "key")).select("key", "ha", (F.col("at") <= F.col("e")).alias("own"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some").select("key", "n")
     return saved(sifted(keyed, "key", shared).join(shared, "key").select("key", "ha", "own", "n"), "line-keys")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, lines, media, mixing, secrets, simhash, substrings, suffixes, toxicity, vectors
+from fathom.llm import bpe, codes, lines, media, mixing, quality, secrets, simhash, substrings, suffixes, toxicity, trie, vectors
 from fathom.llm.common import documents
 from fathom.llm.oracles import ORACLES  # noqa: F401
 
@@ -65,4 +65,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_media_columns, op4_secrets, op5_substring_dedup, op6_bpe, op7_mixing, op8_line_dedup, op9_suffix_dedup, op10_simhash)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_toxicity, op3_media_columns, op4_secrets, op5_substring_dedup, op6_bpe, op7_mixing, op8_line_dedup, op9_suffix_dedup, op10_simhash, op11_quality, op12_prefix_trie, op13_vector_codes)}

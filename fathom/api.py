@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import dialect
 from fathom.operators import retrieval
+from fathom.sources import postings
 
 
 def over(sql: str, **tables: DataFrame) -> DataFrame:
@@ -47,16 +48,18 @@ def missing(requested: DataFrame, documents: DataFrame, indexed: DataFrame) -> D
     return left.join(known, "doc_id", "left").select("doc_id", F.when(F.col("_known"), "not_indexed").otherwise("unknown").alias("reason"))
 
 
-def search(questions: DataFrame, documents: DataFrame, limit: int = 6) -> DataFrame:
+def search(questions: DataFrame, documents: DataFrame, limit: int = 6, index: postings.Index | None = None) -> DataFrame:
     """(item_id, doc_id, score, place): the hybrid search of all questions at once. Restrict documents with ``scoped`` first:
-    nothing outside the scope is ranked, or counts in a statistic."""
-    sql = retrieval.QUERIES["q_hybrid_search"].replace("place <= 6", f"place <= {int(limit)}")
+    nothing outside the scope is ranked, or counts in a statistic. index: of these documents, from ``postings.build``, if it is kept."""
+    (index or postings.build(documents.select("doc_id", "lang", "text"))).views(documents.sparkSession)
+    sql = retrieval.INDEXED + retrieval.HYBRID.replace("place <= 6", f"place <= {int(limit)}")
     return over(sql, benchmark=questions, documents=documents)
 
 
-def context(questions: DataFrame, documents: DataFrame) -> DataFrame:
+def context(questions: DataFrame, documents: DataFrame, index: postings.Index | None = None) -> DataFrame:
     """(item_id, doc_id, used): passages that fit the token budget, in order."""
-    return over(retrieval.QUERIES["context_pack"][0], benchmark=questions, documents=documents)
+    (index or postings.build(documents.select("doc_id", "lang", "text"))).views(documents.sparkSession)
+    return over(retrieval.INDEXED + retrieval.PACK[0], benchmark=questions, documents=documents)
 
 
 def outline(documents: DataFrame) -> DataFrame:

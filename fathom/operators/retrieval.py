@@ -1,10 +1,25 @@
 """Retrieval: BM25, dense cosine, exact identifiers first, reciprocal-rank fusion, de-duplication and the final cap.
 
+Spark reads the stored postings of ``fathom.sources.postings``: the questions' words, with their weights, meet the postings of each
+document where they lie, and only what may be among the first of a question is shuffled. The oracle computes all from the texts.
+
 All passages of ``benchmark`` are questions; a question is the disjunction of its first 64 words, repeats counted again.
 BM25: k1 1.2, b 0.75, idf 1e-6 where it isn't positive, statistics of the whole corpus; fusion: 1 / (60 + rank).
-Only postings of words that are asked for are aggregated and shuffled.
 """
 
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from fathom.functions import dialect
+from fathom.sources import postings, register, table
+
 ASKED = """with docs as (select doc_id, lang, <FOLDED:coalesce(text, '')> as words from documents),
     asked as (select item_id, term, count(*) as times from (select item_id, <EX>(<HEAD:words|64>) as term from (select item_id, <FOLDED:text> as words from benchmark) q) x group by item_id, term),
     postings as (select p.doc_id, p.lang, p.term, max(p.size) as size, count(*) as tf from (select doc_id, lang, <SIZE>(words) as size, <EX>(words) as term from docs) p
@@ -21,6 +36,32 @@ BM25 = (
     lexical as (select * from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as place from scored) x where place <= 24)"""
 )
 
+#: The same from the stored postings.
+INDEXED = (
+    """with asked as (select item_id, term, count(*) as times from (select item_id, explode(<HEAD:words|64>) as term from (select item_id, <FOLDED:text> as words from benchmark) q) x group by item_id, term),
+    weighted as (select a.item_id, a.term, w.mean, a.times * case when w.n > 2 * t.df then ln((w.n - t.df + 0.5) / (t.df + 0.5)) else 0.000001 end as rate from asked a join idx_terms t on a.term = t.term cross join idx_whole w),
+    scored as (select q.item_id, p.doc_id, round(sum(q.rate * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.size / q.mean))), 6) as score, count(*) as n from idx_postings p join weighted q on p.term = q.term group by q.item_id, p.doc_id),
+    lexical as (select * from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as place from scored) x where place <= 24)"""
+)
+
+
+def indexed(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query text that reads the stored postings of documents, beside other tables."""
+    own = dialect(dialect(INDEXED + sql, 0), 0)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        register(spark, sf_dir, own)
+        postings.of(spark, table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).views(spark)
+        return spark.sql(own)
+
+    return run
+
+
+def both(sql: str, oracle: str | None = None) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """What follows the scores, over the stored postings and, as oracle, over the texts."""
+    return indexed(sql), BM25 + (oracle or sql)
+
+
 #: Both lanes, by score and by the number of shared words, from one pass over the scores.
 FUSED = """,
     lanes as (select item_id, doc_id, place from (select *, row_number() over (partition by item_id, lane order by rate desc, doc_id) as place from
@@ -50,7 +91,7 @@ BUDGET = 2560
 OFFERED = """, offered as (select item_id, f.doc_id, row_number() over (partition by item_id order by f.score desc, f.doc_id) as place, <DIV:length(d.text)|4> + 1 as tokens
     from fused f join documents d on d.doc_id = f.doc_id)"""
 PACK = (
-    BM25 + FUSED + OFFERED + f""", folded as (select item_id, aggregate(array_sort(collect_list(struct(place, doc_id, tokens))), named_struct('used', 0L, 'kept', cast(array() as array<struct<doc_id: bigint, used: bigint>>)),
+    FUSED + OFFERED + f""", folded as (select item_id, aggregate(array_sort(collect_list(struct(place, doc_id, tokens))), named_struct('used', 0L, 'kept', cast(array() as array<struct<doc_id: bigint, used: bigint>>)),
         (s, x) -> case when s.used + x.tokens <= {BUDGET} then named_struct('used', cast(s.used + x.tokens as bigint), 'kept', concat(s.kept, array(named_struct('doc_id', x.doc_id, 'used', cast(s.used + x.tokens as bigint))))) else s end) as r
         from offered where place <= 24 group by item_id) select item_id, k.doc_id, k.used from (select item_id, explode(r.kept) as k from folded) x""",
     BM25.replace("with docs", "with recursive docs", 1) + FUSED + OFFERED + f""", walk(item_id, place, doc_id, took, used) as (select item_id, place, doc_id, tokens <= {BUDGET}, cast(case when tokens <= {BUDGET} then tokens else 0 end as bigint) from offered where place = 1
@@ -58,8 +99,81 @@ PACK = (
         from walk w join offered o on o.item_id = w.item_id and o.place = w.place + 1 where o.place <= 24) select item_id, doc_id, used from walk where took""",
 )
 
+#: Text vectors in SQL: of documents and of questions, over the same axes, from texts alone.
+ORACLE_VECTORS = f""",
+    kept as (select doc_id, lang, term, count(*) as tf from (select doc_id, lang, unnest(words) as term from docs) x group by doc_id, lang, term), known as (select term, count(*) as df from kept group by term),
+    rated as (select 0 as side, doc_id as id, lang, k.term, tf, df from kept k join known n on k.term = n.term union all select 1, item_id, '', a.term, times, df from asked a join known n on a.term = n.term),
+    summed as (select side, id, lang, {postings.AXIS[1]} as axis, sum(({postings.SIGN}) * (1 + ln(tf)) * ln(1 + w.n / cast(df as double))) as rate from rated cross join whole w group by all),
+    filled as (select k.side, k.id, k.lang, list(coalesce(r.rate, 0.0) order by a.axis) as v from (select distinct side, id, lang from summed) k cross join (select unnest(range({postings.AXES})) as axis) a
+        left join summed r on r.side = k.side and r.id = k.id and r.lang = k.lang and r.axis = a.axis group by all),
+    unit as (select side, id, lang, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as v from filled where list_dot_product(v, v) > 0),
+    near as (select q.id as item_id, d.id as doc_id, d.lang, round(list_dot_product(q.v, d.v), 6) as score from unit q join unit d on q.side = 1 and d.side = 0)"""
+
+
+def nearest(questions: DataFrame, vectors: DataFrame, k: int = 24, block: int = 4096) -> DataFrame:
+    """(item_id, doc_id, score, place): of each question (item_id, vector) the k vectors (doc_id, vector) of the largest inner product, to
+    six digits, ties to the smaller doc_id. Exact: blocks of questions are multiplied with blocks of vectors, and a block pair gives k
+    rows a question at most; there are as many block pairs as (questions / block) * (vectors / block). Restrict vectors to a scope first."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            for at in range(0, len(batch), block):
+                ids = batch.column(0).to_numpy()[at : at + block]
+                yield pa.RecordBatch.from_pydict({"ids": [ids.tobytes()], "values": [flat.reshape(len(batch), -1)[at : at + block].tobytes()]})
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                items, docs = (np.frombuffer(row[c], dtype=np.int64) for c in ("q_ids", "ids"))
+                left, right = (np.frombuffer(row[c], dtype=np.float64).reshape(n, -1) for c, n in (("q_values", len(items)), ("values", len(docs))))
+                score = np.round(left @ right.T, 6)
+                least = -np.partition(-score, k - 1, axis=1)[:, k - 1] if len(docs) > k else np.full(len(items), -np.inf)
+                at, to = np.nonzero(score >= least[:, None])
+                order = np.lexsort((docs[to], -score[at, to], at))
+                at, to = at[order], to[order]
+                nth = np.arange(len(at)) - np.searchsorted(at, at)
+                at, to = at[nth < k], to[nth < k]
+                yield pa.RecordBatch.from_pydict({"item_id": items[at], "doc_id": docs[to], "score": score[at, to]})
+
+    schema = "ids binary, values binary"
+    asked = questions.select("item_id", "vector").mapInArrow(packed, schema).withColumnsRenamed({"ids": "q_ids", "values": "q_values"})
+    found = vectors.select("doc_id", "vector").mapInArrow(packed, schema).crossJoin(asked).mapInArrow(multiplied, "item_id long, doc_id long, score double")
+    best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def dense_views(spark: SparkSession, sf_dir: str, scope: str) -> None:
+    """The documents' and questions' vectors of the index as dense(item_id, doc_id, score, place), within a scope (SQL over doc_id and lang)."""
+    own = dialect(INDEXED, 0)
+    register(spark, sf_dir, own)
+    postings.of(spark, table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).views(spark)
+    asked = spark.sql(own + postings.vectors_of("(select item_id, term, times as tf from asked)", "idx_terms", "idx_whole", "item_id").replace("select item_id,", " select item_id,", 1))
+    nearest(asked, spark.table("idx_vectors").where(scope)).createOrReplaceTempView("dense")
+
+
+def hybrid(scope: str, tail: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    """BM25 and vectors within a scope, fused by rank: the filter comes before both lanes are cut. Statistics are the collection's."""
+    lanes = """,
+        within as (select * from (select s.item_id, s.doc_id, row_number() over (partition by s.item_id order by s.score desc, s.doc_id) as place from {scored} where {scope}) x where place <= 24),
+        lanes as (select item_id, doc_id, place, 1 as lexical, 0 as dense from within union all select item_id, doc_id, place, 0, 1 from {dense} d where place <= 24),
+        fused as (select item_id, doc_id, round(sum(cast(1 as double) / (60 + cast(place as double))), 6) as score, max(lexical) as lexical, max(dense) as dense from lanes group by item_id, doc_id)"""
+    own = dialect(INDEXED, 0) + lanes.format(scored="(select s.*, p.lang from scored s join (select doc_id, lang from idx_vectors) p on p.doc_id = s.doc_id) s", scope=scope, dense="dense") + tail
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        dense_views(spark, sf_dir, scope)
+        return spark.sql(own)
+
+    found = f"(select item_id, doc_id, row_number() over (partition by item_id order by score desc, doc_id) as place from near where {scope})"
+    return run, BM25 + ORACLE_VECTORS + lanes.format(scored="(select s.*, p.lang from scored s join (select id as doc_id, lang from unit where side = 0) p on p.doc_id = s.doc_id) s", scope=scope, dense=found) + tail
+
+
+TOP = " select item_id, doc_id, score, lexical, dense, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from fused) x where place <= 6"
+
+HYBRID = FUSED + " select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from fused) x where place <= 6"
+
 QUERIES = {
-    "bm25_topk": BM25 + " select item_id, doc_id, score, place from lexical",
+    "bm25_topk": both(" select item_id, doc_id, score, place from lexical"),
     "bm25_scoped_corpus": ASKED
     + f""", whole as (select lang, count(*) as n, avg(<SIZE>(words)) as mean from docs group by lang),
         idf as (select p.lang, term, max(w.mean) as mean, case when max(w.n) > 2 * count(*) then ln((max(w.n) - count(*) + 0.5) / (count(*) + 0.5)) else 0.000001 end as idf from postings p join whole w on p.lang = w.lang group by p.lang, term),
@@ -75,22 +189,24 @@ QUERIES = {
         (select a.item_id, p.doc_id, round(sum("""
     + WEIGHT
     + """), 6) as score from asked a join postings p on a.term = p.term join idf i on i.term = p.term group by a.item_id, p.doc_id) y) x where place <= 24""",
-    "rrf_fusion": BM25 + FUSED + " select item_id, doc_id, score from fused",
-    "q_hybrid_search": BM25 + FUSED + " select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from fused) x where place <= 6",
-    "final_dedup_cap": BM25 + FUSED + """ select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from
-        (select f.*, row_number() over (partition by f.item_id, d.digest order by f.score desc, f.doc_id) as copy from fused f join (select doc_id, <SHA> as digest from documents) d on d.doc_id = f.doc_id) x where copy = 1) y where place <= 6""",
-    "mrr_at_10": (BM25 + CONTAINED[0] + MRR, BM25 + CONTAINED[1] + MRR),
-    "recall_at_k": (BM25 + CONTAINED[0] + RECALL, BM25 + CONTAINED[1] + RECALL),
-    "context_pack": PACK,
+    "rrf_fusion": both(FUSED + " select item_id, doc_id, score from fused"),
+    "q_hybrid_search": both(HYBRID),
+    "hybrid_dense": hybrid("true", TOP),
+    "hybrid_dense_scoped": hybrid("lang in ('en', 'de')", TOP),
+    "final_dedup_cap": both(FUSED + """ select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from
+        (select f.*, row_number() over (partition by f.item_id, d.digest order by f.score desc, f.doc_id) as copy from fused f join (select doc_id, <SHA> as digest from documents) d on d.doc_id = f.doc_id) x where copy = 1) y where place <= 6"""),
+    "mrr_at_10": both(CONTAINED[0] + MRR, CONTAINED[1] + MRR),
+    "recall_at_k": both(CONTAINED[0] + RECALL, CONTAINED[1] + RECALL),
+    "context_pack": (indexed(PACK[0]), PACK[1]),
     "comparison_round_robin": (
-        BM25 + """, sized as (select place, item_id div 1024 as bin, count(*) as n from lexical where place <= 3 group by place, item_id div 1024),
+        indexed(""", sized as (select place, item_id div 1024 as bin, count(*) as n from lexical where place <= 3 group by place, item_id div 1024),
             starts as (select place, bin, sum(n) over (order by place, bin) - n as before from sized)
             select l.doc_id, l.item_id, l.place, s.before + row_number() over (partition by l.place, l.item_id div 1024 order by l.item_id, l.doc_id) as turn
-            from lexical l join starts s on s.place = l.place and s.bin = l.item_id div 1024""",
+            from lexical l join starts s on s.place = l.place and s.bin = l.item_id div 1024"""),
         BM25 + " select doc_id, item_id, place, row_number() over (order by place, item_id, doc_id) as turn from lexical where place <= 3",
     ),
-    "scope_isolation": BM25 + """ select l.item_id, count(*) as kept_after, min(o.n) as kept_before from (select s.item_id, d.lang, s.place from lexical s join docs d on d.doc_id = s.doc_id where d.lang = 'en') l
-        join (select item_id, least(count(*), 24) as n from scored s join docs d on d.doc_id = s.doc_id where d.lang = 'en' group by item_id) o on o.item_id = l.item_id group by l.item_id""",
+    "scope_isolation": both(""" select l.item_id, count(*) as kept_after, min(o.n) as kept_before from (select s.item_id, d.lang, s.place from lexical s join documents d on d.doc_id = s.doc_id where d.lang = 'en') l
+        join (select item_id, least(count(*), 24) as n from scored s join documents d on d.doc_id = s.doc_id where d.lang = 'en' group by item_id) o on o.item_id = l.item_id group by l.item_id"""),
     "dense_topk": """select query_id, vec_id, score, place from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from
         (select a.vec_id as query_id, b.vec_id, round(<DOT>, 6) as score from (select vec_id, <VEC> as v from embeddings where vec_id % 50 = 0) a
         join (select vec_id, <VEC> as v from embeddings) b on a.vec_id <> b.vec_id) x) y where place <= 10""",

@@ -1,17 +1,18 @@
-"""Queries that read texts with the functions of quantities, claims and references; their oracles, where given, are of another form."""
+"""Queries over cells, paths, chained logs and conversations; their oracles, where given, are of another form."""
 
 from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+from pyspark.sql.types import StringType, StructType
 from pyspark.sql.window import Window
 
-from fathom.functions import claims, quantities, references
+from fathom.functions import quantities
+from fathom.functions.arrow import FORMS
+from fathom.operators.prose import quoted
 from fathom.sources import table, trace
 
-SPAN = StructType().add("start", LongType()).add("end", LongType())
 RESULT = StructType().add("value", StringType()).add("unit", StringType()).add("refusal", StringType())
 
 UNITS_OF_LINES = "case l_linenumber % 4 when 0 then 'mV' when 3 then 'kV' else 'V' end"
@@ -55,28 +56,27 @@ CALCULATIONS = f"""with cells as (select l_orderkey, {OPERATION} as operation, l
         case when refusal is not null then '' when operation = 'ratio' then '' else own end as unit, refusal from judged"""
 
 
-@F.pandas_udf(ArrayType(SPAN))
-def sentence_offsets(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else [{"start": a, "end": b} for a, b in claims.sentences(t)])
-
-
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of every text, with their offsets in it."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    got = docs.select("doc_id", "text", F.posexplode(sentence_offsets("text")).alias("place", "s"))
-    return got.select("doc_id", F.col("place").cast("long").alias("place"), F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.sha2(F.expr("substring(text, s.start + 1, s.end - s.start)"), 256).alias("digest"))
-
-
-@F.pandas_udf(StringType())
-def path_statuses(paths: pd.Series) -> pd.Series:
-    return paths.map(lambda p: None if p is None else references.path_status(p))
-
-
 def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every page's path, behind its host, whether it is a safe relative path."""
+    """Of every page's path, behind its host, whether it is a safe relative path; escapes are decoded up to three times."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*/?(.*)$", 1).alias("path"))
-    return pages.select("page_id", "path", path_statuses("path").alias("status"))
-
+    decoded = F.col("path")
+    for _ in range(3):
+        decoded = F.coalesce(F.try_url_decode(F.replace(decoded, F.lit("+"), F.lit("%2B"))), decoded)
+    seen = F.translate(decoded, "\\", "/")
+    rules = (
+        ("too_long", F.length("path") > LONGEST_PATH), ("empty", F.col("seen") == ""), ("absolute", F.col("seen").rlike("^(/|[^/]:)")), ("traversal", F.exists("steps", lambda x: x.isin("", ".", ".."))),
+        ("ends_in_dot_or_blank", F.exists("steps", lambda x: x.rlike("[. ]$"))), ("forbidden_character", F.col("seen").rlike("[\\x00-\\x1f<>:\"|?*]")),
+        ("reserved_name", F.exists("steps", lambda x: F.upper(F.substring_index(x, ".", 1)).isin(*RESERVED))),
+    )
+    status = F.lit("ok")
+    for name, wrong in reversed(rules):
+        status = F.when(wrong, name).otherwise(status)
+    return pages.withColumn("seen", seen).withColumn("steps", F.split("seen", "/", -1)).select("page_id", "path", status.alias("status"))
+
+
+# Names that a file can't have, the longest path.
+RESERVED = ["CON", "PRN", "AUX", "NUL", *(f"{d}{n}" for d in ("COM", "LPT") for n in range(1, 10))]
+LONGEST_PATH = 1024
 
 PATH_SAFETY = r"""with paths as (select page_id, regexp_extract(url, '^[a-z]+://[^/]*/?(.*)$', 1) as path from pages), seen as (select *, replace(url_decode(url_decode(url_decode(path))), '\', '/') as p from paths)
     select page_id, path, case when length(path) > 1024 then 'too_long' when p = '' then 'empty' when p[1] = '/' or regexp_matches(p, '^.:') then 'absolute' when regexp_matches(p, '(^|/)(\.|\.\.)?(/|$)') then 'traversal'
@@ -97,42 +97,31 @@ HASH_CHAIN = """with numbered as (select *, row_number() over (partition by user
     select user_id, count(*) as n, count(*) filter (not changed and not broken) as ok, count(*) filter (changed) as payload_modified, 0::bigint as event_modified, count(*) filter (broken and not changed) as chain_broken from judged group by user_id"""
 
 
-@F.pandas_udf(StructType().add("method", StringType()).add("codes", ArrayType(StringType())))
-def followups(questions: pd.Series, earlier: pd.Series) -> pd.DataFrame:
-    got = [references.followed_up(q or "", [(e or "", {"scope"}) for e in reversed(list(es))], {"scope"}) for q, es in zip(questions, earlier)]
-    return pd.DataFrame(got, columns=["method", "codes"])
+# Words that point back, how many questions are looked at, how many choices are offered.
+POINTS_BACK = r"(?i)\b(?:elle|celui|celle|son|sa|ses|leur|its|it|this|that)\b"
+EARLIER, CHOICES = 8, 4
+IDENTIFIER = "|".join(r"(?<!\w[-_/])" + form for form in FORMS)
 
 
-def followup_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How each question of a conversation is read after the (at most eight) questions before it."""
-    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
-    before = Window.partitionBy("conv_id").orderBy("turn", "text").rowsBetween(-references.EARLIER, -1)
-    got = asked.withColumn("earlier", F.collect_list(F.coalesce("text", F.lit(""))).over(before)).withColumn("r", followups("text", "earlier"))
-    return got.select("conv_id", "turn", "r.method", F.array_join("r.codes", ",").alias("codes"))
-
-
-@F.pandas_udf(StructType().add("n_numbers", LongType()).add("n_units", LongType()).add("n_ambiguous", LongType()))
-def number_counts(texts: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t in texts:
-        found = list(quantities.numbers(t or "", claims.masked(t or "")))
-        rows.append((len(found), sum(u is not None for _, u, _ in found), sum(len(v) > 1 for _, _, v in found)))
-    return pd.DataFrame(rows, columns=["n_numbers", "n_units", "n_ambiguous"])
-
+def followups(questions: DataFrame) -> DataFrame:
+    """questions (scope, at, text) with method and codes: how each is read after the at most EARLIER questions before it in its scope.
 
-def number_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of every text outside identifiers, pages, dates and the like: how many, with a unit, with two readings."""
-    return table(spark, sf_dir, "documents").select("doc_id", number_counts("text").alias("r")).select("doc_id", "r.*")
+    A question with an identifier, or that doesn't point back, stands for itself; else the newest earlier one with identifiers decides:
+    one identifier is meant, several are choices, none leaves it open."""
+    order = [F.col("at").asc_nulls_first(), "text"]
+    named = F.array_distinct(F.transform(F.expr(f"regexp_extract_all(coalesce(text, ''), {quoted(IDENTIFIER)}, 0)"), lambda x: F.upper(F.translate(x, "\u2010\u2011\u2012\u2013\u2014\u2015\u2212", "-------"))))
+    before = Window.partitionBy("scope").orderBy(*order).rowsBetween(-EARLIER, -1)
+    seen = questions.withColumn("named", named).withColumn("last", F.last(F.when(F.size("named") > 0, F.col("named")), True).over(before))
+    explicit = (F.size("named") > 0) | ~F.coalesce(F.col("text").rlike(POINTS_BACK), F.lit(False))
+    method = F.when(explicit, "explicit_question").when(F.col("last").isNull(), "no_authorized_referent").when(F.size("last") == 1, "unique_user_referent").otherwise("ambiguous_user_referent")
+    codes = F.when(explicit | F.col("last").isNull(), F.array().cast("array<string>")).otherwise(F.slice("last", 1, CHOICES))
+    return seen.withColumn("method", method).withColumn("codes", codes).drop("named", "last")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def question_terms(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: sorted(references.answer_terms(t or "")))
-
-
-def answer_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of every benchmark text as a question, outside its identifiers."""
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(question_terms("text")).alias("term"))
+def followup_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each question of a conversation, which is its scope, is read after the questions before it."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("scope"), F.col("turn").alias("at"), "text")
+    return followups(asked).select(F.col("scope").alias("conv_id"), F.col("at").alias("turn"), "method", F.array_join("codes", ",").alias("codes"))
 
 
 #: Earlier messages of the conversation, 24 at most, whose capitalised words are among the present message's: those may be shown.
@@ -140,12 +129,9 @@ NAMED = "regexp_extract_all(text, {}'[A-Z][a-z]+', 0)"
 
 QUERIES = {
     "calculations": (calculations, CALCULATIONS),
-    "sentences": (sentences, None),
     "path_safety": (path_safety, PATH_SAFETY),
     "hash_chain_verify": (hash_chain, HASH_CHAIN),
     "followup_resolve": (followup_resolve, None),
-    "number_readings": (number_readings, None),
-    "answer_terms": (answer_terms, None),
     "history_subset": (
         f"""select conv_id, turn, cast(size(filter(earlier, x -> size(array_except(x.named, named)) = 0)) as bigint) as n_allowed, cast(size(earlier) as bigint) as n_earlier from (select conv_id, turn, named,
             collect_list(struct(named)) over (partition by conv_id order by turn, role, text rows between 24 preceding and 1 preceding) as earlier from (select *, array_distinct({NAMED.format('r')}) as named from conversations) c) x""",

@@ -1,11 +1,8 @@
-"""Quantities, claims, references and chains against stated cases and plain statements of their rules."""
-
-from decimal import Decimal
+"""Quantities, chains and streams against stated cases and plain statements of their rules."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.functions import claims, quantities, references
 from fathom.functions.quantities import Operand, calculate, read_quantity
 from fathom.sources import trace
 
@@ -42,9 +39,8 @@ def test_calculations():
     assert calculate("difference", cells("1 kV", "1 V")).value == "0.999"
     assert (calculate("ratio", cells("1 V", "3 V")).value, calculate("ratio", cells("1 V", "3 V")).unit) == ("0." + "3" * 40, "")
     got = calculate("convert", cells("25 °C"), "K")
-    assert (got.value, got.unit, got.rounded) == ("298.15", "K", False) and got.explanation == "(25 × 1 + 273.15) K = 298.15 K"
+    assert (got.value, got.unit, got.rounded) == ("298.15", "K", False)
     assert calculate("convert", cells("5"), "mV", Operand("u", "V")).value == "5000"
-    assert quantities.convert_relation("3 V", ["3"], "V", "mV").value == "3000"
 
 
 @pytest.mark.parametrize(
@@ -73,79 +69,12 @@ def test_calculations():
         ("unit_not_supported", calculate("convert", cells("1"), "V", Operand("u", "parsec"))),
         ("conflicting_source_units", calculate("convert", cells("1 A"), "V", Operand("u", "V"))),
         ("numeric_result_limit", calculate("ratio", cells("9e24 kV", "1e-24 V"))),
-        ("single_relation_required", quantities.convert_relation("3 V", ["3", "4"], "V", "mV")),
-        ("relation_value_mismatch", quantities.convert_relation("3 V", ["4"], "V", "mV")),
     ],
 )
 def test_refusals(code, got):
     assert got.refusal == code and got.value is None
 
 
-def test_numbers_in_texts():
-    assert quantities.readings("1,020") == {Decimal("1.020"), Decimal(1020)} and quantities.readings("3,1") == {Decimal("3.1")}
-    assert quantities.readings("120 150", True) == {Decimal(120150), Decimal(120), Decimal(150)}
-    text = "Selon EN 50155 (p. 12), le 3e essai du 12/03/2024 donne 24 V, 1 020 h et 5 pour 3.4.2.\n2) puis 7 bar [S12]"
-    assert [(t, u) for t, u, _ in quantities.numbers(text, claims.masked(text))] == [("24", "V"), ("1 020", "h"), ("5", None), ("7", "bar")]
-    assert len(claims.masked(text)) == len(text)
-    assert [quantities.value_check(t, "2.7", "bar") for t in ("2,7 bar", "2.7 barns", "27 bar")] == ["VALUE_AND_UNIT", "VALUE_WITHOUT_EXPECTED_UNIT", "VALUE_ABSENT"]
-    assert [quantities.is_bound(*x) for x in (("up to ", ""), ("≠ ", ""), ("au moins (", ""), ("is ", " or less"), ("is ", " when"), ("n'atteint pas ", ""))] == [True, True, True, True, False, True]
-
-
-def test_point_conditions():
-    got = quantities.point_conditions("3 V at TA = 25 °C, except at 85 °C or 90 °C; pour 3 V – 5 V, TJ = 1 kV")
-    assert [(x["symbol"], x["quantity"], x["value"], x["excluded"]) for x in got] == [("TA", "temperature", "298.15", False), (None, "temperature", "358.15", True), ("TJ", "voltage", "1000", False)]
-
-
-def test_segments_and_citations():
-    text = "Un fait. [S1] Deux faits 3.1 bar; et puis\n[S2]\n* [S3] confirme. Fin"
-    got = claims.segments(text)
-    assert [(text[s.start : s.end], s.carried) for s in got] == [("Un fait.", ["S1"]), ("Deux faits 3.1 bar;", []), ("et puis", ["S2"]), ("* [S3] confirme.", []), ("Fin", [])]
-    assert claims.single_citations("a [S1, S2;S9] b [S9]", ["S1", "S2"], "[?]") == "a [S1][S2][?] b [?]"
-    assert claims.format_warnings("x [S1]", ["S1"]) == [] and claims.format_warnings("selon S1 [S9]", ["S1"]) == [("answer_without_valid_citation", []), ("source_id_mentioned_without_citation", ["S1"])]
-    assert [claims.listing(list(x)) for x in ("a", "ab", "abc", "abcdefg", "abcdefgh")] == ["a", "a et b", "a, b et c", "a, b, c, d, e, f et 1 autre", "a, b, c, d, e, f et 2 autres"]
-    warned = claims.value_warnings("Il faut 24 V [S1]. Puis 7 A [S1]. Enfin 9 s. Et 5 m.", {"S1": "24 V", "S2": "7 A et 9 s"}, "5 m")
-    assert [(w["code"], w["number"], w["cited"], w["holders"]) for w in warned] == [("cited_value_not_in_cited_sources", "7", ["S1"], ["S2"])]
-    assert claims.value_warnings("soit 8 V", {"S1": "24"})[0]["code"] == "value_not_in_context"
-    assert [("A 3.1 b. É c\nd")[a:b] for a, b in claims.sentences("A 3.1 b. É c\nd")] == ["A 3.1 b.", "É c", "d"]
-
-
-def test_references():
-    assert references.reference_spans("voir da‑p01, DA-P010 et Da-P01.", "DA-P01") == ((5, 11), (24, 30))
-    assert references.reference_spans("ﬁche ABC, X/ABC ABC_1 ABC.1", "abc") == ((5, 8),)
-    assert references.reference_spans("EN  50155 ou en 50155", "EN 50155") == ((0, 9), (13, 21))
-    assert references.contains_identifier("P01", "DA-P01") is False
-    found, must = references.resolve_references("quelle tension pour DA-P01 et A-B ?", "x 1")
-    assert [(c["code"], c["syntax"]) for c in found] == [("DA-P01", "structured"), ("A-B", "alphabetic_compound"), ("X 1", "explicit_nomination")]
-    assert must == {"DA-P01": "structured_syntax", "X 1": "focus.identifier"}
-    assert references.answer_terms("Quelle tension maximale pour DA-P01 dans ce document ?") == {"tensi", "maxim"}
-    assert references.has_answer_terms("x", set()) and references.has_answer_terms("Tensions", {"tensi"}) and not references.has_answer_terms("x", {"tensi"})
-    ask = lambda q, *earlier: references.followed_up(q, [(e, {"a"}) for e in earlier], {"a"})
-    assert ask("et sa tension ?", "rien", "pour DA-P01") == ("unique_user_referent", ["DA-P01"])
-    assert ask("et sa tension ?", "DA-P01 ou DA-P02")[0] == "ambiguous_user_referent" and ask("et sa tension ?")[0] == "no_authorized_referent"
-    assert ask("tension de DA-P01 ?", "x")[0] == "explicit_question" == ask("la tension ?", "DA-P01")[0]
-    assert references.followed_up("its range", [("DA-P01", {"b"})], {"a"})[0] == "no_authorized_referent"
-    assert references.mutated("DA-P01", {"DA-P02"}) == "DA-P03" and references.mutated("AB", set()) is None
-
-
-def test_cells_and_spans():
-    for n in (1, 26, 27, 702, 703, 16384):
-        assert references.cell_at(references.address_of(5, n)) == (5, n)
-    assert references.cell_at("XFE1") is None and references.cell_at("A0") is None and references.cell_at("a1") is None
-    assert references.cells_of("$A$1:C3") == (1, 1, 3, 3) and references.cells_of("B2") == (2, 2, 2, 2) and references.cells_of("C3:A1") is None
-    assert references.decoded_string("a_x0041__x005F_x0041_") == "aA_x0041_" and references.decoded_string("_xD83D__xDE00_") == "😀" and references.decoded_string("_xD83D_") is None
-    assert references.formula_cells("=SUM(A1:B2, 'My sheet'!$C$3, LOG10(5)) & \"D4\" & A1:B2") == ["A1:B2", "'My sheet'!$C$3"]
-    assert references.merged([(4, 6), (0, 2), (3, 4), (8, 9)], "ab cdefgh") == [(0, 6), (8, 9)] and references.projected("abcdef", [(0, 1), (3, 4)]) == "a […] d"
-    keys = {references.evidence_key("g", "b"), references.evidence_key("g", spans=[(1, 0, 2)]), references.evidence_key("g", chunk="c", text="t"), references.evidence_key("h", "b")}
-    assert len(keys) == 4 and references.evidence_key("g", spans=[(2,), (1,)]) == references.evidence_key("g", spans=[(1,), (2,)])
-    assert [references.assertion(t) for t in ("It is 3 V", "It is not 3 V", "It may be 3 V", "3 V ?", "≈ 3 V")] == ["asserted", "negated", "uncertain", "uncertain", "uncertain"]
-
-
-@pytest.mark.parametrize("path, want", [("a/b.pdf", "ok"), ("a/%252e%252e/b", "traversal"), ("/a", "absolute"), ("C:\\a", "absolute"), ("a//b", "traversal"), ("con.txt", "reserved_name"), ("a./b", "ends_in_dot_or_blank"), ("a?b", "forbidden_character"), ("", "empty"), ("x" * 1025, "too_long")])
-def test_paths(path, want):
-    assert references.path_status(path) == want
-    assert references.path_status("a.exe", ("pdf",)) == "format" and references.path_status("a.PDF", ("pdf",)) == "ok"
-
-
 def test_chain(spark):
     rows = spark.createDataFrame([(k, n, 10 * n + k, None if n == 3 else f"{k}:{n}") for k in (1, 2, 3) for n in range(1, 40)], "key long, at long, id long, payload string")
     chained = trace.chain(rows.repartition(5))

@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.functions import dialect
-from fathom.operators import answers, corpus, coverage, evaluation, evidence, measures, prose, reading, retrieval, scope, text
+from fathom.operators import answers, corpus, coverage, evaluation, evidence, measures, proof, prose, reading, retrieval, scope, text
 from fathom.sources import register
 
-FAMILIES = (scope, text, retrieval, measures, corpus, answers, evaluation, coverage, reading, evidence, prose)
+FAMILIES = (scope, text, retrieval, measures, corpus, answers, evaluation, coverage, reading, evidence, prose, proof)
 PAIRS = {name: q if isinstance(q, tuple) else (q, q) for family in FAMILIES for name, q in family.QUERIES.items()}
 
 

@@ -47,7 +47,7 @@ def test_bare_numbers(spark):
 
 
 def test_contract(spark):
-    asked = ["What is the maximum supply voltage of X-12 at 25 °C?", "Pourquoi le ciel", "compare voltage and current", "sum of B2 and C3", "Quelle est la plage de tension de AB-1 en mV ?", "voltage and current of X1", None, "What does code AB-1 mean"]
+    asked = ["What is the maximum supply voltage of X-12 at 25 °C?", "Pourquoi le ciel", "compare voltage and current", "sum of B2 and C3", "Quelle est la plage de tension de AB-1 en mV ?", "voltage and current of X1", None, "What does code AB-1 stand for"]
     got = [tuple(r) for r in prose.contract(spark.createDataFrame([(t,) for t in asked], "text string")).select("kind", "quantities", "operation", "bound", "unit", "subjects", "conditions", "failure").collect()]
     assert got == [
         ("value", ["voltage"], None, "upper", None, ["X-12"], ["at 25 °C"], None), ("qualitative", [], None, None, None, [], [], None), ("comparison", ["current", "voltage"], None, None, None, [], [], None),

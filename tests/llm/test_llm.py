@@ -117,6 +117,23 @@ def test_op1_repeated_ids(spark):
     assert len(got) == len(rows) and {(x.vec_id, x.n_links, x.component_id, x.kept) for x in got} == {(1, 1, 1, True), (2, 1, 1, False), (5, 2, 5, True), (7, 1, 5, False), (9, 1, 5, False), (3, 0, 3, True)}
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_op1_several_vectors_of_one_id(spark, seed):
+    """Vertices are vec_ids: links to each other vec_id count once, and an id's vectors connect what they touch."""
+    if not seed:
+        rows = [(5, [1.0, 0.0]), (5, [1.0, 0.02]), (3, [0.0, 1.0]), (5, [0.0, 1.0]), (9, [1.0, 0.0]), (5, None), (7, [-1.0, 0.0]), (7, [0.0, -1.0])]
+    else:
+        r = random.Random(seed)
+        base = [[r.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+        rows = [(r.randrange(40), [x + r.choice([0, 0, 0.1, 0.3]) * r.gauss(0, 1) for x in r.choice(base)]) for _ in range(90)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=16).collect()
+    unit = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if v]
+    links = {(a, b) for a, x in unit for b, y in unit if a != b and x @ y >= 0.9}
+    root = union_find(max(i for i, _ in rows) + 1, list(links))
+    want = {i: (len({b for a, b in links if a == i}), root[i]) for i, _ in rows}
+    assert len(got) == len(rows) and {x.vec_id: (x.n_links, x.component_id) for x in got} == want and all(x.kept == (x.vec_id == x.component_id) for x in got)
+
+
 def test_op1_bounds():
     """The interval of a code holds the true inner product; estimates are unbiased."""
     r = np.random.default_rng(0)

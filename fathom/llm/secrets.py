@@ -1,10 +1,14 @@
 """Operator 4, secret scans with an incremental blob ledger.
 
-Every text is a blob, named by its SHA-256. ``Ledger`` is a folder of two tables: ``findings`` (blob, rules, spans) and
-``paths`` (doc_id, blob, version), one partition for each version of the documents that was added. A scan takes the blobs that
-the ledger lacks for these rules, scans one text of each and appends. Findings are keyed by (blob, rules) and read once a key,
-so a repeated append, by a retry or by two scans at once, changes nothing; a version that is added again replaces itself.
-``secrets`` joins the findings to the rows of one table, ``Ledger.history`` to all paths of all versions.
+Every text is a blob, named by its SHA-256. ``Ledger`` is a folder of tables: ``findings`` (blob, rules, spans), ``paths``
+(doc_id, blob, version), one partition for each version of the documents that was added, and, if it keeps texts, ``blobs`` (blob,
+text), each text once. A scan takes the blobs that the ledger lacks for these rules, scans one text of each and appends. Findings
+are keyed by (blob, rules) and read once a key, so a repeated append, by a retry or by two scans at once, changes nothing; a version
+that is added again replaces itself. ``secrets`` joins the findings to the rows of one table, ``Ledger.history`` to all paths of all
+versions: a blob that these rules haven't scanned, because it came with other rules or its scan broke off, is unscanned there
+and never clean. ``Ledger.catch_up`` scans the stored texts of such blobs.
+
+A rule version names what scans: ``RULE_SETS`` binds ids to functions from a text to spans, and an id without one is refused.
 
 Null texts are empty; all share one blob without findings. Rows with a null doc_id are paths like others. Repeated rows
 stay repeated. Very long texts are scanned whole, in time linear in their length. An empty table gives an empty result.
@@ -15,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,20 +62,30 @@ def keys(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: What each rule version runs. The id of this module's own rules holds a hash of their patterns.
+RULE_SETS: dict[str, Callable[[str | None], list[tuple[str, int, int]]]] = {RULES: scan}
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+BLOBS = "blob string, text string"
 FINDINGS = "blob string, rules string, n_assign long, n_access long, n_hex long, base string, spans string"
 
 
 class Ledger:
-    """Findings by blob and version of the rules, and all paths, in a folder that all executors share; made if it isn't there."""
+    """Findings by blob and version of the rules, and all paths, in a folder that all executors share; made if it isn't there.
 
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
-        self.spark = spark
+    rule_sets: functions by rule version, beside ``RULE_SETS``. keep_texts: whether texts are stored, so that other rules can scan them later.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, rule_sets: dict | None = None, keep_texts: bool = False) -> None:
+        self.spark, self.rule_sets, self.keep_texts = spark, RULE_SETS | (rule_sets or {}), keep_texts
         self.folder = folder or f"{shared_dir(spark).rstrip('/')}/fathom/ledger-{uuid.uuid4().hex}"
         spark.createDataFrame([], FINDINGS).write.mode("append").parquet(f"{self.folder}/findings")
+        if keep_texts:
+            spark.createDataFrame([], BLOBS).write.mode("append").parquet(f"{self.folder}/blobs")
 
     def findings(self, rules: str = RULES) -> DataFrame:
         """One row for each blob that was scanned by these rules."""
@@ -84,36 +98,61 @@ class Ledger:
 
     def add(self, docs: DataFrame, rules: str = RULES, version: str | None = None) -> DataFrame:
         """Scans what is new in docs (doc_id, text), a version of the documents; returns (doc_id, blob), its paths."""
+        scanner = self.scanner(rules)
         tune(self.spark)
         named = docs.select(F.col("doc_id").cast("long"), "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
         at = f"{self.folder}/paths/version={version or uuid.uuid4().hex}"
         named.select("doc_id", "blob").write.mode("overwrite").option("compression", "zstd").parquet(at)
         paths = self.spark.read.schema("doc_id long, blob string").parquet(at)
-        # one path of each unseen blob; a null doc_id can't lead back to a row, so those texts are scanned by blob
-        first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(self.findings(rules).select("blob"), "blob", "left_anti")
-        known = first.where("doc_id is not null").select("doc_id", F.col("blob").alias("want"))
+        if self.keep_texts:
+            self.texts_of(docs, named, paths, self.blobs()).write.mode("append").option("compression", "zstd").parquet(f"{self.folder}/blobs")
+        todo = self.texts_of(docs, named, paths, self.findings(rules))
+        todo.mapInArrow(scanned(rules, scanner), FINDINGS).write.mode("append").parquet(f"{self.folder}/findings")
+        return paths
+
+    def texts_of(self, docs: DataFrame, named: DataFrame, paths: DataFrame, known: DataFrame) -> DataFrame:
+        """(blob, text) of one path of each blob that known lacks; a null doc_id can't lead back to a row, so those texts are found by blob."""
+        first = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(known.select("blob"), "blob", "left_anti")
+        wanted = first.where("doc_id is not null").select("doc_id", F.col("blob").alias("want"))
         texts = docs.select(F.col("doc_id").cast("long"), "text")
-        todo = texts.join(known, "doc_id").where(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col("want")).select("want", "text")
+        todo = texts.join(wanted, "doc_id").where(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256) == F.col("want")).select(F.col("want").alias("blob"), "text")
         lost = named.where("doc_id is null").join(first.where("doc_id is null").select("blob"), "blob", "left_semi").select("blob", "text")
-        todo.union(lost).mapInArrow(scanned(rules), FINDINGS).write.mode("append").parquet(f"{self.folder}/findings")
-        return paths
+        return todo.union(lost)
+
+    def scanner(self, rules: str) -> Callable[[str | None], list[tuple[str, int, int]]]:
+        if rules not in self.rule_sets:
+            raise ValueError(f"no rules are bound to {rules!r}")
+        return self.rule_sets[rules]
+
+    def blobs(self) -> DataFrame:
+        """(blob, text): each stored text once."""
+        return self.spark.read.schema(BLOBS).parquet(f"{self.folder}/blobs").dropDuplicates(["blob"])
+
+    def catch_up(self, rules: str = RULES) -> None:
+        """Scans every stored text that these rules haven't scanned, of whatever version."""
+        scanner = self.scanner(rules)
+        if not self.keep_texts:
+            raise ValueError("the ledger keeps no texts: add the versions again")
+        todo = self.blobs().join(self.findings(rules).select("blob"), "blob", "left_anti")
+        todo.mapInArrow(scanned(rules, scanner), FINDINGS).write.mode("append").parquet(f"{self.folder}/findings")
 
     def joined(self, paths: DataFrame, rules: str = RULES) -> DataFrame:
-        """paths (blob, ...) with the findings of their blobs."""
+        """paths (blob, ...), all of them scanned by these rules, with the findings of their blobs."""
         hits = self.findings(rules).where("spans <> ''").drop("rules")
         return paths.join(hits, "blob", "left").fillna({"n_assign": 0, "n_access": 0, "n_hex": 0, "base": "", "spans": ""})
 
     def history(self, rules: str = RULES) -> DataFrame:
-        """Findings of these rules at all paths of all versions."""
-        return self.joined(self.paths(), rules)
+        """Findings of these rules at all paths of all versions; scanned is false, and the findings are null, where these rules saw no text of the blob."""
+        found = self.findings(rules).drop("rules").withColumn("scanned", F.lit(True))
+        return self.paths().join(found, "blob", "left").withColumn("scanned", F.coalesce("scanned", F.lit(False)))
 
 
-def scanned(rules: str):
+def scanned(rules: str, scanner: Callable[[str | None], list[tuple[str, int, int]]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for blob, text in zip(b.column(0), b.column(1)):
-                spans = scan(text.as_py())
+                spans = scanner(text.as_py())
                 base = [s for s in spans if s[0] in BASE]
                 rows.append((blob.as_py(), rules, *(sum(s[0] == k for s in base) for k in BASE), joined(base), joined(spans)))
             types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())

@@ -338,8 +338,32 @@ def test_op4_scans_only_what_is_new(spark, tmp_path):
     spark.read.parquet(f"{ledger.folder}/findings").write.mode("append").parquet(f"{ledger.folder}/findings")  # a repeated append
     ledger.add(second, version="two")  # a retry
     assert held() == whole and secrets.secrets(first, ledger, "one").count() == 3
-    ledger.add(first, "v2", "one")
+    with pytest.raises(ValueError, match="v2"):
+        ledger.add(first, "v2", "one")
+    other = secrets.Ledger(spark, ledger.folder, {"v2": lambda text: [("assign", 0, 1)] if text else []})
+    other.add(first, "v2", "one")
     assert ledger.findings("v2").count() == 2 and ledger.findings().count() == 4 and held() == whole
+    seen = {(x.version, x.doc_id): (x.scanned, x.n_assign) for x in other.history("v2").collect()}
+    assert seen["one", 1] == (True, 1) and seen["two", 4] == (False, None) and seen["two", 9] == (True, 1) and seen["two", 1] == (False, None)
+
+
+def test_op4_unscanned_is_not_clean(spark, tmp_path):
+    """Two rule versions, and a scan that broke off between the writing of paths and of findings."""
+    first = spark.createDataFrame([(1, "token=abcdefgh1"), (2, "b"), (None, "token=abcdefgh2")], "doc_id long, text string")
+    second = spark.createDataFrame([(1, "c"), (3, "token=abcdefgh3")], first.schema)
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"), {"r2": lambda text: [s for s in secrets.scan(text) if s[0] == "assign"]}, keep_texts=True)
+    ledger.add(first, version="a")
+    ledger.add(second, "r2", "b")
+    state = lambda rules: sorted((x.version, str(x.doc_id), x.scanned, x.n_assign) for x in ledger.history(rules).collect())
+    assert state("r2") == [("a", "1", False, None), ("a", "2", False, None), ("a", "None", False, None), ("b", "1", True, 0), ("b", "3", True, 1)]
+    ledger.catch_up("r2")
+    ledger.catch_up("r2")
+    assert state("r2") == [("a", "1", True, 1), ("a", "2", True, 0), ("a", "None", True, 1), ("b", "1", True, 0), ("b", "3", True, 1)] and ledger.findings("r2").count() == 5
+    broken = secrets.Ledger(spark, str(tmp_path / "broken"))
+    spark.createDataFrame([(7, hashlib.sha256(b"token=abcdefgh7").hexdigest())], "doc_id long, blob string").write.parquet(f"{broken.folder}/paths/version=a")
+    assert [x.scanned for x in broken.history().collect()] == [False]
+    broken.add(spark.createDataFrame([(7, "token=abcdefgh7")], first.schema), version="a")
+    assert [(x.scanned, x.n_assign) for x in broken.history().collect()] == [(True, 1)]
 
 
 def test_op4_long_texts():

@@ -172,6 +172,22 @@ TOP = " select item_id, doc_id, score, lexical, dense, place from (select *, row
 
 HYBRID = FUSED + " select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from fused) x where place <= 6"
 
+#: A second search for what the first six documents of a question lack: at most six of its words that none of them has, the rarest first;
+#: the best three other documents by these words alone. {terms}: (item_id, term, rate, df); {held}: (doc_id, term); {weight}: of a posting.
+COMPLEMENT = """,
+    first as (select item_id, doc_id, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from fused) x where place <= 6),
+    had as (select distinct f.item_id, p.term from first f join {held} p on p.doc_id = f.doc_id),
+    gaps as (select * from (select t.*, row_number() over (partition by t.item_id order by t.df, t.term) as nth from {terms} t left anti join had h on h.item_id = t.item_id and h.term = t.term) x where nth <= 6),
+    offers as (select g.item_id, p.doc_id, round(sum({weight}), 6) as score, count(*) as n_terms from {held} p join gaps g on g.term = p.term group by g.item_id, p.doc_id)
+    select item_id, doc_id, score, n_terms, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from offers) x where place <= 3"""
+COMPLEMENTARY = (
+    indexed(FUSED + COMPLEMENT.format(terms="(select w.*, t.df from weighted w join idx_terms t on t.term = w.term)", held="idx_postings", weight="g.rate * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.size / g.mean))")),
+    BM25 + FUSED + COMPLEMENT.format(
+        terms="(select a.item_id, a.term, a.times * i.idf as rate, i.mean, i.df from asked a join (select i.*, c.df from idf i join (select term, count(*) as df from postings group by term) c on c.term = i.term) i on i.term = a.term)",
+        held="postings", weight="g.rate * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.size / g.mean))",
+    ),
+)
+
 QUERIES = {
     "bm25_topk": both(" select item_id, doc_id, score, place from lexical"),
     "bm25_scoped_corpus": ASKED
@@ -191,6 +207,7 @@ QUERIES = {
     + """), 6) as score from asked a join postings p on a.term = p.term join idf i on i.term = p.term group by a.item_id, p.doc_id) y) x where place <= 24""",
     "rrf_fusion": both(FUSED + " select item_id, doc_id, score from fused"),
     "q_hybrid_search": both(HYBRID),
+    "complementary_search": COMPLEMENTARY,
     "hybrid_dense": hybrid("true", TOP),
     "hybrid_dense_scoped": hybrid("lang in ('en', 'de')", TOP),
     "final_dedup_cap": both(FUSED + """ select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from

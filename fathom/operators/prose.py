@@ -89,13 +89,15 @@ def sentences(docs: DataFrame) -> DataFrame:
 
 def numbers(text: str = "text") -> Column:
     """array<struct<number, unit, readings>>: numbers of text outside what holds no value; 1,020 can be read in two ways."""
+    return F.expr(numbers_sql(text))
+
+
+def numbers_sql(text: str) -> str:
     found = f"filter(regexp_extract_all({text}, {quoted('(?:' + '|'.join(NO_VALUES) + ')|(' + PLAIN + '(?:' + UNIT_LIKE + ')?)')}, 1), x -> x <> '')"
     unit = f"regexp_extract(x, {quoted('(' + UNIT_LIKE + ')$')}, 1)"
     words = ", ".join(f"'{w}'" for w in NO_UNITS)
     cut = f"transform({found}, x -> struct(x, trim(translate({unit}, '\u00a0\u202f', '  ')) as u))"
-    return F.expr(
-        f"transform({cut}, y -> struct(regexp_extract(y.x, {quoted(PLAIN)}, 0) as number, if(y.u = '' or lower(y.u) in ({words}), null, y.u) as unit, if(y.x rlike {quoted(GROUPED)}, 2, 1) as readings))"
-    )
+    return f"transform({cut}, y -> struct(regexp_extract(y.x, {quoted(PLAIN)}, 0) as number, if(y.u = '' or lower(y.u) in ({words}), null, y.u) as unit, if(y.x rlike {quoted(GROUPED)}, 2, 1) as readings))"
 
 
 def with_unit(rows: DataFrame, spelling: str, name: str) -> DataFrame:
@@ -183,6 +185,11 @@ def contract(questions: DataFrame, text: str = "text") -> DataFrame:
 
     The first of these kinds that fits: qualitative (why, under what conditions, or what without anything measured), calculation, interval,
     comparison, mapping, value (one quantity), general. Several quantities that nothing takes apart are a failure."""
+    return questions.select("*", F.expr(f"inline({contract_sql(text)})"))
+
+
+def contract_sql(text: str) -> str:
+    """SQL for an array of one struct, the contract of text (SQL)."""
     q = f"lower(coalesce({text}, ''))"
     has = lambda words: f"{q} rlike {quoted(r'(?<!\w)(?:' + words + r')(?!\w)')}"
 
@@ -207,8 +214,7 @@ def contract(questions: DataFrame, text: str = "text") -> DataFrame:
     first = "struct(" + ", ".join(f"{e} as {n}" for n, e in read.items()) + ")"
     second = "struct(" + ", ".join(f"r.{n} as {n}" for n in read) + f", {kind} as kind)"
     third = "struct(" + ", ".join(f"k.{n} as {n}" for n in [*read, "kind"]) + f", {failure} as failure)"
-    let = f"inline(transform(transform(array({first}), r -> {second}), k -> {third}))"  # each value is computed once
-    return questions.select("*", F.expr(let))
+    return f"transform(transform(array({first}), r -> {second}), k -> {third})"  # each value is computed once
 
 
 def q_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

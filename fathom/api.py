@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import dialect
-from fathom.operators import retrieval
+from fathom.operators import prose, retrieval
 from fathom.sources import postings
 
 
@@ -62,6 +62,40 @@ def context(questions: DataFrame, documents: DataFrame, index: postings.Index |
     return over(retrieval.INDEXED + retrieval.PACK[0], benchmark=questions, documents=documents)
 
 
+def query(questions: DataFrame, documents: DataFrame, index: postings.Index | None = None) -> DataFrame:
+    """questions (item_id, text) with what each asks for (kind, quantities, operation, bound, role, unit, subjects, conditions, failure) and hits,
+    array<struct<place, doc_id, score, used>>: the search's documents in order, and the tokens that the context has taken with each that fits."""
+    index = index or postings.build(documents.select("doc_id", "lang", "text"))
+    hits = search(questions, documents, index=index).join(context(questions, documents, index), ["item_id", "doc_id"], "left")
+    held = hits.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("place", "doc_id", "score", "used"))).alias("hits"))
+    return prose.contract(questions).join(held, "item_id", "left")
+
+
+def citation(citations: DataFrame, documents: DataFrame) -> DataFrame:
+    """citations (doc_id, start_at, end_at, digest) with quote and status: ok; missing, if no document has the id; out_of_range, if the span
+    doesn't lie in the text; changed, if the quote's SHA-256 isn't digest."""
+    texts = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"), F.lit(True).alias("_known"))
+    both = citations.join(texts, F.col("doc_id") == F.col("_doc"), "left")
+    inside = (F.col("start_at") >= 0) & (F.col("start_at") < F.col("end_at")) & (F.col("end_at") <= F.length("_text"))
+    quote = F.when(inside, F.expr("substring(_text, cast(start_at + 1 as int), cast(end_at - start_at as int))"))
+    told = both.withColumn("quote", quote)
+    status = F.when(F.col("_known").isNull(), "missing").when(F.col("quote").isNull(), "out_of_range").when(F.sha2("quote", 256) == F.col("digest"), "ok").otherwise("changed")
+    return told.withColumn("status", status).select(*citations.columns, "quote", "status")
+
+
+def readiness(index: postings.Index, documents: DataFrame) -> DataFrame:
+    """One row (n_documents, n_counted, n_indexed, n_unindexed, ready): whether the index counts as many documents as there are, and has
+    postings of each that has words."""
+    spark = documents.sparkSession
+    words = documents.where(F.col("text").rlike("[\\p{L}\\p{N}]")).select("doc_id").distinct()
+    have = spark.table(index.postings).select("doc_id").distinct()
+    counts = [documents.agg(F.count("*").alias("n_documents")), spark.table(index.whole).select(F.col("n").alias("n_counted")), have.agg(F.count("*").alias("n_indexed")), words.join(have, "doc_id", "left_anti").agg(F.count("*").alias("n_unindexed"))]
+    row = counts[0]
+    for other in counts[1:]:
+        row = row.crossJoin(other)  # rows of one
+    return row.withColumn("ready", (F.col("n_documents") == F.col("n_counted")) & (F.col("n_unindexed") == 0))
+
+
 def outline(documents: DataFrame) -> DataFrame:
     """(doc_id, section, n_blocks, n_chars) of every section."""
     from fathom.operators import corpus

@@ -54,11 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors. codec: lz4_raw for tables of hashes, which
+    don't shrink, takes no memory outside the heap."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/fathom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -116,7 +117,7 @@ def settled(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
 
 
-def linked(rows: DataFrame, attributes: tuple[str, ...], alike: Column, verified: Callable[[DataFrame, str], DataFrame], name: str, group: int = GROUP) -> DataFrame:
+def linked(rows: DataFrame, attributes: tuple[str, ...], alike: Column, verified: Callable[[DataFrame, str], DataFrame], name: str, group: int = GROUP, codec: str = "zstd") -> DataFrame:
     """Links (a, b) between ids that connect all linked members of the same key, without a row for each pair of a large group.
 
     rows: (key, ref long, id, own, n, weight, attributes): member ref, named id, has key with n members in all; two members can be
@@ -124,7 +125,7 @@ def linked(rows: DataFrame, attributes: tuple[str, ...], alike: Column, verified
     links among pairs (a, b) of refs. Members of keys of at most ``group`` are compared with each other; of larger ones with the
     heaviest owner only, and then, where that leaves a key in several components, those of different components.
     """
-    rows = saved(rows.select("key", "ref", "id", "own", "n", "weight", *attributes), f"{name}-members")
+    rows = saved(rows.select("key", "ref", "id", "own", "n", "weight", *attributes), f"{name}-members", codec)
     sides = lambda df, x, *columns: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in columns))
     pair = (F.least("ref_a", "ref_b").alias("a"), F.greatest("ref_a", "ref_b").alias("b"))
 
@@ -143,6 +144,6 @@ def linked(rows: DataFrame, attributes: tuple[str, ...], alike: Column, verified
         return found
     near = components(found, f"{name}-groups")
     large = large.join(near, large.id == near.node, "left").select("key", "ref", "own", *attributes, F.coalesce("component", "id").alias("part"))
-    large = saved(large, f"{name}-parts")
+    large = saved(large, f"{name}-parts", codec)
     mixed = large.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
     return found.union(verified(meeting(large.join(mixed, "key", "left_semi"), F.col("part_a") != F.col("part_b")), f"{name}-rest"))

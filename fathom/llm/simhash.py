@@ -182,12 +182,12 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, group: int = GROUP
             yield b.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = saved(pairs.distinct(), f"{name}-asked")
+        pairs = saved(pairs.distinct(), f"{name}-asked", "lz4_raw")
         asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
         known = sifted(held.select("row", "size", "wide"), "row", asked).dropDuplicates(["row"])
         left, right = (known.withColumnsRenamed({"row": x, "size": f"size_{x}", "wide": f"wide_{x}"}) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
-        pairs = saved(both.mapInArrow(near, "a long, b long"), f"{name}-close")
+        pairs = saved(both.mapInArrow(near, "a long, b long"), f"{name}-close", "lz4_raw")
         asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b"))
         texts = sifted(rowed(docs), "row", asked).groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
         texts = saved(texts.select("row", F.struct("doc_id", "row").alias("id"), "text"), f"{name}-texts")
@@ -195,7 +195,7 @@ def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, group: int = GROUP
         both = pairs.join(left, "a").join(right, "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "text_a", "text_b")
         return saved(both.mapInArrow(check, "a struct<doc_id:long,row:long>, b struct<doc_id:long,row:long>"), name)
 
-    return linked(rows, ("size", "at", *(f"odd{i}" for i in range(ODD))), alike, verified, "copies", group).union(same)
+    return linked(rows, ("size", "at", *(f"odd{i}" for i in range(ODD))), alike, verified, "copies", group, "lz4_raw").union(same)
 
 
 def groups(docs: DataFrame) -> DataFrame:

@@ -68,15 +68,14 @@ def places(n: str) -> str:
 
 def with_keys(lines: DataFrame) -> DataFrame:
     """(ha, key, own) of lines (ha, line) of SIMILAR words or more: a row for each key, and whether it is a segment of the line itself. A key
-    that stands in a line twice has two rows. The places of lines of fewer than TABLE words come from a table of as many rows, so that
-    what makes the keys is generated code; longer lines, of TABLE - 1 letters at least, compute theirs."""
-    split = F.split("line", " ", -1)
+    that stands in a line twice has two rows. The places of lines of fewer than TABLE words come from a table of as many rows; what
+    makes the keys of a line is generated code."""
+    words = lines.select("ha", F.split("line", " ", -1).alias("words")).where(F.size("words") >= SIMILAR)
     known = lines.sparkSession.range(SIMILAR, TABLE).selectExpr("cast(id as int) as _n", f"{places('cast(id as int)')} as _places")
-    short = lines.select("ha", split.alias("words")).join(F.broadcast(known), F.size("words") == F.col("_n")).select("ha", "words", "_places")
-    long = lines.where(F.length("line") >= TABLE - 1).select("ha", split.alias("words")).where(F.size("words") >= TABLE).select("ha", "words", F.expr(places("size(words)")).alias("_places"))
-    rows = [x.select("ha", "words", F.posexplode_outer("_places").alias("_at", "_x")) for x in (short, long)]  # not outer, Spark would test the places of every line first
-    key, own = F.expr("xxhash64(_x.m, _x.i, slice(words, _x.at, _x.size))"), F.expr(f"_at <= {edits_of('size(words)')}")
-    return rows[0].select("ha", key.alias("key"), own.alias("own")).union(rows[1].select("ha", key, own))
+    both = words.join(F.broadcast(known), F.size("words") == F.col("_n"), "left")
+    made = both.select("ha", "words", F.coalesce("_places", F.expr(places("size(words)"))).alias("_places"))
+    rows = made.select("ha", "words", F.posexplode_outer("_places").alias("_at", "_x"))  # not outer, Spark would test the places of every line first
+    return rows.select("ha", F.expr("xxhash64(_x.m, _x.i, slice(words, _x.at, _x.size))").alias("key"), F.expr(f"_at <= {edits_of('size(words)')}").alias("own"))
 
 
 def word_bits(words: str = "words") -> list[Column]:
@@ -122,7 +121,8 @@ def sharing(docs: DataFrame) -> DataFrame:
     # both sides of the join read this aggregation, whose exchange runs once and holds texts, which are smaller than their keys
     distinct = named(docs.where("doc_id is not null")).select("ha", "hb", "line").distinct()
     keyed = with_keys(distinct.select("ha", "line"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some").select("key", "n")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some")
+    shared = saved(shared.select("key", "n"), "line-shared-keys")  # it is read twice
     rows = sifted(keyed, "key", shared).join(shared, "key").groupBy("key", "ha").agg(F.max("own").alias("own"), F.max("n").alias("n"))
     return saved(rows.select("key", "ha", "own", "n"), "line-keys")
 

@@ -147,7 +147,7 @@ def dense_views(spark: SparkSession, sf_dir: str, scope: str) -> None:
     """The documents' and questions' vectors of the index as dense(item_id, doc_id, score, place), within a scope (SQL over doc_id and lang)."""
     own = dialect(INDEXED, 0)
     register(spark, sf_dir, own)
-    postings.of(spark, table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).views(spark)
+    postings.of(spark, table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), dense=True).views(spark)
     asked = spark.sql(own + postings.vectors_of("(select item_id, term, times as tf from asked)", "idx_terms", "idx_whole", "item_id").replace("select item_id,", " select item_id,", 1))
     nearest(asked, spark.table("idx_vectors").where(scope)).createOrReplaceTempView("dense")
 

@@ -1,11 +1,11 @@
 """A stored postings index of a collection, dealt by document, and text vectors beside it.
 
-``build`` reads the texts once and writes three tables:
+``build`` reads the texts once for words and writes these tables:
 
 * postings(doc_id, lang, term, tf, size): bucketed by doc_id. All of a document's postings lie in one bucket, so scores are summed
   without a shuffle, and a common word is spread over all buckets like the documents that have it.
 * terms(term, df, axis, sign): in how many documents a word stands, and the axis of the text vector it counts towards.
-* vectors(doc_id, lang, vector): a unit vector of AXES components for each document with words, bucketed like the postings: words
+* vectors(doc_id, lang, vector), made only when a dense search asks for it: a unit vector of AXES components for each document with words, bucketed like the postings: words
   weigh (1 + ln tf) ln(1 + n / df) and are dealt to axes by a hash, with a sign.
 
 ``of`` keeps an index for each state of a collection (files, sizes, times of change) in the session, so that all queries share one.
@@ -18,7 +18,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,14 +39,22 @@ class Index:
 
     postings: str
     terms: str
-    vectors: str
     whole: str
+    buckets: int
+    vectors: str | None = None
 
     def views(self, spark: SparkSession) -> None:
-        """Makes the index readable as idx_postings, idx_terms, idx_vectors and idx_whole."""
-        for name in ("postings", "terms", "vectors", "whole"):
+        """Makes the index readable as idx_postings, idx_terms, idx_whole and, if it has vectors, idx_vectors."""
+        for name in ("postings", "terms", "whole", *(["vectors"] if self.vectors else [])):
             spark.table(getattr(self, name)).createOrReplaceTempView(f"idx_{name}")
 
+    def dense(self, spark: SparkSession) -> Index:
+        """The index with vectors."""
+        if self.vectors:
+            return self
+        rows = spark.sql(vectors_of(self.postings, self.terms, self.whole, "doc_id, lang"))
+        return replace(self, vectors=written(rows, "vectors", self.buckets, "doc_id"))
+
 
 def folder(spark: SparkSession) -> str:
     """Where indexes lie: the folder that ``spark.checkpoint.dir`` names, or a temp folder where all runs in one process."""
@@ -75,10 +83,10 @@ def build(documents: DataFrame) -> Index:
     words = documents.select("doc_id", "lang", F.expr(dialect("<FOLDED:coalesce(text, '')>", 0)).alias("words"))
     rows = words.repartition(buckets, "doc_id").select("doc_id", "lang", F.size("words").alias("size"), F.explode("words").alias("term"))
     postings = written(rows.groupBy("doc_id", "lang", "term").agg(F.count("*").alias("tf"), F.max("size").cast("long").alias("size")), "postings", buckets, "term")
-    whole = written(words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")), "whole")
+    total = spark.table(postings).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    whole = written(documents.agg(F.count("*").alias("n")).crossJoin(total).selectExpr("n", "try_divide(cast(total as double), n) as mean"), "whole")  # rows of one
     terms = written(spark.table(postings).groupBy("term").agg(F.count("*").alias("df")).selectExpr("term", "df", f"{AXIS[0]} as axis", f"{SIGN} as sign"), "terms")
-    vectors = written(spark.sql(vectors_of(postings, terms, whole, "doc_id, lang")), "vectors", buckets, "doc_id")
-    return Index(postings, terms, vectors, whole)
+    return Index(postings, terms, whole, buckets)
 
 
 def vectors_of(rows: str, terms: str, whole: str, key: str) -> str:
@@ -91,11 +99,13 @@ def vectors_of(rows: str, terms: str, whole: str, key: str) -> str:
 _KEPT: dict[tuple, Index] = {}
 
 
-def of(spark: SparkSession, documents: DataFrame) -> Index:
-    """The index of a collection read from files; built when these files are first seen by the session."""
+def of(spark: SparkSession, documents: DataFrame, dense: bool = False) -> Index:
+    """The index of a collection read from files; built when these files are first seen by the session, with vectors when they are first asked for."""
     seen = documents.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").alias("at")).distinct()
     state = seen.agg(F.count("*"), F.sum(F.xxhash64("file_path", "file_size", "at").cast("decimal(38,0)"))).first()
     key = (spark.sparkContext.applicationId, *state)
     if key not in _KEPT:
         _KEPT[key] = build(documents)
+    if dense:
+        _KEPT[key] = _KEPT[key].dense(spark)
     return _KEPT[key]

@@ -24,7 +24,7 @@ def docs_of(spark, seed=1, n=60):
 
 def test_index(spark):
     rows = docs_of(spark)
-    index = postings.build(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5))
+    index = postings.build(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(5)).dense(spark)
     want = {(i, t): n for i, _, text in rows for t, n in Counter(re.findall(r"[^\W_]+", (text or "").lower().replace("é", "e"))).items()}
     got = spark.table(index.postings).collect()
     assert {(p.doc_id, p.term): p.tf for p in got} == want and len(got) == len(want)
@@ -57,7 +57,8 @@ def test_index_is_kept_while_files_stay(spark, tmp_path):
     path = str(tmp_path / "d.parquet")
     spark.createDataFrame(docs_of(spark), "doc_id long, lang string, text string").coalesce(1).write.parquet(path)
     first = postings.of(spark, spark.read.parquet(path))
-    assert postings.of(spark, spark.read.parquet(path)) == first
+    assert postings.of(spark, spark.read.parquet(path)) == first and first.vectors is None
+    assert postings.of(spark, spark.read.parquet(path), dense=True).postings == first.postings and postings.of(spark, spark.read.parquet(path)).vectors
     spark.createDataFrame([(1000, "en", "more")], "doc_id long, lang string, text string").write.mode("append").parquet(path)
     second = postings.of(spark, spark.read.parquet(path))
     assert second != first and spark.table(second.postings).where("doc_id = 1000").count() == 1

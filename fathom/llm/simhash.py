@@ -83,7 +83,8 @@ def links(reps: DataFrame, radius: int = 3) -> DataFrame:
     differ = F.col("fa").bitwiseXOR(F.col("fb"))
     first = F.bit_count(F.shiftrightunsigned(differ, SEGMENT)) > BALL
     near = (F.col("fa") < F.col("fb")) & (F.bit_count(differ) <= radius)
-    return table.alias("t").join(probes.alias("p"), (F.col("t.key") == F.col("p.key")) & near & F.when(F.shiftrightunsigned("t.key", SEGMENT) == 0, F.lit(True)).otherwise(first)).select("a", "b")
+    # reps' file is small, but there are 66 probes a row: chosen by the file's size, a broadcast would bring them all to the driver
+    return table.alias("t").join(probes.hint("merge").alias("p"), (F.col("t.key") == F.col("p.key")) & near & F.when(F.shiftrightunsigned("t.key", SEGMENT) == 0, F.lit(True)).otherwise(first)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = 3) -> DataFrame:

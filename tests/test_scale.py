@@ -25,3 +25,11 @@ def test_probes_of_fingerprints_are_not_broadcast(spark):
     got = simhash.links(reps)
     assert "Broadcast" not in plan(got)
     assert {tuple(r) for r in got.collect()} == {(1, 2), (1, 4), (2, 3)}
+
+
+@pytest.mark.parametrize("name", ["alias_fallback", "mandatory_evidence"])
+def test_words_of_sentences_are_not_broadcast(spark, name):
+    import re
+
+    text = plan(plans.queries()[name](spark, DATA))
+    assert not re.search(r"BroadcastHashJoin \[(word|code)#\d+\], \[(word|code)#\d+\], (Inner|LeftOuter), BuildRight", text)

@@ -27,9 +27,12 @@ QUERIES = {
         "select m.user_id, m.methods, s.sources from (select user_id, string_agg(event_type, ',' order by event_type) as methods from (select distinct user_id, event_type from events where event_type <> 'view') a group by user_id) m join (select user_id, string_agg(cast(event_id as varchar), ',' order by event_id) as sources from (select distinct user_id, event_id from events where event_type <> 'view') b group by user_id) s on s.user_id = m.user_id",
     ),
     # Orders stand for tables on pages of ten orders; a table goes on if headers and columns are the last one's and its page is the same or the next.
+    # Tables are dealt by ranges of keys; the last keys of a range are looked at in the next one too, as no page reaches further.
     "table_continuation": (
-        """select l_orderkey, header, n_columns, coalesce(header = lag(header) over w and n_columns = lag(n_columns) over w and page - lag(page) over w <= 1, false) as continued from (select l_orderkey, l_orderkey div 10 as page, min(concat(l_returnflag, l_linestatus)) as header, count(*) as n_columns
-            from lineitem group by l_orderkey) t window w as (order by l_orderkey)""",
+        """with t as (select l_orderkey, l_orderkey div 10 as page, min(concat(l_returnflag, l_linestatus)) as header, count(*) as n_columns from lineitem group by l_orderkey),
+            dealt as (select *, l_orderkey - pmod(l_orderkey, 10000) as span, true as own from t union all select *, l_orderkey - pmod(l_orderkey, 10000) + 10000, false from t where pmod(l_orderkey, 10000) >= 9900)
+            select l_orderkey, header, n_columns, continued from (select *, coalesce(header = lag(header) over w and n_columns = lag(n_columns) over w and page - lag(page) over w <= 1, false) as continued
+            from dealt window w as (partition by span order by l_orderkey)) x where own""",
         """with t as (select l_orderkey, l_orderkey // 10 as page, min(l_returnflag || l_linestatus) as header, count(*) as n_columns, row_number() over (order by l_orderkey) as r from lineitem group by l_orderkey)
             select a.l_orderkey, a.header, a.n_columns, b.r is not null as continued from t a left join t b on b.r = a.r - 1 and b.header = a.header and b.n_columns = a.n_columns and a.page - b.page in (0, 1)""",
     ),

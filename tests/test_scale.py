@@ -33,3 +33,11 @@ def test_words_of_sentences_are_not_broadcast(spark, name):
 
     text = plan(plans.queries()[name](spark, DATA))
     assert not re.search(r"BroadcastHashJoin \[(word|code)#\d+\], \[(word|code)#\d+\], (Inner|LeftOuter), BuildRight", text)
+
+
+def test_tables_continue_across_ranges(spark, tmp_path):
+    keys = [9899, 9990, 9999, 10000, 10019, 10040, 20005, -5, 12]
+    spark.createDataFrame([(k, "A", "F") for k in keys], "l_orderkey long, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = plans.queries()["table_continuation"](spark, str(tmp_path))
+    assert "SinglePartition" not in plan(got)
+    assert {r.l_orderkey for r in got.collect() if r.continued} == {9999, 10000, 10019, 12}

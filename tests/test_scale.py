@@ -36,8 +36,16 @@ def test_words_of_sentences_are_not_broadcast(spark, name):
 
 
 def test_tables_continue_across_ranges(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/part.parquet").write.parquet(str(tmp_path / "part.parquet"))  # register sees its name in "partition"
     keys = [9899, 9990, 9999, 10000, 10019, 10040, 20005, -5, 12]
     spark.createDataFrame([(k, "A", "F") for k in keys], "l_orderkey long, l_returnflag string, l_linestatus string").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = plans.queries()["table_continuation"](spark, str(tmp_path))
     assert "SinglePartition" not in plan(got)
     assert {r.l_orderkey for r in got.collect() if r.continued} == {9999, 10000, 10019, 12}
+
+
+def test_overlaps_make_no_row_for_each_pair(spark, tmp_path):
+    rows = [(i, "b", 5, 900.0) for i in range(300)] + [(300, "b", 14, 999.99), (301, "b", 15, 900.0), (302, "b", 5, 1000.0), (303, None, 5, 900.0)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.id: (r.class_id, r.n_links, r.overlap) for r in plans.queries()["box_overlap"](spark, str(tmp_path)).collect()}
+    assert got[7] == (0, 300, 299.00001) and got[300] == (300, 302, 0.10308) and got[303] == (303, 0, 0.0) and len(got) == 304

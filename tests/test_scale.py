@@ -49,3 +49,28 @@ def test_overlaps_make_no_row_for_each_pair(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_brand string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
     got = {r.id: (r.class_id, r.n_links, r.overlap) for r in plans.queries()["box_overlap"](spark, str(tmp_path)).collect()}
     assert got[7] == (0, 300, 299.00001) and got[300] == (300, 302, 0.10308) and got[303] == (303, 0, 0.0) and len(got) == 304
+
+
+def test_best_keeps_few_rows_of_all_pairs(spark):
+    from fathom.operators import retrieval
+
+    rows = [(i, ["en" if i % 2 else "de"], [(1, 1 + i % 3, 10), (2, 1, 10)][: 1 + i % 2]) for i in range(500)]
+    lists = spark.createDataFrame(rows, "doc_id long, langs array<string>, held array<struct<term:long,tf:long,size:long>>").coalesce(1)
+    asked = spark.createDataFrame([(7, 1, 0.5, 12.0), (7, 2, 0.25, 12.0), (8, 2, 1.0, 12.0), (9, 3, 1.0, 12.0)], "item_id long, term long, rate double, mean double")
+    got = retrieval.best(lists, asked, 3, docs=64).collect()
+    weigh = lambda held, rates: round(sum(rates[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * s / 12)) for t, f, s in held if t in rates), 6)
+    assert len(got) <= 3 * 2 * 2 * 2
+    for item, rates in {7: {1: 0.5, 2: 0.25}, 8: {2: 1.0}}.items():
+        for lang in ("en", "de"):
+            all_ = [(-weigh(h, rates), d, sum(t in rates for t, _, _ in h)) for d, of, h in rows if lang in of and any(t in rates for t, _, _ in h)]
+            mine = sorted((-r.score, r.doc_id, r.n) for r in got if r.item_id == item and r.lang == lang)
+            assert [x[1:] for x in mine][:3] == [x[1:] for x in sorted(all_)][:3]
+            assert {(-n, d) for _, d, n in mine} >= set(sorted((-n, d) for _, d, n in all_)[:3])
+
+
+def test_nearest_vectors_are_multiplied_in_blocks(spark, tmp_path):
+    rows = [(0, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [0.5, 0.5]), (52, None), (53, [None, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = plans.queries()["dense_topk"](spark, str(tmp_path))
+    assert "MapInArrow" in plan(df)
+    assert [tuple(r) for r in df.orderBy("query_id", "place").collect()] == [(0, 51, 0.5, 1), (0, 50, 0.0, 2), (0, 52, None, 3), (0, 53, None, 4), (50, 51, 0.5, 1), (50, 0, 0.0, 2), (50, 52, None, 3), (50, 53, None, 4)]

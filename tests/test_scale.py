@@ -74,3 +74,22 @@ def test_nearest_vectors_are_multiplied_in_blocks(spark, tmp_path):
     df = plans.queries()["dense_topk"](spark, str(tmp_path))
     assert "MapInArrow" in plan(df)
     assert [tuple(r) for r in df.orderBy("query_id", "place").collect()] == [(0, 51, 0.5, 1), (0, 50, 0.0, 2), (0, 52, None, 3), (0, 53, None, 4), (50, 51, 0.5, 1), (50, 0, 0.0, 2), (50, 52, None, 3), (50, 53, None, 4)]
+
+
+def test_index_has_a_row_for_each_document(spark):
+    """Postings are arrays of a document's row, counted without an aggregation by word; rows of one doc_id and lang are one document."""
+    from fathom.sources import postings
+
+    rows = [(1, "en", "b a b"), (1, "en", "a c"), (1, "de", "a"), (2, None, "x"), (3, "en", ""), (4, "en", None)]
+    index = postings.build(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3))
+    lists = {(r.doc_id, r.lang): r for r in spark.table(index.lists).collect()}
+    assert len(lists) == 5 and lists[1, "en"].n == 2 and lists[1, "en"].total == 5 and lists[3, "en"].terms == []
+    got = {tuple(r) for r in spark.table(index.postings).collect()}
+    assert got == {(1, "en", "a", 2, 3), (1, "en", "b", 2, 3), (1, "en", "c", 1, 2), (1, "de", "a", 1, 1), (2, None, "x", 1, 1)}
+    assert tuple(spark.table(index.whole).first()) == (6, 7 / 6)
+
+
+def test_second_search_reads_only_the_questions_words_of_first_documents():
+    from fathom.operators import retrieval
+
+    assert retrieval.HAD in retrieval.COMPLEMENT.format(terms="t", held="held", weight="0") and "array_intersect(q.terms, p.terms)" in retrieval.HAD_OWN

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fathom.functions import dialect
+from fathom.functions import dialect, flagged, flags
 from fathom.functions.arrow import FORMS
 from fathom.functions.words import STOPWORDS
 from fathom.operators import prose, retrieval
@@ -21,6 +21,7 @@ MOST_ROWS = 12
 CHUNK = 10_000
 SEED = 5
 FUZZY = 0.8
+BEGINS = 1 << 17
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -170,7 +171,13 @@ def support_ledger(claims: DataFrame, sources: DataFrame, n: int = SEED) -> Data
     held = sources.where("text is not null").select("doc_id", words_of("text").alias("words"))
     lengths = F.expr(f"filter(sequence(1, {n}), k -> k <= size(words))")
     asked = runs.select("k").distinct()  # n lengths at most
-    theirs = held.select("doc_id", "words", F.explode(lengths).alias("k")).join(asked, "k", "left_semi").select("doc_id", F.expr("explode(transform(sequence(1, size(words) - k + 1), i -> array_join(slice(words, i, k), ' ')))").alias("run"))
+    # a source's run is written out only if its first two words, or its one, begin a claim's run of that length
+    known = f"claim_runs_{uuid.uuid4().hex}"
+    runs.selectExpr("k", "split(run, ' ') as w").selectExpr("if(k = 1, xxhash64(k, w[0]), xxhash64(k, w[0], w[1])) as h").createOrReplaceTempView(known)
+    begins = claims.sparkSession.sql(flags(f"select h from {known}", BEGINS))
+    begun = flagged("if(k = 1, xxhash64(k, words[i - 1]), xxhash64(k, words[i - 1], get(words, i)))", BEGINS)
+    theirs = held.select("doc_id", "words", F.explode(lengths).alias("k")).join(asked, "k", "left_semi").crossJoin(F.broadcast(begins))
+    theirs = theirs.select("doc_id", F.expr(f"explode(transform(filter(sequence(1, size(words) - k + 1), i -> {begun}), i -> array_join(slice(words, i, k), ' ')))").alias("run"))
     pairs = theirs.join(runs.select("run").distinct(), "run", "left_semi").distinct().join(runs, "run")
     spans = pairs.groupBy("claim", "doc_id", "n_words", "k").agg(F.sort_array(F.collect_set("at")).alias("at"))
     covered = F.expr("aggregate(at, named_struct('end', 0, 'n', 0, 'spans', 0), (s, x) -> named_struct('end', x + k, 'n', s.n + x + k - greatest(s.end, x), 'spans', s.spans + if(x > s.end or s.spans = 0, 1, 0)))")

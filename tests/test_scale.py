@@ -93,3 +93,14 @@ def test_second_search_reads_only_the_questions_words_of_first_documents():
     from fathom.operators import retrieval
 
     assert retrieval.HAD in retrieval.COMPLEMENT.format(terms="t", held="held", weight="0") and "array_intersect(q.terms, p.terms)" in retrieval.HAD_OWN
+
+
+def test_flags_lose_no_hash(spark):
+    """What begins a run that is asked for is flagged, so only such runs are written out (recall_at_k, mrr_at_10, claim_support)."""
+    from fathom.functions import flagged, flags
+
+    one = spark.sql(flags("select xxhash64(id) as h from range(50)", 1024))
+    got = spark.range(2000).crossJoin(one).selectExpr("id", f"{flagged('xxhash64(id)', 1024)} as f").where("f").collect()
+    assert {r.id for r in got} >= set(range(50)) and len(got) < 400
+    none = spark.sql(flags("select xxhash64(id) as h from range(0)", 1024))
+    assert not spark.range(50).crossJoin(none).selectExpr(f"{flagged('xxhash64(id)', 1024)} as f").where("f").count()

@@ -32,6 +32,7 @@ NO_VALUES = (
     r"\[S\d+\]",
     r"(?m:^[ \t>*#_-]*\d+[.)](?=\s))",
 )
+DIGIT = "[0-9]"  # every form of a number holds one
 PLAIN = r"(?<![\w.,])(?:\d{1,3}(?:[ \u00a0\u202f]\d{3})+|\d+)(?:[.,]\d+)?(?![.,]?\d)"
 UNIT_LIKE = r"[ \u00a0\u202f]?(?:%|‰|°[CF]?|[A-Za-zµΩ]{2,8}[²³]?|[AVWmgshlLKNJT])(?!\w)"
 GROUPED = r"^[1-9]\d*[.,]\d{3}(?!\d)"
@@ -141,7 +142,7 @@ def relations(lines: DataFrame, text: str = "sentence", bare: bool = False) -> D
     chosen = chosen.when(F.size(parts["single"]) > 1, F.struct(F.lit("single").alias("form"), parts["single"].alias("parts")))
     if bare:
         chosen = chosen.when(F.size(parts["bare"]) == 3, F.struct(F.lit("bare").alias("form"), parts["bare"].alias("parts")))
-    cut = lines.withColumn("_c", chosen).where("_c is not null")
+    cut = lines.where(F.col(text).rlike(DIGIT)).withColumn("_c", chosen).where("_c is not null")
     at = cut.select(*kept, F.col("_c.form").alias("_form"), F.col("_c.parts").alias("_parts"), F.expr("explode(filter(sequence(0, size(_c.parts) - 1), i -> i % 2 = 1))").alias("_i"))
     at = at.select(*kept, "_form", F.expr("_parts[_i]").alias("quote"), F.expr("array_join(slice(_parts, 1, _i), '')").alias("_before"), F.expr("array_join(slice(_parts, _i + 2, size(_parts)), '')").alias("_after"))
     named = "case " + " ".join(f"when _form = 'interval' and quote rlike {quoted('^(?:' + p + ')$')} then '{n}'" for n, p in INTERVALS.items()) + " else _form end"
@@ -240,7 +241,8 @@ def q_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of every sentence of the documents and of the conversations' turns."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_id"), "text")
     talks = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.lit("c"), "conv_id", "turn").alias("doc_id"), "text")
-    got = relations(sentences(docs.union(talks)).drop("row"), bare=True)
+    texts = docs.union(talks).where(F.col("text").rlike(DIGIT))  # others have no relation, so their sentences need no places
+    got = relations(sentences(texts).drop("row"), bare=True)
     return got.select("doc_id", "place", "kind", "form", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "unit", "label", "condition_key", "status", "issue", (F.col("start_at") + F.col("rel_start")).cast("long").alias("start_at"), "quote")
 
 

@@ -3,11 +3,34 @@
 Where the tables have no such thing, a column stands for it, as the comments say; rules and limits are the stated ones.
 """
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathom.functions import dialect
+from fathom.sources import table
+
 LINES = "select doc_id, pos, start_at, start_at + length(line) as end_at, line from (select doc_id, pos, line, cast(sum(length(line) + 1) over (partition by doc_id order by pos rows unbounded preceding) - length(line) - 1 as bigint) as start_at from (<BLOCKS>) b) l"
 
 #: The reader's page, the last of a query's deltas that stay, the most combinations, cells and characters of a projection.
 PAGE, DELTAS, MOST_PAIRS, MOST_CELLS, MOST_CHARS, PARENT = 50, 512, 256, 1000, 200_000, 900
 
+#: Documents whose counts of shared words one task holds at a time.
+COUNTED = 2000
+
+
+def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a passage of the benchmark and a document that share ten words or more. The passages' words are broadcast; documents are
+    dealt once, so many to a task, and their words, one row each, are counted where they lie."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = documents.repartition(documents.count() // COUNTED + 1, "doc_id")
+    words = dialect("array_distinct(<WORDS:text>)", 0)
+    items = table(spark, sf_dir, "benchmark").selectExpr("item_id", f"{words} as words").selectExpr("item_id", "size(words) as size", "explode(words) as term")
+    known = F.broadcast(items.select("term").distinct())
+    asked = documents.selectExpr("doc_id", f"explode({words}) as term").join(known, "term", "left_semi").distinct()
+    both = asked.join(F.broadcast(items), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.max("size").alias("size"))
+    return both.where("shared >= 10").select("item_id", "doc_id", "shared", F.expr("round(shared / size, 3)").alias("ratio"))
+
+
 QUERIES = {
     # Selected: the second quarter of each text. A line's part in it, cut out of the line here and out of the whole text there.
     "span_clipping": (
@@ -73,8 +96,7 @@ QUERIES = {
         "select doc_id, split_part(m, '=', 1) as name, split_part(m, '=', 2) as value, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z_]+=[A-Za-z0-9]+')) as m from documents) x group by doc_id, name, value",
     ),
     "lexical_overlap": (
-        """select b.item_id, d.doc_id, count(*) as shared, round(count(*) / max(b.size), 3) as ratio from (select item_id, size(words) as size, explode(words) as term from (select item_id, array_distinct(<WORDS:text>) as words from benchmark) q) b
-            join (select distinct doc_id, <EX>(<WORDS:text>) as term from documents) d on b.term = d.term group by b.item_id, d.doc_id having count(*) >= 10""",
+        lexical_overlap,
         """select item_id, doc_id, len(list_intersect(q, w)) as shared, round(len(list_intersect(q, w)) / cast(len(q) as double), 3) as ratio from (select item_id, list_distinct(<WORDS:text>) as q from benchmark) b, (select doc_id, list_distinct(<WORDS:text>) as w from documents) d where len(list_intersect(q, w)) >= 10""",
     ),
     # Vectors stand for a cache under their number: texts whose number has none are computed, once for equal texts.

@@ -16,6 +16,12 @@ def plan(df) -> str:
     return out.getvalue()
 
 
+def test_overlap_is_counted_where_documents_lie(spark):
+    text = plan(plans.queries()["lexical_overlap"](spark, DATA))
+    assert "REPARTITION_BY_NUM" in text and "hashpartitioning(term" not in text.split("REPARTITION_BY_NUM")[0]
+    assert "hashpartitioning(item_id" not in text
+
+
 @pytest.mark.parametrize("text", ["from 3 V to 5 V", "min. 2 mA, max. 4 mA", "12", "± 3 V", "no number", "", None])
 def test_relations_need_a_digit(spark, text):
     lines = spark.createDataFrame([(1, text)], "doc_id long, sentence string")

@@ -6,6 +6,7 @@ Each operator works on all questions at once and never gathers a document or a q
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -243,10 +244,10 @@ def question_set(docs: DataFrame, seed: int = 20260930, quotas: dict[str, int] |
     filled up to its quota in the order of a seeded hash, with other codes for each. split: documents are held out by a hash, half of them.
     """
     quotas = QUOTAS if quotas is None else quotas
-    codes = docs.where("text is not null").select("doc_id", F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(text, {prose.quoted(CODE)}, 0), x -> upper(x)))")).alias("code"))
+    # codes without a digit are neither asked nor stand for one that is
+    codes = docs.where(F.col("text").rlike(prose.DIGIT)).select("doc_id", F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(text, {prose.quoted(CODE)}, 0), x -> upper(x)))")).alias("code"))
     known = codes.groupBy("code").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
     single = known.where("doc_id = last and length(code) >= 4 and code rlike '[A-Z]' and code rlike '[0-9]'").select("code", "doc_id")
-    order = lambda key, part: F.row_number().over(Window.partitionBy(part).orderBy(drawn(key, seed), key))
 
     # codes are dealt to the categories by their hash
     share = single.withColumn("category", F.expr("element_at(array('identifier', 'out_of_scope', 'no_answer'), cast(pmod(xxhash64(code), 3) + 1 as int))"))
@@ -259,12 +260,16 @@ def question_set(docs: DataFrame, seed: int = 20260930, quotas: dict[str, int] |
     said = prose.sentences(docs).select("doc_id", F.col("sentence").alias("code")).where("size(split(code, ' ')) >= 8")
     alone = said.groupBy("code").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
     scope = lambda c: F.col(c).cast("string")
-    pool = share.where("category = 'identifier'").select("category", "code", "doc_id", scope("doc_id").alias("scope"), F.col("doc_id").alias("expected"))
-    pool = pool.union(elsewhere.select("category", "code", "doc_id", scope("scope"), F.lit(None).cast("long")))
-    pool = pool.union(absent.select(F.lit("no_answer"), "o.other", "o.doc_id", F.lit("library"), F.lit(None).cast("long")))
-    pool = pool.union(alone.select(F.lit("passage"), "code", "doc_id", F.lit("library"), F.col("doc_id")))
-    limit = F.expr("case category " + " ".join(f"when '{c}' then {n}" for c, n in quotas.items()) + " else 0 end")
-    chosen = pool.withColumn("place", order("code", "category")).where((F.col("place") <= max(quotas.values(), default=0)) & (F.col("place") <= limit))
+    pools = {
+        "identifier": share.where("category = 'identifier'").select("code", "doc_id", scope("doc_id").alias("scope"), F.col("doc_id").alias("expected")),
+        "out_of_scope": elsewhere.select("code", "doc_id", scope("scope").alias("scope"), F.lit(None).cast("long").alias("expected")),
+        "no_answer": absent.select(F.col("o.other").alias("code"), "o.doc_id", F.lit("library").alias("scope"), F.lit(None).cast("long").alias("expected")),
+        "passage": alone.select("code", "doc_id", F.lit("library").alias("scope"), F.col("doc_id").alias("expected")),
+    }
+    # each task keeps the first ones of its rows, so no category is sorted whole
+    first = lambda c, rows: rows.select(F.lit(c).alias("category"), "*", drawn("code", seed).alias("draw")).orderBy("draw", "code").limit(quotas.get(c, 0))
+    pool = reduce(DataFrame.union, (first(c, rows) for c, rows in pools.items()))
+    chosen = pool.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("draw", "code")))
     held = F.when(F.substring(F.sha2(scope("doc_id"), 256), 1, 1) < "8", "holdout").otherwise("development")
     return chosen.select("category", F.col("place").cast("long").alias("place"), F.col("code").alias("question"), "scope", "expected", held.alias("split"))
 

@@ -16,6 +16,11 @@ def plan(df) -> str:
     return out.getvalue()
 
 
+def test_question_set_sorts_no_category_whole(spark):
+    text = plan(plans.queries()["question_set_build"](spark, DATA))
+    assert text.count("TakeOrderedAndProject") == 4
+
+
 def test_overlap_is_counted_where_documents_lie(spark):
     text = plan(plans.queries()["lexical_overlap"](spark, DATA))
     assert "REPARTITION_BY_NUM" in text and "hashpartitioning(term" not in text.split("REPARTITION_BY_NUM")[0]

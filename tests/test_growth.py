@@ -5,6 +5,7 @@ import io
 
 import pytest
 from fathom import plans
+from fathom.functions import arrow
 from fathom.operators import prose
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +40,12 @@ def test_relations_cut_no_text_without_digits(spark):
     lines = plan(plans.queries()["prose_relations"](spark, DATA)).splitlines()
     scans = [n for n, line in enumerate(lines) if "FileScan" in line]
     assert scans and all("[0-9]" in "".join(lines[n - 3 : n]) for n in scans)
+
+
+def test_batches_of_identifiers_are_bounded(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    for query in ("identifiers_extract", "chunk_plan"):
+        for name in names:
+            spark.conf.unset(name)
+        plans.queries()[query](spark, DATA)
+        assert [int(spark.conf.get(n)) for n in names] == [arrow.BATCH_ROWS, arrow.BATCH_BYTES]

@@ -7,7 +7,8 @@ from 10 words on and from 144 on the root of n / 16, up to 30. Classes are what
 
 * Each distinct line of n words is cut into edits_of(n) + 1 segments. So many edits leave one segment intact, so the other line
   has it as a run of words near its place: of the runs of the longer line only those that the multi-match-aware rule allows are
-  probed, for each length from n on that the threshold allows. Segments and runs meet by 64-bit hash.
+  probed, for each length from n on that the threshold allows. Segments and runs meet by 64-bit hash of their
+  words' hashes, which are made once for each line and kept instead of its text.
 * Keys are counted first, with map-side combine; only lines that share a key with another line go on, by a join that adaptive
   execution can split. Their texts are fetched through a bit filter of bounded size.
 * Lines that share a key of at most ``GROUP`` lines are compared with each other. In a larger group every line is compared with
@@ -67,11 +68,21 @@ def places(n: str) -> str:
 
 
 def with_keys(lines: DataFrame) -> DataFrame:
-    """(ha, key, own) of lines (ha, line) of SIMILAR words or more: a row for each key, and whether it is a segment of the line itself. A key
+    """keyed(hashed(lines)) of lines (ha, line)."""
+    return keyed(hashed(lines))
+
+
+def hashed(lines: DataFrame) -> DataFrame:
+    """lines, in place of line with words: the hashes of its words, of lines of SIMILAR words or more."""
+    words = lines.withColumn("words", F.split("line", " ", -1)).where(F.size("words") >= SIMILAR)
+    return words.withColumn("words", F.transform("words", lambda w: F.hash(w))).drop("line")
+
+
+def keyed(words: DataFrame) -> DataFrame:
+    """(ha, key, own) of words (ha, words) as ``hashed`` gives them: a row for each key, and whether it is a segment of the line itself. A key
     that stands in a line twice has two rows. The places of lines of fewer than TABLE words come from a table of as many rows; what
     makes the keys of a line is generated code."""
-    words = lines.select("ha", F.split("line", " ", -1).alias("words")).where(F.size("words") >= SIMILAR)
-    known = lines.sparkSession.range(SIMILAR, TABLE).selectExpr("cast(id as int) as _n", f"{places('cast(id as int)')} as _places")
+    known = words.sparkSession.range(SIMILAR, TABLE).selectExpr("cast(id as int) as _n", f"{places('cast(id as int)')} as _places")
     both = words.join(F.broadcast(known), F.size("words") == F.col("_n"), "left")
     made = both.select("ha", "words", F.coalesce("_places", F.expr(places("size(words)"))).alias("_places"))
     rows = made.select("ha", "words", F.posexplode_outer("_places").alias("_at", "_x"))  # not outer, Spark would test the places of every line first
@@ -118,12 +129,12 @@ def named(docs: DataFrame) -> DataFrame:
 
 def sharing(docs: DataFrame) -> DataFrame:
     """(key, ha, own, n) of the lines (by ha) that have a key with others: own if one of its segments has it, n lines in all."""
-    # both sides of the join read this aggregation, whose exchange runs once and holds texts, which are smaller than their keys
-    distinct = named(docs.where("doc_id is not null")).select("ha", "hb", "line").distinct()
-    keyed = with_keys(distinct.select("ha", "line"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some")
+    # read twice: the words' hashes are smaller than the texts, and much smaller than the keys
+    distinct = hashed(named(docs.where("doc_id is not null")).select("ha", "hb", "line")).select("ha", "hb", "words").distinct()
+    keys = keyed(saved(distinct.select("ha", "words"), "line-words", "lz4_raw"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some")
     shared = saved(shared.select("key", "n"), "line-shared-keys")  # it is read twice
-    rows = sifted(keyed, "key", shared).join(shared, "key").groupBy("key", "ha").agg(F.max("own").alias("own"), F.max("n").alias("n"))
+    rows = sifted(keys, "key", shared).join(shared, "key").groupBy("key", "ha").agg(F.max("own").alias("own"), F.max("n").alias("n"))
     return saved(rows.select("key", "ha", "own", "n"), "line-keys")
 
 

@@ -1,0 +1,12 @@
+"""op8 hashes the words of a line once: both passes over the keys read the hashes."""
+
+from fathom.llm import lines
+
+
+def test_words_are_hashed_once(spark, monkeypatch):
+    names, saved = [], lines.saved
+    monkeypatch.setattr(lines, "saved", lambda df, name, *rest: (names.append((name, df.columns)), saved(df, name, *rest))[1])
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e x"), (3, "p q r s t")], "doc_id long, text string")
+    got = lines.sharing(docs).collect()
+    assert ("line-words", ["ha", "words"]) in names
+    assert len({r.ha for r in got}) == 2 and all(r.n == 2 for r in got)

@@ -8,15 +8,16 @@ from 10 words on and from 144 on the root of n / 16, up to 30. Classes are what
 * Each distinct line of n words is cut into edits_of(n) + 1 segments. So many edits leave one segment intact, so the other line
   has it as a run of words near its place: of the runs of the longer line only those that the multi-match-aware rule allows are
   probed, for each length from n on that the threshold allows. Segments and runs meet by 64-bit hash.
-* Keys are counted first, with map-side combine; only lines that share a key with another line go on, by a join that adaptive
-  execution can split. Their texts are fetched through a bit filter of bounded size.
+* The least and the greatest line of each key come first, with map-side combine; only lines that share a key with another line go
+  on, by a join that adaptive execution can split. Their texts are fetched once, through a bit filter of bounded size.
 * Lines that share a key of at most ``GROUP`` lines are compared with each other. In a larger group every line is compared with
   the group's most copied segment line only, one row a line. Where that leaves a group in one component, nothing is missing; in
   the others lines of different components are compared, and then all is done. Pairs whose numbers of words, or parities of
   the counts of words in 128 classes, differ by more than the threshold allows make no rows: that is part of the joins' conditions.
 * Candidates are verified by a banded bit-parallel edit distance: two words of 2 k + 1 bits hold the vertical differences of the
   band, advanced a word of the line at a time.
-* Only distinct lines are indexed; copies, however many, meet as one by a 128-bit hash in an aggregation with map-side combine.
+* Copies, however many, leave a key's least and greatest line as they are, so texts aren't exchanged to make keys of distinct lines
+  only; later they meet as one by a 128-bit hash in an aggregation with map-side combine.
 
 A place is (doc_id, line number, 64-bit hash of the text), so that rows sharing a doc_id but not their text stay apart; rows
 that share both are one document. A null text has no line; an empty text has one empty line. Rows with a null doc_id have
@@ -35,7 +36,6 @@ from fathom.llm.common import GROUP, components, linked, saved, sifted, unused
 SIMILAR = 5  # words for each edit of a short line
 TWO = 2 * SIMILAR
 LONG = 144
-TABLE = 512
 ROOT = 16
 MOST = 30  # the band of 61 diagonals fits one long
 BITS = ("bits0", "bits1")
@@ -48,40 +48,34 @@ def edits_of(n: str) -> str:
     return f"case when ({n}) < {SIMILAR} then 0 when ({n}) < {TWO} then 1 when ({n}) < {LONG} then 2 else {grown} end"
 
 
-def places(n: str) -> str:
-    """SQL for the keys of a line of n (SQL) words: array<struct<m,i,at,size>>, first of its own segments, edits_of(n) + 1, then of
-    the runs that it only probes. The size words from at on are segment i of a line of m words, d fewer than n.
+def with_keys(lines: DataFrame) -> DataFrame:
+    """(ha, key, own) of lines (ha, line): a row for each key of those of SIMILAR words or more, and whether it is a segment of the line
+    itself. A key that stands in a line twice has two rows. All of it is generated code that splits a line into words once.
 
-    Of a line's m words, segments have m div q, the last m mod q of them one more, q = edits + 1. Segment i may lie s words further
-    right in a longer line, if neither what comes before it nor what comes after needs too many edits.
+    A line of n words has the keys of its own segments, edits_of(n) + 1, and of the runs that it only probes: segments of lines of
+    m = n - d words, d edits at most. Of a line's m words, segments have m div q, the last m mod q of them one more, q = e + 1, e
+    being edits_of(m). Segment i may lie s words further right in a longer line, if neither what comes before it nor what comes
+    after needs too many edits.
     """
-    more = "(x.e + 1 - (l.n - x.d) % (x.e + 1))"  # segments from here on have one word more
-    at = f"cast(i * ((l.n - x.d) div (x.e + 1)) + greatest(0, i - {more}) + s + 1 as int)"
-    size = f"cast((l.n - x.d) div (x.e + 1) + if(i >= {more}, 1, 0) as int)"
-    one = f"named_struct('m', l.n - x.d, 'i', i, 'at', {at}, 'size', {size})"
-    every = lambda shorter, moves: f"flatten(transform({shorter}, x -> flatten(transform(sequence(0, x.e), i -> transform({moves}, s -> {one})))))"
-    less = f"filter(transform(sequence(0, {edits_of('l.n')}), d -> struct(d, {edits_of('l.n - d')} as e)), x -> x.e >= x.d and x.e > 0)"
-    low, high = "greatest(-i, x.d - (x.e - i))", "least(i, x.d + (x.e - i))"
-    both = f"concat({every(f'filter({less}, x -> x.d = 0)', 'array(0)')}, {every(less, f'filter(sequence({low}, {high}), s -> x.d > 0 or s <> 0)')})"
-    return f"element_at(transform(array(named_struct('n', {n})), l -> {both}), 1)"
+    rows = lines.select("ha", F.split("line", " ", -1).alias("words")).withColumn("n", F.size("words"))
+    # not outer, Spark would make each sequence once more to see that it isn't empty
+    rows = rows.select("*", F.explode_outer(F.expr(f"sequence(0, {edits_of('n')})")).alias("d"))
+    rows = rows.withColumn("m", F.expr("n - d")).withColumn("e", F.expr(edits_of("m"))).where("e >= d and e > 0")
+    rows = rows.withColumns({"size": F.expr("m div (e + 1)"), "less": F.expr("e + 1 - m % (e + 1)")})  # segments from less on have one word more
+    rows = rows.select("*", F.explode_outer(F.expr("sequence(0, e)")).alias("i"))
+    rows = rows.select("*", F.explode_outer(F.expr("sequence(greatest(-i, d - (e - i)), least(i, d + (e - i)))")).alias("s"))
+    run = "slice(words, cast(i * size + greatest(0, i - less) + s + 1 as int), cast(size + if(i >= less, 1, 0) as int))"
+    return rows.select("ha", F.expr(f"xxhash64(m, i, {run})").alias("key"), F.expr("d = 0 and s = 0").alias("own"))
 
 
-def with_keys(lines: DataFrame) -> DataFrame:
-    """(ha, key, own) of lines (ha, line) of SIMILAR words or more: a row for each key, and whether it is a segment of the line itself. A key
-    that stands in a line twice has two rows. The places of lines of fewer than TABLE words come from a table of as many rows; what
-    makes the keys of a line is generated code."""
-    words = lines.select("ha", F.split("line", " ", -1).alias("words")).where(F.size("words") >= SIMILAR)
-    known = lines.sparkSession.range(SIMILAR, TABLE).selectExpr("cast(id as int) as _n", f"{places('cast(id as int)')} as _places")
-    both = words.join(F.broadcast(known), F.size("words") == F.col("_n"), "left")
-    made = both.select("ha", "words", F.coalesce("_places", F.expr(places("size(words)"))).alias("_places"))
-    rows = made.select("ha", "words", F.posexplode_outer("_places").alias("_at", "_x"))  # not outer, Spark would test the places of every line first
-    return rows.select("ha", F.expr("xxhash64(_x.m, _x.i, slice(words, _x.at, _x.size))").alias("key"), F.expr(f"_at <= {edits_of('size(words)')}").alias("own"))
+def word_bits(classes: str = "classes") -> list[Column]:
+    """Longs whose bits say of which of 64 classes of words each (``word_classes``) the line has an odd number. An edit of a word changes two at most."""
+    return [F.expr(f"aggregate({classes}, 0L, (c, x) -> if(x div 64 = {k}, c ^ shiftleft(1L, x % 64), c))") for k in range(len(BITS))]
 
 
-def word_bits(words: str = "words") -> list[Column]:
-    """Longs whose bits say of which of 64 classes of words each the line has an odd number. An edit of a word changes two at most."""
-    every = f"transform({words}, w -> cast(pmod(xxhash64(w), {64 * len(BITS)}) as int))"
-    return [F.expr(f"aggregate({every}, 0L, (c, x) -> if(x div 64 = {k}, c ^ shiftleft(1L, x % 64), c))") for k in range(len(BITS))]
+def word_classes(words: Column) -> Column:
+    """The class of each of the words."""
+    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(64 * len(BITS))).cast("int"))
 
 
 def within(a: str, b: str, k: str) -> Column:
@@ -118,27 +112,29 @@ def named(docs: DataFrame) -> DataFrame:
 
 def sharing(docs: DataFrame) -> DataFrame:
     """(key, ha, own, n) of the lines (by ha) that have a key with others: own if one of its segments has it, n lines in all."""
-    # both sides of the join read this aggregation, whose exchange runs once and holds texts, which are smaller than their keys
-    distinct = named(docs.where("doc_id is not null")).select("ha", "hb", "line").distinct()
-    keyed = with_keys(distinct.select("ha", "line"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("some")).where("n > 1 and some")
-    shared = saved(shared.select("key", "n"), "line-shared-keys")  # it is read twice
-    rows = sifted(keyed, "key", shared).join(shared, "key").groupBy("key", "ha").agg(F.max("own").alias("own"), F.max("n").alias("n"))
-    return saved(rows.select("key", "ha", "own", "n"), "line-keys")
+    # copies of a line leave the least and the greatest of a key's lines as they are, so no text is exchanged to count a line once
+    keyed = with_keys(lines(docs.where("doc_id is not null")).select(F.xxhash64("line").alias("ha"), "line"))
+    shared = keyed.groupBy("key").agg(F.min("ha").alias("p"), F.max("ha").alias("q"), F.max("own").alias("some")).where("p <> q and some")
+    shared = saved(shared.select("key"), "line-shared-keys")  # it is read twice
+    rows = sifted(keyed, "key", shared).join(shared, "key").groupBy("key", "ha").agg(F.max("own").alias("own"))
+    rows = saved(rows.select("key", "ha", "own"), "line-key-rows")
+    return saved(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")), "key"), "line-keys")
 
 
 def links(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """Links (a, b) between places struct<doc_id,line_no,row> that connect all distinct lines within the threshold of each other."""
     rows = sharing(docs)
-    marks = sifted(named(docs.where("doc_id is not null")), "ha", rows.select("ha")).withColumn("words", F.split("line", " ", -1)).groupBy("ha", "hb")
-    marks = marks.agg(F.min(F.struct(*PLACE)).alias("id"), F.first(F.size("words")).alias("words"), *(F.first(c).alias(x) for x, c in zip(BITS, word_bits())), F.count("*").alias("weight"))
-    rows = rows.join(marks.drop("hb"), "ha").withColumnRenamed("ha", "ref")
+    marks = sifted(named(docs.where("doc_id is not null")), "ha", rows.select("ha")).groupBy("ha", "hb")
+    marks = marks.agg(F.min(F.struct(*PLACE)).alias("id"), F.first("line").alias("line"), F.count("*").alias("weight"))
+    marks = saved(marks.select("ha", "id", "line", "weight"), "line-marks")
+    known = marks.select("ha", "id", "weight", word_classes(F.split("line", " ", -1)).alias("classes"))
+    known = known.select("ha", "id", "weight", F.size("classes").alias("words"), *(c.alias(x) for x, c in zip(BITS, word_bits())))
+    rows = rows.join(known, "ha").withColumnRenamed("ha", "ref")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = saved(pairs.distinct(), f"{name}-asked")
         asked = pairs.select(F.col("a").alias("ha")).union(pairs.select("b"))
-        texts = sifted(named(docs.where("doc_id is not null")), "ha", asked).groupBy("ha", "hb").agg(F.min(F.struct(*PLACE)).alias("id"), F.first("line").alias("line"))
-        texts = saved(texts.drop("hb"), f"{name}-texts")
+        texts = sifted(marks.select("ha", "id", "line"), "ha", asked)
         left, right = (texts.withColumnsRenamed({"ha": x, "id": f"id_{x}", "line": f"line_{x}"}) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").select("id_a", "id_b", F.split("line_a", " ", -1).alias("x"), F.split("line_b", " ", -1).alias("y"))
         near = within("x", "y", edits_of("least(size(x), size(y))"))

@@ -100,6 +100,15 @@ def within(a: str, b: str, k: str) -> Column:
     return F.expr(f"element_at(transform(array(named_struct('a', {a}, 'b', {b}, 'k', {k})), p -> abs(size(p.a) - size(p.b)) <= p.k and {steps}.far <= p.k), 1)")
 
 
+def surely(a: str, b: str, k: str) -> Column:
+    """True only if ``within`` is: the words that differ place by place, or those between the equal ones at both ends, are k at most."""
+    same = lambda x, y: f"zip_with({x}, {y}, (p, q) -> p <=> q)"  # noqa: E731  false beyond the shorter one's end
+    run = lambda x, y: f"array_position({same(x, y)}, false) - 1"  # noqa: E731  -1: all are equal
+    by_place = f"size(filter({same(a, b)}, x -> not x)) <= {k}"
+    between = f"greatest(size({a}), size({b})) - least(size({a}), size({b}), {run(a, b)} + {run(f'reverse({a})', f'reverse({b})')}) <= {k}"
+    return F.expr(f"({by_place}) or ({between})")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, row, line) of every text of docs (doc_id, text); row is a hash of the text."""
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select(*PLACE, "line")
@@ -122,11 +131,12 @@ def sharing(docs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """Links (a, b) between places struct<doc_id,line_no,row> that connect all distinct lines within the threshold of each other."""
+    """Links (a, b) that connect all distinct lines within the threshold of each other, named by their first places and hashes:
+    struct<doc_id,line_no,row,ha,hb>."""
     rows = sharing(docs)
     marks = sifted(named(docs.where("doc_id is not null")), "ha", rows.select("ha")).groupBy("ha", "hb")
     marks = marks.agg(F.min(F.struct(*PLACE)).alias("id"), F.first("line").alias("line"), F.count("*").alias("weight"))
-    marks = saved(marks.select("ha", "id", "line", "weight"), "line-marks")
+    marks = saved(marks.select("ha", F.struct("id.*", "ha", "hb").alias("id"), "line", "weight"), "line-marks")
     known = marks.select("ha", "id", "weight", word_classes(F.split("line", " ", -1)).alias("classes"))
     known = known.select("ha", "id", "weight", F.size("classes").alias("words"), *(c.alias(x) for x, c in zip(BITS, word_bits())))
     rows = rows.join(known, "ha").withColumnRenamed("ha", "ref")
@@ -137,8 +147,8 @@ def links(docs: DataFrame, group: int = GROUP) -> DataFrame:
         texts = sifted(marks.select("ha", "id", "line"), "ha", asked)
         left, right = (texts.withColumnsRenamed({"ha": x, "id": f"id_{x}", "line": f"line_{x}"}) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").select("id_a", "id_b", F.split("line_a", " ", -1).alias("x"), F.split("line_b", " ", -1).alias("y"))
-        near = within("x", "y", edits_of("least(size(x), size(y))"))
-        return saved(both.where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), name)
+        k = edits_of("least(size(x), size(y))")
+        return saved(both.where(surely("x", "y", k) | within("x", "y", k)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), name)
 
     edits = F.expr(edits_of("least(words_a, words_b)"))
     differ = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS))
@@ -150,10 +160,11 @@ def classes(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """(doc_id, line_no, class_doc_id, class_line_no, kept, row, class_row) for every line: its class is named by the first place,
     by doc_id, line number and row, of any line in it; that line alone is kept."""
     near = components(links(docs, group), "line-classes")
+    near = near.select("node.ha", "node.hb", F.struct(*(f"component.{c}" for c in PLACE)).alias("component"))
     every = named(docs).select(*PLACE, "ha", "hb")
     id_ = F.struct(*PLACE)
     first = every.where("doc_id is not null").groupBy("ha", "hb").agg(F.min(id_).alias("id"))
-    first = first.join(near, first.id == near.node, "left").select("ha", "hb", F.coalesce("component", "id").alias("class"))
+    first = first.join(near, ["ha", "hb"], "left").select("ha", "hb", F.coalesce("component", "id").alias("class"))
     out = every.join(first, ["ha", "hb"], "left").withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
     named_by = [F.col(f"class.{c}").alias(f"class_{c}") for c in PLACE]
     return out.select("doc_id", "line_no", *named_by[:2], F.coalesce(F.col("class") == id_, F.lit(True)).alias("kept"), "row", named_by[2])

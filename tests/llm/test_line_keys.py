@@ -1,5 +1,7 @@
 """op8 makes the keys of lines in generated code, from the scan on, and exchanges no texts to count them."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from fathom.llm import lines
@@ -27,3 +29,11 @@ def test_keys_of_every_length(spark):
     assert {n for n in got if n < 1000} == {n for n in base if n >= 5}
     assert all(own == edits(n if n < 1000 else n - 999) + 1 for n, (_, own) in got.items())
     assert all(got[n][0] & got[1000 + n][0] for n in base if n >= 10)
+
+
+def test_surely_is_within(spark):
+    r = random.Random(3)
+    word = lambda n: [r.choice("ab") for _ in range(r.randint(0, n))]
+    rows = [(word(7), word(7), r.randint(0, 4)) for _ in range(300)] + [(x := list("abcdefgh"), [*x[:3], "q", *x[3 + n :]], 2) for n in range(4)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>, k int").select(lines.surely("a", "b", "k").alias("s"), lines.within("a", "b", "k").alias("w")).collect()
+    assert all(x.w for x in got if x.s) and sum(x.s for x in got) > 100 and [x.s for x in got[-4:]] == [True, True, True, False]

@@ -18,6 +18,7 @@ teaches with its smallest text. Very long texts are counted whole.
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
 from collections import Counter
@@ -86,7 +87,7 @@ class Index:
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ids: list[int], size: int) -> Index:
         """vectors: sorted term positions and weights of each example; size: the number of terms."""
         n = np.array([len(v[0]) for v in vectors], np.int64)
-        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int64)]).astype(np.int32)
+        term = np.concatenate([v[0] for v in vectors] or [np.zeros(0, np.int32)], dtype=np.int32, casting="unsafe")
         weight = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
         doc = np.repeat(np.arange(len(vectors), dtype=np.int32), n)
         often = np.bincount(term, minlength=size) * COMMON >= max(len(vectors), COMMON)
@@ -96,10 +97,10 @@ class Index:
         many = often[term]
         dense[doc[many], column[term[many]]] = weight[many]
         tops = dense.reshape(blocks, BLOCK, -1).max(axis=1) if blocks else np.zeros((0, dense.shape[1]))
-        rare_term, rare_doc, rare_weight = term[~many], doc[~many], weight[~many]
-        order = np.argsort(rare_term, kind="stable")
+        rare = np.flatnonzero(~many).astype(np.int32)
+        rare = rare[np.argsort(term[rare], kind="stable")]
         first = np.concatenate([[0], np.cumsum(n)])
-        return cls(np.array(labels, np.int64), np.array(ids, np.int64), np.searchsorted(rare_term[order], np.arange(size + 1)), rare_doc[order], rare_weight[order], column, dense, tops, (first, term, weight))
+        return cls(np.array(labels, np.int64), np.array(ids, np.int64), np.searchsorted(term[rare], np.arange(size + 1)), doc[rare], weight[rare], column, dense, tops, (first, term, weight))
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skips: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (positions, weights) the k examples of greatest positive cosine (ties: the smaller position) and their
@@ -252,6 +253,7 @@ def frequencies(docs: DataFrame, words: list[str]) -> tuple[np.ndarray, int]:
     counts = docs.select("text").mapInArrow(run, "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
     df, total = np.zeros(len(words), np.int64), 0
     got = counts.toArrow()  # a row a word of the examples
+    place.destroy()
     p, n = got.column("p").to_numpy(), got.column("n").to_numpy()
     df[p[p >= 0]] = n[p >= 0]
     return df, int(n[p < 0].sum()) or total
@@ -275,21 +277,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     weight = np.log((1 + total) / (1 + df)) * lean(held[1], held[0], n1, n0)
     none = np.array([0.0, 1.0])
     model = Model(words, Index.build([], [], [], 0), weight, n1 / (len(y) + 1), (none, none))
-    vectors = [model.vector(at.astype(np.int64), counts) for _, _, at, counts in rows]
+    vectors = [model.vector(at, counts) for _, _, at, counts in rows]
     strongest = [int(p[np.argmax(w)]) if len(p) else -1 for p, w in vectors]
     order = sorted(range(len(rows)), key=lambda n: (strongest[n], rows[n][0]))
-    model.index = Index.build([vectors[n] for n in order], [rows[n][1] for n in order], [rows[n][0] for n in order], len(words))
-    del vectors, held
-    if rows:
+    vectors, ids = [vectors[n] for n in order], [rows[n][0] for n in order]
+    del rows, held  # each copy of the examples' words that the driver holds counts
+    model.index = Index.build(vectors, y[order].tolist(), ids, len(words))
+    del vectors
+    give_back()
+    if ids:
         model.steps = calibration(*left_out(spark, model))
+        model.index.own = (np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0))  # of no use to other texts
     give_back()
     return model
 
 
+class Packer:
+    """A file that compresses what is written to it, so that a pickled model is never whole in memory."""
+
+    def __init__(self) -> None:
+        self.out, self.squeeze = io.BytesIO(), zlib.compressobj(1)
+
+    def write(self, data) -> None:
+        data = memoryview(data).cast("B")
+        for at in range(0, len(data), 1 << 20):
+            self.out.write(self.squeeze.compress(data[at : at + (1 << 20)]))
+
+    def done(self) -> bytes:
+        self.out.write(self.squeeze.flush())
+        return self.out.getvalue()
+
+
 def packed(model: Model) -> bytes:
     import pickle
 
-    return zlib.compress(pickle.dumps(("\n".join(model.words), model.index, model.weight, model.base, model.steps), 5), 1)
+    out = Packer()
+    pickle.dump(("\n".join(model.words), model.index, model.weight, model.base, model.steps), out, 5)
+    return out.done()
 
 
 def unpacked(data: bytes) -> Model:
@@ -316,6 +340,7 @@ def left_out(spark, model: Model) -> tuple[np.ndarray, np.ndarray]:
         give_back()
 
     got = spark.range(0, n, 1, max(1, min(24, n // 100))).mapInArrow(run, "id long, vote double").collect()  # max_examples rows
+    shared.destroy()
     votes = np.zeros(n)
     votes[[r.id for r in got]] = [r.vote for r in got]
     return votes, model.index.labels

@@ -43,7 +43,7 @@ def _one(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"item_id": rows["item_id"].iloc[:1].repeat(len(order)).values, "doc_id": rows["doc_id"].values[order], "turn": range(1, len(order) + 1)})
 
 
-POOLED = f"""{retrieval.FIRST}{retrieval.FUSED}, pool as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from fused) x where place <= {POOL}),
+POOLED = f"""{retrieval.headed(retrieval.FIRST)}{retrieval.FUSED}, pool as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from fused) x where place <= {POOL}),
     shared as (select o.item_id, o.doc_id, o.place, a.term from pool o join idx_postings p on p.doc_id = o.doc_id join asked a on a.item_id = o.item_id and a.term = p.term where length(a.term) >= 5)
     select item_id, doc_id, cast(min(place) as bigint) as place, collect_set(term) as terms from shared group by item_id, doc_id"""
 
@@ -52,7 +52,7 @@ def coverage_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id, turn): at most six passages a question, covering all its long words that the best six did and more
     where a swap allows. A group is a question's pool, at most 48 rows."""
     sql = dialect(dialect(POOLED, 0), 0)
-    retrieval.rated(spark, sf_dir, sql)
+    retrieval.rated(spark, sf_dir, sql, head=True)
     return spark.sql(sql).groupBy("item_id").applyInPandas(_one, "item_id long, doc_id long, turn long")
 
 

@@ -6,7 +6,7 @@ import pytest
 from fathom import plans
 
 SHORT, WHOLE = 30, 500
-NAMES = ["bm25_scoped_corpus"]
+NAMES = ["bm25_scoped_corpus", "bm25_topk"]
 
 
 @pytest.fixture(scope="module")

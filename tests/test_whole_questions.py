@@ -6,7 +6,7 @@ import pytest
 from fathom import plans
 
 SHORT, WHOLE = 30, 500
-NAMES = ["bm25_scoped_corpus", "bm25_topk", "comparison_round_robin", "coverage_selection"]
+NAMES = ["bm25_scoped_corpus", "bm25_topk", "comparison_round_robin", "coverage_selection", "hybrid_dense_scoped"]
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import pytest
 from fathom import plans
 
 SHORT, WHOLE = 30, 500
-NAMES = ["bm25_scoped_corpus", "bm25_topk", "comparison_round_robin", "coverage_selection", "hybrid_dense_scoped"]
+NAMES = ["bm25_scoped_corpus", "bm25_topk", "comparison_round_robin", "coverage_selection", "hybrid_dense_scoped", "mrr_at_10"]
 
 
 @pytest.fixture(scope="module")

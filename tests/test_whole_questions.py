@@ -6,7 +6,7 @@ import pytest
 from fathom import plans
 
 SHORT, WHOLE = 30, 500
-NAMES = ["bm25_scoped_corpus", "bm25_topk", "comparison_round_robin", "coverage_selection", "hybrid_dense_scoped", "mrr_at_10"]
+NAMES = ["bm25_scoped_corpus", "bm25_topk", "comparison_round_robin", "coverage_selection", "hybrid_dense_scoped", "mrr_at_10", "q_hybrid_search"]
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +48,10 @@ def test_long_questions_against_duckdb(spark, folder, name):
     want = con.sql(plans.oracles()[name])
     rounded = lambda rows: sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows)
     assert rounded(tuple(r[c] for c in want.columns) for r in rows_of(plans.queries()[name](spark, folder))) == rounded(want.fetchall())
+
+
+def test_hybrid_search_fuses_words_and_vectors(spark):
+    """No passage there has more than 64 words, so the search with the lanes' marks gives the same documents in the same order."""
+    data = "/root/testdata/sf0.001"
+    got, marked = (plans.queries()[n](spark, data).select("item_id", "doc_id", "score", "place") for n in ("q_hybrid_search", "hybrid_dense"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, marked.collect()))

@@ -6,7 +6,7 @@ import pytest
 from fathom import plans
 
 SHORT, WHOLE = 30, 500
-NAMES = ["bm25_scoped_corpus", "bm25_topk", "comparison_round_robin", "coverage_selection", "hybrid_dense_scoped", "mrr_at_10", "q_hybrid_search", "recall_at_k", "rrf_fusion"]
+NAMES = ["bm25_scoped_corpus", "bm25_topk", "comparison_round_robin", "coverage_selection", "hybrid_dense_scoped", "mrr_at_10", "q_hybrid_search", "recall_at_k", "rrf_fusion", "scope_isolation"]
 
 
 @pytest.fixture(scope="module")
